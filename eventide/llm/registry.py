@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from eventide.llm import language_id
+from eventide.llm import language_id, licenses, packing
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_license_scan": licenses.OP1_SQL,
+}
