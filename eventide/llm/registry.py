@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eventide.llm import language_id, licenses, packing
+from eventide.llm import language_id, licenses, neighbours, packing
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
+    "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {
