@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eventide.llm import language_id, licenses, neighbours, packing
+from eventide.llm import language_id, licenses, near_duplicates, neighbours, packing
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
+    "op7_near_duplicates": near_duplicates.op7_near_duplicates,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
 }
 
