@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eventide.llm import language_id, licenses, near_duplicates, neighbours, packing
+from eventide.llm import language_id, licenses, near_duplicates, neighbours, packing, url_filters
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_url_filter": url_filters.op3_url_filter,
     "op4_language_id": language_id.op4_language_id,
     "op7_near_duplicates": near_duplicates.op7_near_duplicates,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
@@ -14,4 +15,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
+    "op3_url_filter": url_filters.OP3_SQL,
 }
