@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventide.llm import language_id, licenses, near_duplicates, neighbours, packing, url_filters
+from eventide.llm import language_id, licenses, mixing, near_duplicates, neighbours, packing, private_data, url_filters
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_url_filter": url_filters.op3_url_filter,
     "op4_language_id": language_id.op4_language_id,
     "op7_near_duplicates": near_duplicates.op7_near_duplicates,
+    "op8_private_data": private_data.op8_private_data,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
+    "op10_source_mixing": mixing.op10_source_mixing,
 }
 
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
     "op3_url_filter": url_filters.OP3_SQL,
+    "op10_source_mixing": mixing.OP10_SQL,
 }
