@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventide.llm import language_id, licenses, mixing, near_duplicates, neighbours, packing, private_data, quality, url_filters
+from eventide.llm import exact_substrings, language_id, licenses, mixing, near_duplicates, neighbours, packing, private_data, quality, url_filters
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filters.op3_url_filter,
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_exact_substrings": exact_substrings.op6_exact_substrings,
     "op7_near_duplicates": near_duplicates.op7_near_duplicates,
     "op8_private_data": private_data.op8_private_data,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
