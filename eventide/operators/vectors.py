@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from eventide.functions.columns import cosine, squared_distance
-
-#: Rows of a table of labels or centres that may be broadcast.
+#: Rows of a table of labels or centres that every task may hold.
 FEW = 10_000
 
 
@@ -21,20 +24,27 @@ def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     return means.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    n = df.limit(FEW + 1).count()
-    if n > FEW:
-        raise ValueError(f"more than {FEW} rows to compare every vector with")
-    return F.broadcast(df)
-
-
 def nearest(rows: DataFrame, key: str, vector: str, others: DataFrame, label: str, other: str, measure: str = "cosine") -> DataFrame:
-    """key, label and score of the most similar (cosine) or closest (l2) of a bounded table; ties go to the least label."""
-    a, b = F.col(vector), F.col("_other")
-    score = cosine(a, b) if measure == "cosine" else -squared_distance(a, b)
-    pairs = rows.select(key, vector).join(_few(others.select(label, F.col(other).alias("_other"))), F.lit(True))
-    best = pairs.withColumn("score", score).groupBy(key).agg(F.max(F.struct("score", -F.col(label), F.col(label))).alias("b"))
-    return best.select(key, f"b.{label}", "b.score")
+    """key, label and score of the most similar (cosine) or closest (l2, score is minus the squared distance) of a
+    table of at most FEW vectors; ties go to the least label. The table goes to the tasks as one matrix."""
+    few = others.select(label, F.col(other).cast("array<double>")).orderBy(label).limit(FEW + 1).collect()
+    if len(few) > FEW:
+        raise ValueError(f"more than {FEW} rows to compare every vector with")
+    labels = np.array([r[0] for r in few])
+    matrix = np.array([r[1] for r in few], float)
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            v = np.stack(part[vector].to_numpy()).astype(float) if len(part) else np.zeros((0, matrix.shape[1]))
+            if measure == "cosine":
+                score = (v @ matrix.T) / (np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(matrix, axis=1))
+            else:
+                score = -((v[:, None, :] - matrix) ** 2).sum(2)
+            best = score.argmax(1)
+            yield pd.DataFrame({key: part[key], label: labels[best], "score": score[np.arange(len(v)), best]})
+
+    kinds = T.StructType([rows.schema[key], others.schema[label], T.StructField("score", T.DoubleType())])
+    return rows.select(key, vector).mapInPandas(compare, kinds)
 
 
 def filled_matrix(keys: DataFrame, rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
