@@ -43,7 +43,7 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("reserved", "copyright all rights reserved"),
 ]
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_END = re.compile(rb"\n|[.!?]+(?:[\x20\t\r\f\v]|\n|$)")
