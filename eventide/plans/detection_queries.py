@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.operators import intervals as iv
-from eventide.operators import matching, runs, scores
+from eventide.operators import episodes, matching, runs, scores
 from eventide.plans.interval_queries import IOU_SQL, SHOTS_SQL, WIDTH
-from eventide.plans.tables import FRAMES_SQL, TIMED_SQL, annotations, collector, frames, predictions
+from eventide.plans.tables import FRAMES_SQL, TIMED_SQL, annotations, collector, frames, predictions, table
 
 QUERIES, SQL, query = collector()
 
@@ -179,3 +179,23 @@ def _trailing():
 @query("ag21_trailing", f"WITH {FRAMES_SQL} SELECT file_id, frame, round(avg(p) OVER (PARTITION BY file_id ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS trailing FROM frames")
 def trailing(spark, d):
     return frames(spark, d).select("file_id", "frame", F.round(F.avg("p").over(_trailing()), 6).alias("trailing"))
+
+
+@query("sig02_raster", f"WITH {TIMED_SQL} SELECT file_id, frame, max(label) AS label FROM (SELECT file_id, unnest(range(begin_us // 3600000000, end_us // 3600000000)) AS frame, CASE WHEN q = 'POS' THEN 2 ELSE 1 END AS label FROM ann) GROUP BY file_id, frame")
+def raster(spark, d):
+    """Hours that events cover, with the larger label where they overlap."""
+    return episodes.painted(annotations(spark, d), "file_id", 3_600_000_000)
+
+
+@query("ml04_hard_supports", f"""WITH {TIMED_SQL}, {FRAMES_SQL}, c AS (
+  SELECT file_id, frame // 5 AS chunk, max(p) AS p, count(*) FILTER (p > 0.95) AS n_events FROM frames GROUP BY file_id, frame // 5
+) SELECT file_id, chunk, n_events, p FROM (SELECT *, row_number() OVER (PARTITION BY file_id, n_events > 0 ORDER BY p DESC, chunk DESC) AS n, sum((n_events > 0)::INT) OVER (PARTITION BY file_id) AS hits FROM c) WHERE n_events > 0 OR n <= greatest(0, 8 - hits)""")
+def hard_supports(spark, d):
+    chunks = frames(spark, d).groupBy("file_id", F.floor(F.col("frame") / 5).alias("chunk")).agg(F.max("p").alias("p"), F.count_if(F.col("p") > 0.95).alias("n_events"))
+    return episodes.hard_supports(chunks, "file_id", 8).select("file_id", "chunk", "n_events", "p")
+
+
+@query("rnd08_episodes")
+def episode_plan(spark, d):
+    """A thousand episodes over the documents, in clusters by source."""
+    return episodes.plan(spark, 1000, table(spark, d, "documents"), "source", "doc_id", 5, 10)
