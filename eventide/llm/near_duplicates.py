@@ -114,16 +114,28 @@ def candidates(buckets: DataFrame) -> DataFrame:
     return star.unionByName(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb")))
 
 
-def rest(buckets: DataFrame, component: DataFrame) -> DataFrame:
+def rest(buckets: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of large buckets that candidates() left out and that could still join two components: those of each
-    class outside the bucket's first component with the bucket's classes of other components."""
+    class outside a bucket's first component with classes of other components.
+
+    Large buckets hold variants of one text, and most pairs of them are not alike. So the classes meet by prefixes: each
+    class's shingles are ordered, the rarest among these classes first. If the first common shingle of two sets has so
+    many before it that what is left can't be enough, the sets are not alike; else it stands early in both.
+    """
     large = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "bucket", "left_semi")
     own = large.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_up = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")).where("low < high")
-    own = own.join(mixed_up.select("bucket", "main"), "bucket")
-    strays = own.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
-    met = strays.join(own, "bucket").where((F.col("cx") != F.col("component")) & F.when(F.col("component") == F.col("main"), True).otherwise(F.col("x") < F.col("id")))
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.when(F.col("x") < F.col("id"), F.col("sx")).otherwise(F.col("size")).alias("sa"), F.when(F.col("x") < F.col("id"), F.col("size")).otherwise(F.col("sx")).alias("sb"))
+    parted = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")).where("low < high")
+    classes = own.join(parted.select("bucket", "main"), "bucket").groupBy("id", "size", "component").agg(F.max(F.col("component") != F.col("main")).alias("stray"))
+    grams = sets.join(classes, "id").select("id", "size", "component", "stray", F.explode("set").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "gram")) - 1
+    early = grams.join(often, "gram").withColumn("place", place).where((F.col("n") > 1) & (100 * (F.col("size") - F.col("place")) >= percent * F.col("size"))).drop("n")
+    x = early.where("stray").select("gram", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"), F.col("place").alias("px"))
+    enough = (100 + percent) * F.least(F.col("sx") - F.col("px"), F.col("size") - F.col("place")) >= percent * (F.col("sx") + F.col("size"))
+    once = ~F.col("stray") | (F.col("x") < F.col("id"))
+    met = x.join(early, (x["gram"] == early["gram"]) & (F.col("cx") != F.col("component")) & once & enough).select("x", "sx", "id", "size").distinct()
+    first = F.col("x") < F.col("id")
+    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.when(first, F.col("sx")).otherwise(F.col("size")).alias("sa"), F.when(first, F.col("size")).otherwise(F.col("sx")).alias("sb"))
 
 
 def alike(percent: int, a, b, both):
@@ -199,7 +211,7 @@ def group(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 8
     tried = verified(candidates(shared), sets, percent)
     links = materialize(tried.unionByName(made.where("size > 0").join(classes.select("d1", "d2", "size", "id"), ["d1", "d2", "size"]).where("key <> id").select(F.col("id").alias("a"), F.col("key").alias("b"))).distinct())
     found = materialize(components(links))
-    more = materialize(verified(rest(shared, found), sets, percent))
+    more = materialize(verified(rest(shared, found, sets, percent), sets, percent))
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)))
     out = made.select("key", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("id", "key"), "key", "left")
