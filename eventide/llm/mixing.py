@@ -18,6 +18,8 @@ from eventide.llm.common import table
 
 #: The exponent is a whole number of steps of 1 / STEPS.
 STEPS = 4096
+#: Sources up to which their plan is broadcast; it has a few numbers for each.
+BROADCAST_SOURCES = 10_000
 #: Documents of a source that one task puts in order.
 ORDERED = 20_000
 
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, source: str, tokens: str, keys: list[str], target: Targ
     spark = docs.sparkSession
     plan = [(r["_source"], float(w[r["_source"]]), quota[r["_source"]], counted[r["_source"]], -(-r["n"] // ORDERED)) for r in sizes]
     plans = spark.createDataFrame(plan, "_source string, weight double, _quota long, _size long, _shares long")
-    dealt = rows.join(plans, "_source").where("_quota > 0 and _size > 0")
+    dealt = rows.join(F.broadcast(plans) if len(plan) <= BROADCAST_SOURCES else plans, "_source").where("_quota > 0 and _size > 0")
     whole = F.floor((F.col("_quota") - 1) / F.col("_size"))
     blocks = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
     blocks = blocks.withColumn("_place", permuted(seed, F.col("block"), keys)).withColumn("_share", F.floor(F.col("_place") / F.lit(1 << 60) * F.col("_shares")))
