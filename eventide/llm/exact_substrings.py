@@ -23,6 +23,8 @@ from eventide.llm.common import table
 from eventide.llm.wordhash import _VALUES, Powers, chunks, mixed
 
 LENGTH, GRAM = 100, 32
+#: Bits of an anchor that are kept; anchors that agree by chance only meet, and are told apart by their bytes.
+ANCHOR_BITS = 48
 #: Bytes of segments whose suffixes are sorted at once.
 SORTED_BYTES = 4 << 20
 
@@ -68,7 +70,8 @@ def segments(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """anchor, key, lo, hi and periodic of all segments of docs (key, text)."""
+    """anchor, key and place of all segments of docs (key, text). place packs the first start (from bit 32 on), how many
+    more there are (from bit 1 on), and whether the segment is periodic (bit 0)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -76,9 +79,10 @@ def anchored(docs: DataFrame) -> DataFrame:
             for first, texts in chunks(batch.column(1)):
                 owner, anchor, lo, hi, periodic = segments(texts, powers)
                 keys = batch.column(0).slice(first, len(texts)).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), keys, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(periodic)], names=["anchor", "key", "lo", "hi", "periodic"])
+                place = lo << 32 | (hi - lo) << 1 | periodic
+                yield pa.RecordBatch.from_arrays([pa.array(anchor & ((1 << ANCHOR_BITS) - 1)), keys, pa.array(place)], names=["anchor", "key", "place"])
 
-    return docs.mapInArrow(cut, "anchor long, key long, lo int, hi int, periodic boolean")
+    return docs.mapInArrow(cut, "anchor long, key long, place long")
 
 
 def with_bytes(found: DataFrame) -> DataFrame:
@@ -90,11 +94,12 @@ def with_bytes(found: DataFrame) -> DataFrame:
                 part = batch.slice(i, 256)
                 lists = part.column(2)
                 flat = lists.flatten()
-                anchor, lo, hi, periodic = (flat.field(j) for j in range(4))
+                anchor, place = flat.field(0), flat.field(1).to_numpy()
+                lo, more, periodic = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
                 number = pa.compute.list_parent_indices(lists)
                 texts = [t.encode() for t in part.column(1).to_pylist()]
-                cut = [texts[d][a : b + LENGTH] for d, a, b in zip(number.to_pylist(), lo.to_pylist(), hi.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([anchor, part.column(0).take(number), lo, periodic, pa.array(cut, pa.binary())], names=["anchor", "key", "lo", "periodic", "data"])
+                cut = [texts[d][a : a + m + LENGTH] for d, a, m in zip(number.to_pylist(), lo.tolist(), more.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([anchor, part.column(0).take(number), pa.array(lo.astype(np.int32)), pa.array(periodic), pa.array(cut, pa.binary())], names=["anchor", "key", "lo", "periodic", "data"])
 
     return found.select("key", "text", "segments").mapInArrow(take, "anchor long, key long, lo int, periodic boolean, data binary")
 
@@ -188,13 +193,20 @@ def removed(docs: DataFrame, key: str, text: str, return_text: bool = False) ->
     repeat a key are one document: one of their texts counts. Rows without a key are compared with nothing, lose
     nothing, and keep their number. No rows give none.
     """
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["key"])
-    own = anchored(texts)
-    often = own.groupBy("anchor").agg(F.sum(F.when(F.col("periodic"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor")
-    hits = own.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list(F.struct("anchor", "lo", "hi", "periodic")).alias("segments"))
-    data = with_bytes(hits.join(texts, "key")).repartition("anchor").sortWithinPartitions("anchor")
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["key"])
+    # Of equal texts the first is searched; the others are repeats as a whole.
+    firsts = texts.groupBy("digest").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
+    searched = texts.select("key", "text").join(firsts, "key", "left_semi")
+    own = anchored(searched)
+    often = own.groupBy("anchor").agg(F.sum(1 + F.col("place").bitwiseAND(1)).alias("n")).where("n > 1").select("anchor")
+    hits = own.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list(F.struct("anchor", "place")).alias("segments"))
+    data = with_bytes(hits.join(searched, "key")).repartition("anchor").sortWithinPartitions("anchor")
     runs = repeated(data).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    joined = texts.join(runs, "key", "left").unionByName(docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("runs")))
+    size = F.octet_length("text")
+    whole = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).alias("lo"), (size - LENGTH).cast("int").alias("hi"))))
+    known = texts.join(firsts, "key", "left").join(runs, "key", "left").select("key", "text", F.when(F.col("first"), F.col("runs")).otherwise(whole).alias("runs"))
+    joined = known.unionByName(docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("runs")))
     fields = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if return_text else "")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
