@@ -71,7 +71,7 @@ def durations(spark: SparkSession, path: str) -> DataFrame:
                 with wave.open(io.BytesIO(c)) as f:
                     rows.append((f.getframerate(), f.getnframes() / f.getframerate(), None))
             except (wave.Error, EOFError) as e:
-                rows.append((None, None, str(e)))
+                rows.append((None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["sample_rate", "duration_sec", "error"])
 
     return _files(spark, path).select("path", probe("content").alias("p")).select("path", "p.*")
