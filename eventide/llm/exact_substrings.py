@@ -55,7 +55,7 @@ def segments(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray
     least = sliding(grams, span)
     none = np.zeros(span - 1, np.uint64)
     chosen = np.flatnonzero(sliding(np.concatenate([none, least, none]), span, np.maximum) == grams)
-    near = (grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) < span)
+    near = (grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= span)
     owner = np.repeat(np.arange(len(texts)), sizes)[:n]
     inside = np.arange(n) + LENGTH <= ends[owner]
     first = np.ones(n, bool)

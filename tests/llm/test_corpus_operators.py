@@ -174,6 +174,19 @@ def test_substrings_periodic_and_shared(spark):
     assert got == brute_removed([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+def test_substrings_of_every_period(spark):
+    """Texts that repeat themselves at each distance, alone and with the same text between other words."""
+    rng = np.random.default_rng(17)
+    texts = []
+    for period in range(1, 141):
+        alone, copied = ("".join(rng.choice(list("abcdefgh "), period)) * (420 // period + 1) for _ in range(2))
+        texts += [alone[:400], copied[:400], f"{period} before " + copied[:400] + f" after {period}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in exact_substrings.removed(docs, "id", "t").collect()}
+    want = brute_removed([(i, t.encode()) for i, t in enumerate(texts)])
+    assert {i // 3 + 1: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_substrings_odd(odd, empty):
     rows = exact_substrings.removed(odd, "doc_id", "text", return_text=True).collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == list(range(10))
