@@ -1,6 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a sentence or line. It meets a template if it holds at least CONTAINMENT of the template's distinct words.
+Notices that are wrapped or go on behind a full stop are found over the borders of blocks: as stretches of at most
+`reach` words in a row that hold as much.
 The words of all templates are put into one order, the rarest in the corpus first. A block that meets a template must
 hold one of the template's first words in that order (prefix filter), must have enough template words at all (length
 filter), and must have enough of them left behind the first match (positional filter); what passes is counted in full.
@@ -11,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +46,8 @@ TEMPLATES = [
     ("reserved", "copyright all rights reserved"),
 ]
 CONTAINMENT = 0.9
+#: Other words (names, years, comment marks) that may at least stand among those of a template in a stretch.
+SLACK = 16
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_END = re.compile(rb"\n|[.!?]+(?:[\x20\t\r\f\v]|\n|$)")
@@ -64,22 +68,28 @@ def needed(size: int, containment: float = CONTAINMENT) -> int:
     return math.ceil(round(size * containment, 9))
 
 
+def reach(size: int) -> int:
+    """Words in a row among which a template of so many words is looked for over the borders of blocks."""
+    return size + max(size, SLACK)
+
+
 class Index:
     """The templates, by the first words of each in the corpus-wide order."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], containment: float = CONTAINMENT):
         words = {w for _, t in templates for w in t.encode().split()}
         self.rank = {w: i for i, w in enumerate(sorted(words, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates, self.prefix = [], {}
+        self.templates, self.prefix, self.reach = [], {}, []
         for label, text in templates:
             ordered = sorted({self.rank[w] for w in text.encode().split()})
             need = needed(len(ordered), containment)
             for position, word in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(word, []).append((len(self.templates), position))
             self.templates.append((label, frozenset(ordered), len(ordered), need))
+            self.reach.append(reach(len(text.split())))
         self.first_words = frozenset(w for w, r in self.rank.items() if r in self.prefix)
 
-    def meets(self, words: list[bytes]) -> dict[int, float]:
+    def meets(self, words: Collection[bytes]) -> dict[int, float]:
         """Templates that a block meets, with the share of each that it holds."""
         if self.first_words.isdisjoint(words):
             return {}
@@ -99,6 +109,40 @@ class Index:
         return found
 
 
+    def stretches(self, template: int, ranks: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+        """First and last word and share of the template of stretches that meet it, without common words: each is the
+        shortest behind the one before that ends first, with what more of the template stands within its reach.
+
+        ranks are the place and rank of all words that some template has, in order.
+        """
+        _, whole, size, need = self.templates[template]
+        at = [(i, r) for i, r in ranks if r in whole]
+        last: dict[int, int] = {}
+        k = 0
+        while k < len(at):
+            i, r = at[k]
+            last[r] = i
+            k += 1
+            low = i - self.reach[template] + 1
+            recent = sorted((p for p in last.values() if p >= low), reverse=True)
+            if len(recent) < need:
+                continue
+            first, end = recent[need - 1], i
+            held = {r for r, p in last.items() if p >= first}
+            while k < len(at) and at[k][0] < first + self.reach[template]:
+                if at[k][1] in held:
+                    if len(held) == size:
+                        break
+                else:
+                    held.add(at[k][1])
+                    end = at[k][0]
+                k += 1
+            yield first, end, len(held) / size
+            last.clear()
+            while k and at[k - 1][0] > end:
+                k -= 1
+
+
 def word_frequency(docs: DataFrame, text: str, templates: list[tuple[str, str]]) -> dict[bytes, int]:
     """Blocks of the whole corpus that hold each word of the templates; a row for each such word at most."""
     wanted = frozenset(w for _, t in templates for w in t.encode().split())
@@ -122,9 +166,10 @@ SCANNED = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T
 def scan(docs: DataFrame, text: str, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each row of docs: keys, words, phrase places, labels and score.
 
-    labels joins the phrases' labels with those of the templates that a block of the text meets; n_blocks counts such
-    blocks. score is 1 where a phrase stands, else the largest share of a template that a block holds among those that
-    meet it, else 0. A null text is an empty one: no words, null first and last word, empty labels. Equal rows each
+    labels joins the phrases' labels with those of the templates that a block of the text, or a stretch over the borders
+    of blocks, meets; n_blocks counts such blocks, and stretches that share no word with a block that meets the same
+    template; of stretches that share words with each other, one counts. score is 1 where a phrase stands, else the largest share of a template that a
+    counted block or stretch holds among those that meet it, else 0. A null text is an empty one: no words, null first and last word, empty labels. Equal rows each
     keep their row; no rows give none. Other columns of docs are not looked at.
     """
     frequency = word_frequency(docs, text, templates)
@@ -164,11 +209,25 @@ def judge(index: Index, phrases: list[tuple[list[bytes], str]], data: bytes) ->
                 labels.add(label)
     more, best, n = set(), 0.0, 0
     if not index.first_words.isdisjoint(present):
+        start, taken = 0, {}
         for block in blocks(data):
             if met := index.meets(block):
                 n += 1
                 best = max(best, *met.values())
                 more |= {index.templates[t][0] for t in met}
+                for t in met:
+                    taken.setdefault(t, []).append((start, start + len(block) - 1))
+            start += len(block)
+        # Only templates that the text as a whole meets can be met over the borders of its blocks.
+        if whole := index.meets(present):
+            ranks = [(i, index.rank[w]) for i, w in enumerate(words) if w in index.rank]
+            crossing = [(a, z, share, t) for t in whole for a, z, share in index.stretches(t, ranks) if not any(a <= y and x <= z for x, y in taken.get(t, ()))]
+            end = -1
+            for a, z, share, t in sorted(crossing):
+                n += a > end
+                end = max(end, z)
+                best = max(best, share)
+                more.add(index.templates[t][0])
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), 1.0 if at else best, n
 
 

@@ -60,6 +60,37 @@ def test_license_join_finds_what_brute_force_finds():
             assert index.meets(block) == pytest.approx(want)
 
 
+def test_license_notices_over_borders_of_blocks():
+    """Wrapped notices, and those that go on behind a full stop; against all runs of words within reach."""
+    index = licenses.Index(licenses.TEMPLATES, {})
+
+    def found(text):
+        row = licenses.judge(index, [], text.encode().translate(licenses.LOWER))
+        return row[5:]
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    assert found(mit) == ("mit", 1.0, 1) and found(bsd) == ("bsd", 1.0, 1)
+    assert found("Copyright 2020 X. All rights reserved.") == ("reserved", 1.0, 1)
+    assert found(mit.replace("\n# ", " ")) == ("mit", 1.0, 1)
+    assert found(f"{mit}\n\n{bsd}\n\n{mit}") == ("bsd,mit", 1.0, 3)
+    assert found("All rights reserved. " + "word " * 40 + "copyright") == ("", 0.0, 0)
+    rng = np.random.default_rng(5)
+    for label, text in licenses.TEMPLATES:
+        for _ in range(60):
+            words_ = [f"w{i}" for i in rng.integers(0, 9, 30)] + text.split() + ["end"] * 30
+            for at in sorted(rng.integers(30, len(words_) - 30, rng.integers(0, 12)), reverse=True):
+                words_.insert(at, "other")
+            for at in rng.integers(0, len(words_), rng.integers(0, 3)):
+                words_[at] = "changed"
+            want = set()
+            for name, t in licenses.TEMPLATES:
+                own, span = set(t.split()), licenses.reach(len(t.split()))
+                if any(len(own.intersection(words_[i : i + span])) >= licenses.needed(len(own)) for i in range(len(words_))):
+                    want.add(name)
+            assert found("\n".join(words_))[0] == ",".join(sorted(want))
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = registry.QUERIES["op4_language_id"](spark, sf_dir).join(docs, "doc_id").collect()
