@@ -46,11 +46,15 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = R
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a url, sorted: scheme, top label, site, first label, path segments (those with digits
-    are one token), suffix of the path, query keys, and whether there is a fragment."""
+    """The distinct tokens of a url, sorted: scheme, top label, site, first label, labels between first and site, words
+    of labels with hyphens, path segments (those with digits are one token), suffix of the path, query keys, and
+    whether there is a fragment."""
     u = F.coalesce(url, F.lit(""))
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
+    inner = F.transform(F.filter(labels, lambda x, i: (i > 0) & (i < n - 2)), lambda x: F.concat(F.lit("label="), x))
+    hyphened = F.filter(labels, lambda x, i: (i < n - 1) & x.contains("-"))
+    words = F.transform(F.filter(F.flatten(F.transform(hyphened, lambda x: F.split(x, "-"))), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
     segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.when(x.rlike("[0-9]"), F.lit("seg=#")).otherwise(F.concat(F.lit("seg="), x)))
     keys = F.transform(F.filter(F.split(F.regexp_extract(u, r"[?]([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.regexp_extract(x, r"^([^=]*)", 1)))
     one = F.array(
@@ -61,7 +65,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         F.when(path.rlike(r"\.[a-z]+$"), F.concat(F.lit("suffix="), F.regexp_extract(path, r"\.([a-z]+)$", 1))),
         F.when(F.instr(u, "#") > 0, F.lit("fragment")),
     )
-    return F.array_sort(F.array_distinct(F.filter(F.concat(one, segments, keys), lambda x: x.isNotNull())))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(one, inner, words, segments, keys), lambda x: x.isNotNull())))
 
 
 def mine(labelled: DataFrame, items: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -120,6 +120,21 @@ def test_url_rules(spark):
     assert url_filters.judge(pages.limit(0), "url", rules, ["page_id"]).count() == 0
 
 
+def test_every_host_label_has_tokens(spark):
+    """A bad host whose telling label stands between the first and the site is mined and blocked."""
+    hosts = ["m.casino-win.example.com"] * 6 + ["m.garden.example.com"] * 9 + ["m.win.example.com", "co.uk", "cheap-pills.biz", "a.b.c-d.example.com"]
+    pages = spark.createDataFrame([(i, f"https://{h}/", i < 6) for i, h in enumerate(hosts)], "page_id long, url string, bad boolean")
+    host, path = url_filters.host_path(F.col("url"))
+    cut = pages.select("page_id", "bad", url_filters.tokens(F.col("url"), host, path).alias("items"))
+    items = {r["page_id"]: {x for x in r["items"] if x.startswith(("label=", "word="))} for r in cut.collect()}
+    assert items[0] == {"label=casino-win", "word=casino", "word=win"} and items[6] == {"label=garden"}
+    assert items[15] == {"label=win"} and items[16] == set() and items[17] == {"word=cheap", "word=pills"}
+    assert items[18] == {"label=b", "label=c-d", "word=c", "word=d"}
+    rules = url_filters.mine(cut, "items", "bad")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, "url", rules, ["page_id"]).collect()}
+    assert {i for i, v in got.items() if v == "block"} == set(range(6))
+
+
 def test_mined_rules_fire(spark):
     rows = [(["a", "b"], True)] * 8 + [(["a"], False)] * 10 + [(["b"], False)] * 6 + [(None, True), (["c"], None)]
     rules = url_filters.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), "items", "bad", 0.1, 0.9)
