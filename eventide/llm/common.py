@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, default: str = "/tmp/checkpoints") -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; default only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or default
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the session names in spark.checkpoint.dir. Only a session on one machine may name
+    none, and then gets a temporary one: on a cluster, no other machine could read what is written there."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -25,7 +32,29 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote. Only for tables on which nothing depends any more that isn't written itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores behind it until no column of taken has it; column names don't tell case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct: carried so, they can't clash with those that an operator makes."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def order_hash(*cols: Column | str) -> Column:

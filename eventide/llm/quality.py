@@ -13,22 +13,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import order_hash, table
+from eventide.llm.common import discard, materialize, order_hash, table
 from eventide.llm.wordhash import Powers, chunks, mixed, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Labelled rows that the regression learns from, and those of every CALIBRATED that only calibrate it.
 TRAIN_ROWS, CALIBRATED = 4000, 5
-#: Buckets of each family of n-grams, and the families: words, pairs of words, and runs of so many bytes.
+#: Partitions that the sample is fitted in.
+FIT_PARTITIONS = 4
+#: Buckets of each family of n-grams, and the families: words, pairs of words, and runs of so many characters.
 BUCKETS = 1 << 15
-BYTE_RUNS = (3, 5)
-FAMILIES = 2 + len(BYTE_RUNS)
+RUNS = (3, 5)
+FAMILIES = 2 + len(RUNS)
+#: An odd multiplier, so that runs of code points keep apart in 64 bits.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: A text's values of one family add up to this.
 SCALE = 10.0
 #: Least calibrated probability of good quality, and the limits of the counts.
@@ -64,12 +69,13 @@ def families(texts: list[bytes], powers: Powers) -> Iterator[tuple[np.ndarray, n
     inside[ends[(ends > 0) & (ends <= len(pairs))] - 1] = False  # pairs over the end of a text
     before = np.concatenate([[0], np.cumsum(inside)])
     yield pairs[inside].astype(np.int64), before[np.minimum(bounds, len(pairs))]
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    starts = np.cumsum([0, *map(len, texts)])
-    for n in BYTE_RUNS:
+    decoded = [t.decode() for t in texts]
+    data = np.frombuffer("".join(decoded).encode("utf-32-le"), "<u4").astype(np.uint64)
+    starts = np.cumsum([0, *map(len, decoded)])
+    for n in RUNS:
         keys = np.zeros(max(0, len(data) - n + 1), np.uint64)
         for i in range(n):
-            keys = keys * np.uint64(257) + data[i : i + len(keys)]
+            keys = keys * _STEP + data[i : i + len(keys)]
         inside = np.ones(len(keys), bool)
         for i in range(1, n):
             cut = starts[1:-1] - i
@@ -99,54 +105,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(texts, powers) + self.offset, -50, 50)))
 
 
-def hashed(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and the sparse values (ix, val) of every row's n-grams, as the regression learns from them."""
-    schema = T.StructType([*(docs.schema[k] for k in keys), T.StructField("ix", T.ArrayType(T.IntegerType())), T.StructField("val", T.ArrayType(T.DoubleType()))])
+def examples(sample: DataFrame, text: str, truth: str, fold: str) -> DataFrame:
+    """label, fold and features (the sparse values of all n-grams) of every row of sample, made in one pass."""
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("fold", T.BooleanType()), T.StructField("features", VectorUDT())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for first, texts in chunks(batch.column(len(keys))):
+            for first, texts in chunks(batch.column(2)):
                 found = list(families(texts, powers))
-                ix, val = [], []
+                ix, val, ends = [], [], [0]
                 for i in range(len(texts)):
-                    own_ix, own_val = [], []
                     for f, (buckets, bounds) in enumerate(found):
                         b, n = np.unique(buckets[bounds[i] : bounds[i + 1]], return_counts=True)
-                        own_ix.append(b + f * BUCKETS)
-                        own_val.append(SCALE * n / max(1, n.sum()))
-                    ix.append(np.concatenate(own_ix).astype(np.int32))
-                    val.append(np.concatenate(own_val))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(texts)) for k in range(len(keys))), pa.array(ix, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], names=schema.fieldNames())
+                        ix.append((b + f * BUCKETS).astype(np.int32))
+                        val.append(SCALE * n / max(1, n.sum()))
+                    ends.append(ends[-1] + sum(map(len, ix[-FAMILIES:])))
+                ends, n = pa.array(ends, pa.int32()), len(texts)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (ix, val)]
+                sparse = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, FAMILIES * BUCKETS, np.int32)), *lists], names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), sparse], names=schema.fieldNames())
 
-    return docs.select(*keys, text).mapInArrow(count, schema)
+    return sample.select(truth, fold, text).mapInArrow(count, schema)
 
 
 def train(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> Model | None:
     """A model of label = 1, learned from the first `rows` labelled rows in a fixed pseudo-random order of key.
 
-    labels has key and label; of labels that repeat a key the least counts, null ones count not. None if only one
-    label, or none, is seen.
+    labels has key and label; of labels that repeat a key the least counts, null ones count not; of texts that repeat a
+    key the least is learned from. None if only one label, or none, is seen. The sample is written to the shared folder
+    and fitted in FIT_PARTITIONS partitions, whatever the size of docs.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
-    sample = {r[0]: float(r[1] == 1) for r in known.orderBy(order_hash(F.col(key).cast("string")), key).limit(rows).collect()}
-    if not sample:
-        return None
-    vector = F.udf(lambda ix, val: SparseVector(FAMILIES * BUCKETS, ix, val), VectorUDT())
-    truth = F.udf(lambda k: sample[k], T.DoubleType())
-    made = hashed(docs.where(F.col(key).isin(list(sample))), [key], text).select(truth(key).alias("label"), vector("ix", "val").alias("features"), (F.pmod(order_hash(F.col(key).cast("string"), F.lit("fold")), F.lit(CALIBRATED)) == 0).alias("fold")).cache()
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.min(label) == 1).cast("double").alias("_label"))
+    order = order_hash(F.col(key).cast("string"))
+    chosen = known.orderBy(order, key).limit(rows).select(F.col(key).alias("_key"), "_label", (F.pmod(order_hash(F.col(key).cast("string"), F.lit("fold")), F.lit(CALIBRATED)) == 0).alias("_fold"))
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").groupBy("_key", "_label", "_fold").agg(F.min("_text").alias("_text"))
+    written = materialize(examples(found, "_text", "_label", "_fold"))
+    model = fit(written.coalesce(FIT_PARTITIONS))
+    discard(written)
+    return model
+
+
+def fit(made: DataFrame) -> Model | None:
+    """A model of rows of label, fold and features: those outside the fold teach the weights, those in it calibrate."""
     seen = {(r["fold"], r["label"]): r["count"] for r in made.groupBy("fold", "label").count().collect()}
     if not (seen.get((False, 0.0)) and seen.get((False, 1.0))):
-        made.unpersist()
         return None
     fitted = LogisticRegression(maxIter=30, regParam=1e-4, standardization=False).fit(made.where(~F.col("fold")))
     model = Model(fitted.coefficients.toArray().reshape(FAMILIES, BUCKETS), float(fitted.intercept), 1.0, 0.0)
     if seen.get((True, 0.0)) and seen.get((True, 1.0)):
-        raw = F.udf(lambda v: SparseVector(1, [0], [float(v[1])]), VectorUDT())
-        held = fitted.transform(made.where("fold")).select("label", raw("rawPrediction").alias("features"))
+        score = array_to_vector(F.slice(vector_to_array("rawPrediction"), 2, 1))
+        held = fitted.transform(made.where("fold")).select("label", score.alias("features"))
         platt = LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(held)
         model.slope, model.offset = float(platt.coefficients[0]), float(platt.intercept)
-    made.unpersist()
     return model
 
 

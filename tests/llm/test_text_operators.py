@@ -129,9 +129,49 @@ def brute_counts(text):
 def test_quality_counts(spark, sf_dir):
     for text in (None, "", "a b c a b c", "a a a a", "x y z\x1cw", "l\n\nl\n l\nl\r", "#*$%&|<> ü"):
         assert quality.counts(text) == brute_counts(text)
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect():
-        text = r["text"][:3000]
-        assert quality.counts(text) == brute_counts(text)
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if len(r["text"]) < 20_000:  # brute force is quadratic
+            assert quality.counts(r["text"]) == brute_counts(r["text"])
+
+
+def brute_values(text):
+    """Values of a text's n-grams by family and bucket, one n-gram at a time."""
+    rest, step, out = 2**64, 0x9E3779B97F4A7C15, []
+
+    def bucket(h):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * factor % rest
+        return (h ^ (h >> 31)) % quality.BUCKETS
+
+    own = [int(words([w], Powers())[0][0]) for w in text.encode().split()]
+    out.append([h % quality.BUCKETS for h in own])
+    out.append([bucket((a * 3 + b) % rest) for a, b in zip(own, own[1:], strict=False)])
+    for n in quality.RUNS:
+        found = []
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h * step + ord(c)) % rest
+            found.append(bucket((h + n) % rest))
+        out.append(found)
+    return [{b: quality.SCALE * found.count(b) / len(found) for b in set(found)} for found in out]
+
+
+def test_quality_features_and_probability(spark):
+    """Against n-grams taken one at a time; runs of characters are runs of code points."""
+    texts = ["", "one", "ab", "Ünï cödé \U0001f600 \U0001f600 words words", "one two three one two", " a\n b "]
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.standard_normal((quality.FAMILIES, quality.BUCKETS)), 0.25, 0.7, -0.1)
+    want = [brute_values(t) for t in texts]
+    raw = [0.25 + sum(model.weights[f][b] * v for f, part in enumerate(w) for b, v in part.items()) for w in want]
+    data = [t.encode() for t in texts]
+    assert model.scores(data, Powers()) == pytest.approx(raw)
+    assert model.probabilities(data, Powers()) == pytest.approx([1 / (1 + np.exp(-0.7 * x + 0.1)) for x in raw])
+    sample = spark.createDataFrame([(float(i % 2), False, t) for i, t in enumerate(texts)], "label double, fold boolean, t string").coalesce(1)
+    made = quality.examples(sample, "t", "label", "fold").collect()
+    for row, parts in zip(made, want, strict=True):
+        flat = {f * quality.BUCKETS + b: v for f, part in enumerate(parts) for b, v in part.items()}
+        assert dict(zip(row["features"].indices.tolist(), row["features"].values.tolist(), strict=True)) == pytest.approx(flat)
 
 
 def test_quality_model(spark, sf_dir):
