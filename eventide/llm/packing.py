@@ -2,13 +2,15 @@
 
 The documents' pieces are counted by length, which gives at most `capacity` rows whatever the corpus, and the plan is
 made on those counts: around the largest length that is left, undominated fillings are tried in a branch-and-bound
-search. Pieces then find their place by their number among the pieces of their length.
+search, which is cut where the waste of a plan of fewer sequences than the incumbent is used up. Pieces then find their place by their number among the pieces of their length.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import functools
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,12 +26,14 @@ CAPACITY = 1024
 END_ID = 2
 #: The byte-level BPE vocabulary byte_bpe_50k.json in the form of ranks: the same ids, read by a faster library.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# The special tokens of byte_bpe_50k.json, which it also finds in plain text.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Rows of one Arrow batch that are tokenized at once.
 SLICE_ROWS = 256
-#: Nodes of the search after the first dive; the best plan so far holds when they are used up.
+#: Nodes of one search; the best plan so far holds when they are used up.
 NODES = 400
-#: Fillings tried at a node.
-BRANCHES = 4
+#: Dual feasible functions of the lower bound.
+DUALS = 32
 #: Pieces of one length that are numbered by one task.
 NUMBERED = 50_000
 
@@ -40,7 +44,7 @@ def encoder(vocabulary: str):
 
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -63,7 +67,7 @@ def pieces(docs: DataFrame, text: str, keys: list[str], capacity: int = CAPACITY
                 batch = whole.slice(at, SLICE_ROWS)
                 row, found = [], ([], [], [], [])
                 for i, doc in enumerate(batch.column(len(keys)).to_pylist()):
-                    ids = np.array(code.encode_ordinary(doc or ""), "<u4").tobytes() + end
+                    ids = np.array(code.encode(doc or "", allowed_special="all"), "<u4").tobytes() + end
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         row.append(i)
                         for column, value in zip(found, (k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
@@ -74,82 +78,107 @@ def pieces(docs: DataFrame, text: str, keys: list[str], capacity: int = CAPACITY
     return docs.select(*(F.col(k) for k in keys), F.col(text)).mapInArrow(tokenized, schema)
 
 
+@functools.cache
+def dual(capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of dual feasible functions of the lengths, and what a whole sequence counts in each: the length itself, and
+    for k = 1, 2, .. the whole multiples of 1 / k below x (k + 1) / capacity, or x where (k + 1) x is a multiple of
+    capacity. No sequence holds more than a whole one of any of them; with k = 3, say, only three lengths over a
+    quarter."""
+    k, x = np.arange(1, DUALS + 1)[:, None], np.arange(capacity + 1)
+    whole, over = np.divmod((k + 1) * x, capacity)
+    return np.vstack([x, np.where(over, whole * capacity, k * x)]), np.concatenate([[[1]], k]) * capacity
+
+
 def least_bins(counts: np.ndarray) -> int:
-    """A lower bound of the bins that the lengths need: for each k, lengths over capacity - k stand alone, and those
-    from k on must fill what lengths over half leave."""
+    """A lower bound of the bins that the lengths need: the best over dual feasible functions, each also with lengths
+    below e left out and those above capacity - e counted as whole bins, for every e up to half the capacity."""
     capacity = len(counts) - 1
-    size = np.arange(capacity + 1)
-    number, total = np.cumsum(counts), np.cumsum(counts * size)
-    best = -(-int(total[-1]) // capacity)
-    for k in range(1, capacity // 2 + 1):
-        alone = int(number[-1] - number[capacity - k])
-        large, large_sum = int(number[capacity - k] - number[capacity // 2]), int(total[capacity - k] - total[capacity // 2])
-        small_sum = int(total[capacity // 2] - total[k - 1])
-        best = max(best, alone + large + max(0, -(-(small_sum - (large * capacity - large_sum)) // capacity)))
-    return best
+    values, one = dual(capacity)
+    sums = np.concatenate([np.zeros((DUALS + 1, 1), np.int64), np.cumsum(values * counts, axis=1)], axis=1)
+    number = np.concatenate([[0], np.cumsum(counts)])
+    e = np.arange(capacity // 2 + 1)
+    whole = values[:, capacity:] * (number[-1] - number[capacity - e + 1])
+    return int((-(-(sums[:, capacity - e + 1] - sums[:, e] + whole) // one)).max())
 
 
-def fillings(counts: np.ndarray, largest: int, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room beside `largest`, those that waste least first, at most `most` of them.
+def fillings(left: np.ndarray, room: int, most_waste: int, few: bool) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of room by the lengths left that waste at most most_waste, those that waste least first;
+    of equal waste either those of fewest pieces first or those of the largest pieces.
 
-    A filling is dominated if one of its lengths, or some of them together, can give way to one larger length that
-    still fits; a single length that fills the room dominates all others.
+    A filling is dominated if one more length fits, or if some of its lengths can give way to a single larger one (or,
+    if they are several, one as large) that is left. A table of the sums that the smaller lengths reach leads every
+    step to some filling.
     """
-    room = len(counts) - 1 - largest
-    left = counts.copy()
-    left[largest] -= 1
-    sizes = np.flatnonzero(left[: room + 1])
-    sizes = sizes[sizes > 0].tolist()
-    if not sizes:
-        return [()]
-    if sizes[-1] == room:
-        return [(room,)]
-
-    def fits(most_size: int) -> int:
-        i = bisect.bisect_right(sizes, most_size)
-        return sizes[i - 1] if i else 0
-
-    def enough(chosen: tuple[int, ...]) -> bool:
-        return all(left[x] >= chosen.count(x) for x in set(chosen))
-
-    def dominated(chosen: tuple[int, ...]) -> bool:
-        slack = room - sum(chosen)
-        parts = [(x,) for x in chosen] + [chosen[i:j] for i in range(len(chosen)) for j in range(i + 2, len(chosen) + 1)]
-        for part in parts:
-            other = fits(sum(part) + slack)
-            if other > sum(part) - (len(part) > 1) and other not in part and left[other] > chosen.count(other):
-                return True
-        return False
+    sizes = np.flatnonzero(left[: room + 1]).tolist()
+    have = dict(zip(sizes, left[sizes].tolist(), strict=True))
+    reached: list[int] = []  # as bits: the sums of the lengths before each
+
+    def prepare() -> list[int]:
+        if not reached:
+            reached.append(1)
+            for s in sizes:
+                bits, copies, step = reached[-1], min(have[s], room // s), 1
+                while copies:
+                    step = min(step, copies)
+                    bits |= (bits << s * step) & ((1 << room + 1) - 1)
+                    copies, step = copies - step, 2 * step
+                reached.append(bits)
+        return reached
+
+    def below(most: int) -> Iterator[int]:
+        return reversed(sizes[: bisect.bisect_right(sizes, most)])
+
+    def pairs(total: int, most: int) -> Iterator[tuple[int, ...]]:
+        for s in below(min(total - 1, most)):
+            if 2 * s < total:
+                break
+            if have.get(total - s, 0) > (2 * s == total):
+                yield s, total - s
 
-    found: set[tuple[int, ...]] = set()
-    exact = 0
-    for first in reversed(sizes):
-        second = fits(min(first, room - first))
-        if second and not enough((first, second)):
-            second = fits(second - 1)
-        pair = (first, second) if second else (first,)
-        exact += sum(pair) == room
-        found.add(pair)
-        if exact >= most:
-            break
-    if not exact:
-        for first in reversed(sizes):
-            rest = room - first
-            for second in reversed(sizes[: bisect.bisect_right(sizes, min(first, rest))]):
-                chosen, still = (first, second), rest - second
-                if not enough(chosen):
-                    continue
-                while (third := fits(min(chosen[-1], still))) and enough((*chosen, third)):
-                    chosen, still = (*chosen, third), still - third
-                found.add(chosen)
-                exact += not still
-                if exact >= most or len(found) > 2000:
-                    break
-            if exact >= most or len(found) > 2000:
+    def triples(total: int) -> Iterator[tuple[int, ...]]:
+        for s in below(total - 2):
+            if 3 * s < total:
                 break
-    ranked = sorted(found, key=lambda c: (-sum(c), len(c), [-x for x in c]))
-    kept = [c for c in ranked[: 8 * most] if not dominated(c)][:most]
-    return kept or ranked[:1]
+            yield from ((s, *p) for p in pairs(total - s, s) if have[s] > p.count(s))
+
+    def sums(total: int, top: int) -> Iterator[tuple[int, ...]]:
+        """Every choice among the first top lengths, the largest pieces first."""
+        if not total:
+            yield ()
+            return
+        for i in range(bisect.bisect_right(sizes, total, 0, top) - 1, -1, -1):
+            s = sizes[i]
+            if not reached[i + 1] >> total & 1:
+                return
+            for copies in range(min(have[s], total // s), 0, -1):
+                if reached[i] >> total - copies * s & 1:
+                    yield from ((s,) * copies + rest for rest in sums(total - copies * s, i))
+
+    def of(total: int) -> Iterator[tuple[int, ...]]:
+        if few:
+            yield from ((total,) for _ in range(have.get(total, 0) > 0))
+            yield from pairs(total, total)
+            yield from triples(total)
+        if prepare()[-1] >> total & 1:
+            yield from (f for f in sums(total, len(sizes)) if not few or len(f) > 3)
+
+    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
+        def some(low: int, high: int) -> bool:
+            return any(have[y] > chosen.count(y) for y in sizes[bisect.bisect_left(sizes, low) : bisect.bisect_right(sizes, high)])
+
+        if some(1, waste):
+            return True
+        for n in range(1, min(len(chosen), 4) + 1):
+            for part in set(itertools.combinations(chosen, n)):
+                if some(sum(part) + (n == 1), sum(part) + waste):
+                    return True
+        return False
+
+    for waste in range(min(most_waste, room) + 1):
+        if waste == room:
+            yield from [()] if not sizes else []
+        else:
+            yield from (f for f in of(room - waste) if not dominated(f, waste))
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -178,55 +207,73 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(p, n) for found in open_bins.values() for p, n in found.items() if p]
 
 
-def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths, each with the number of sequences that take it; counts[n] pieces have length n.
+def search(counts: np.ndarray, target: int | None, nodes: int, few: bool) -> list[tuple[tuple[int, ...], int]] | None:
+    """A plan of at most target sequences, or of any number if target is None; None if there is none, or none is found
+    in so many nodes.
 
-    The first incumbent is best-fit decreasing. The search takes the best fitting filling at every step, and as often
-    as the counts allow, and after the first dive goes back from the last choice on. A branch is cut when what it has used and the lower
-    bound of the rest reach the incumbent; the search ends at the lower bound of the whole, or after `nodes` steps.
+    Depth first: around the largest length left, fillings are tried in the order of fillings(), each as often as the
+    counts and the waste that target still leaves allow. A branch is cut where the lower bound of the rest is over what
+    target leaves.
     """
     capacity = len(counts) - 1
-    goal = least_bins(counts)
-    first = best_fit(counts)
-    best: list = [first, sum(times for _, times in first)]
-    spent = -2 * (capacity + 1)  # the first dive
-
-    def branches(left: np.ndarray, used: int):
-        largest = int(np.flatnonzero(left)[-1])
-        for filling in fillings(left, largest):
-            pattern = (largest, *filling)
-            sizes, copies = np.unique(pattern, return_counts=True)
-            times = int((left[sizes] // copies).min())
-            after = left.copy()
-            after[sizes] -= copies * times
-            yield pattern, times, after, used + times
+    left = counts.astype(np.int64)
+    waste = int(left.sum()) * capacity if target is None else target * capacity - int(left @ np.arange(capacity + 1))
+    path: list[tuple[tuple[int, ...], int]] = []
+    stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
+    while True:
+        if left.any():
+            largest = int(np.flatnonzero(left)[-1])
+            others = left.copy()
+            others[largest] -= 1
+            used = sum(times for _, times in path)
+            open_ = target is None or used + least_bins(left) <= target
+            stack.append((largest, fillings(others, capacity - largest, waste, few) if open_ else iter(())))
+        else:
+            return path
+        while (filling := next(stack[-1][1], None)) is None:
+            stack.pop()
+            if not path:
+                return None
+            pattern, times = path.pop()
+            np.add.at(left, list(pattern), times)
+            waste += (capacity - sum(pattern)) * times
+        nodes -= target is not None
+        if nodes < 0:
+            return None
+        pattern = (stack[-1][0], *filling)
+        sizes, copies = np.unique(pattern, return_counts=True)
+        times, lost = int((left[sizes] // copies).min()), capacity - sum(pattern)
+        times = min(times, waste // lost) if lost else times
+        left[sizes] -= copies * times
+        waste -= lost * times
+        path.append((pattern, times))
+
 
+def plan(counts: np.ndarray, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths, each with the number of sequences that take it; counts[n] pieces have length n.
+
+    The first incumbents are best-fit decreasing and the first leaves of the search in its two orders. Then the search
+    asks for the lower bound, and for one sequence less than the incumbent as long as that is found. It ends at the
+    lower bound, where the plan is proved to be the best, or when `nodes` nodes of a search are used up.
+    """
     if not counts.any():
         return []
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack = [branches(counts.astype(np.int64), 0)]
-    while stack:
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if path:
-                path.pop()
-            continue
-        pattern, times, left, used = step
-        spent += 1
-        if best[1] <= goal or spent > nodes:
+    goal = least_bins(counts)
+
+    def used(patterns: list) -> int:
+        return sum(times for _, times in patterns)
+
+    best = min([best_fit(counts), *(search(counts, None, 0, few) for few in (False, True))], key=used)
+    target = goal
+    while used(best) > goal:
+        better = search(counts, target, nodes, False) or search(counts, target, nodes, True)
+        if better:
+            best = better
+        elif target >= used(best) - 1:
             break
-        if used + least_bins(left) >= best[1]:
-            continue
-        path.append((pattern, times))
-        if left.any():
-            stack.append(branches(left, used))
-            continue
-        if used < best[1]:
-            best = [list(path), used]
-        path.pop()
-    assert sum(times * sum(pattern) for pattern, times in best[0]) == int((counts * np.arange(capacity + 1)).sum())
-    return best[0]
+        target = used(best) - 1
+    assert sum(times * sum(pattern) for pattern, times in best) == int(counts @ np.arange(len(counts)))
+    return best
 
 
 def places(patterns: Iterable[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -96,6 +97,41 @@ def test_packing_finds_the_least():
         assert sum(t for _, t in packing.plan(np.bincount(sizes, minlength=21))) == least(sizes)
 
 
+def test_packing_proves_the_least():
+    """Where few lengths fit a sequence, their number bounds the sequences, and the plan reaches the bound."""
+    rng = np.random.default_rng(0)
+    for low, high, n, want in ((257, 400, 1000, 334), (342, 511, 3000, 1500), (513, 1024, 200, 200), (50, 350, 4000, None)):
+        counts = np.bincount(rng.integers(low, high + 1, n), minlength=1025)
+        least = packing.least_bins(counts)
+        assert least == (want or least) == sum(t for _, t in packing.plan(counts))
+
+
+def test_packing_bounds_hold():
+    """No lower bound is above a plan, also with small capacities; every filling of a room is met or dominated."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        counts = np.bincount(rng.integers(1, 21, 9), minlength=21)
+        assert packing.least_bins(counts) <= sum(t for _, t in packing.plan(counts))
+        room, left = int(rng.integers(1, 20)), np.bincount(rng.integers(1, 12, 8), minlength=21)
+        pieces = np.repeat(np.arange(21), left).tolist()
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(pieces) + 1) for c in itertools.combinations(pieces, n) if sum(c) <= room}
+        for few in (False, True):
+            found = list(packing.fillings(left, room, room, few))
+            assert len(set(found)) == len(found) and set(found) <= every
+            assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+            for f in every - set(found):  # some filling that was found is at least as full
+                assert any(sum(g) >= sum(f) for g in found)
+
+
+def test_packing_ids_are_those_of_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, code = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.VOCABULARY)
+    for text in ("<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>\n", "x <|endoftext| >", " \n\n  x's I'LL 12345 ½²  ", "日本語テキスト\0 é e\u0301", "=" * 3000, " " * 500 + "\t" * 7, "\U0001f600\u200d\U0001f600"):
+        assert code.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd(odd, empty):
     rows = packing.pack(odd, "text", ["doc_id"], capacity=256).collect()
     check_packed(rows, 256)
