@@ -6,53 +6,68 @@ each dictionary; the language whose dictionary gives the fewest bytes wins, and
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import order_hash, table
+from eventide.llm.common import free_name, order_hash, table
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 UNKNOWN = "und"
 
-#: Bounds of the training sample: texts a language, and bytes that one text may give.
+#: Bounds of the training sample: texts a language, and the pieces that one text gives, spread over its whole length.
 SAMPLE_TEXTS = 64
-SAMPLE_BYTES = 4096
+PIECES, PIECE_CHARS = 16, 256
 #: Bytes coded at once. Blocks keep the dictionary, not the text's own beginning, as the main source of matches.
-BLOCK_BYTES = 2048
-LEVEL = 6
-#: Texts up to SHORT_BYTES are coded with several smaller slices of each dictionary, at a level that also finds
-#: three-byte matches, behind a piece of the slice itself: else the coder would store a short text as it is.
-SHORT_BYTES, SHORT_LEVEL = 512, 19
-SLICES, SLICE_BYTES, LEAD_BYTES = 8, 16384, 128
+BLOCK_BYTES = 4096
+LEVEL = 10
+#: Bytes of the dictionary itself that every block is coded behind, and that are taken off its size again: else the
+#: coder would store a block of few words as it is, and all languages would be alike.
+LEAD_BYTES = 512
 #: A win by less than this share of the runner-up's size is rejected.
 MIN_MARGIN = 0.002
 
 
-def normalise(text: str) -> bytes:
-    """Lower-case words between single spaces: case, digits and punctuation say nothing of a language."""
-    return f" {NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
+def normalise(text: str) -> str:
+    """Lower-case words (letters and their marks) between single spaces: case, numbers and punctuation say nothing of a
+    language."""
+    return f" {NOT_LETTERS.sub(' ', text.lower()).strip()} "
 
 
-def train_dictionaries(labelled: DataFrame, text: str, lang: str, key: str, sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+def spread(text: str, pieces: int = PIECES, chars: int = PIECE_CHARS) -> str:
+    """So many pieces of a normalised text, at even distances from its beginning to its end; all of it if that is less."""
+    if len(text) <= pieces * chars:
+        return text
+    starts = (i * (len(text) - chars) // (pieces - 1) for i in range(pieces))
+    return " ".join(text[s : s + chars] for s in starts)
+
+
+def train_dictionaries(labelled: DataFrame, text: str, lang: str, key: str, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """One raw-content dictionary for each language of labelled.
 
-    The sample is bounded: sample_texts rows a language, the first in a fixed pseudo-random order of key, of which
-    each gives sample_bytes at most. Rows with null text or language are left out.
+    The sample is bounded: the texts of sample_texts keys a language, the first in a fixed pseudo-random order of key, of
+    which each gives PIECES pieces of PIECE_CHARS characters from all of its length. Rows with null key, text or language
+    are left out; of texts that repeat a key and language the least is taken. What reaches the driver grows with the
+    number of languages only.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    order = order_hash(F.col("k").cast("string"))
-    nth = F.row_number().over(Window.partitionBy("l").orderBy(order, F.col("k")))
-    chosen = rows.select("k", "l").withColumn("n", nth).where(F.col("n") <= sample_texts).select("k").distinct()
-    picked = rows.join(chosen, "k", "left_semi").withColumn("n", nth).where(F.col("n") <= sample_texts)
-    sample: dict[str, list[bytes]] = {}
-    for row in picked.orderBy("l", "n").select("l", F.substring("t", 1, sample_bytes).alias("t")).collect():
-        sample.setdefault(row["l"], []).append(normalise(row["t"])[:sample_bytes])
-    return {k: b"".join(v) for k, v in sorted(sample.items())}
+    rows = labelled.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(order_hash(F.col("k").cast("string")), "k"))
+    chosen = rows.select("k", "l").withColumn("n", nth).where(F.col("n") <= sample_texts).groupBy("k", "l").agg(F.min("n").alias("n"))
+    picked = rows.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "n").agg(F.min("t").alias("t"))
+
+    @F.pandas_udf("string")
+    def drawn(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: spread(normalise(t)))
+
+    sample: dict[str, list[str]] = {}
+    for row in picked.select("l", "n", drawn("t").alias("t")).orderBy("l", "n").collect():
+        sample.setdefault(row["l"], []).append(row["t"])
+    return {k: "".join(v).encode() for k, v in sorted(sample.items())}
 
 
 class Coder:
@@ -60,27 +75,17 @@ class Coder:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
-        self.whole = [self._coder(d, LEVEL) for d in dictionaries.values()]
-        self.sliced = [[self._slice(d, i) for i in range(SLICES)] for d in dictionaries.values()]
-
-    def _slice(self, content: bytes, i: int):
-        """A coder of one slice, the lead that it codes first, and what the lead alone takes."""
-        part = content[i * len(content) // SLICES :][:SLICE_BYTES]
-        coder, lead = self._coder(part, SHORT_LEVEL), part[len(part) // 2 :][:LEAD_BYTES]
-        return coder, lead, len(coder.compress(lead))
+        self.coders = []
+        for content in dictionaries.values():
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(level=LEVEL)
+            coder, lead = zstandard.ZstdCompressor(dict_data=shared, write_content_size=False, write_dict_id=False), content[len(content) // 2 :][:LEAD_BYTES]
+            self.coders.append((coder, lead, len(coder.compress(lead))))
 
     def sizes(self, data: bytes) -> list[int]:
         """Bytes that data takes under each language, in the order of langs."""
-        if len(data) <= SHORT_BYTES:
-            return [sum(len(c.compress(lead + data)) - alone for c, lead, alone in s) for s in self.sliced]
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in self.whole]
-
-    @staticmethod
-    def _coder(content: bytes, level: int):
-        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        shared.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(dict_data=shared, write_content_size=False, write_dict_id=False)
+        return [sum(len(coder.compress(lead + b)) - alone for b in blocks) for coder, lead, alone in self.coders]
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected.
@@ -89,23 +94,25 @@ class Coder:
         UNKNOWN, which is the answer for null texts and texts without letters, and if no language was learned.
         Ties go to the language that sorts first, with score 0.
         """
-        data = b"" if text is None else normalise(text)
-        if len(data) <= 2 or not self.langs:
+        if text is None or not LETTER.search(text) or not self.langs:
             return UNKNOWN, 0.0, True
-        ranked = sorted(zip(self.sizes(data), self.langs, strict=True))
+        ranked = sorted(zip(self.sizes(normalise(text).encode()), self.langs, strict=True))
         if len(ranked) == 1:
             return ranked[0][1], 1.0, False
         margin = 1 - max(ranked[0][0], 0) / max(ranked[1][0], 1)
-        return ranked[0][1], float(1 - 2.718281828459045 ** (-30 * margin)), margin < MIN_MARGIN
+        return ranked[0][1], max(0.0, 1 - math.exp(-30 * margin)), margin < MIN_MARGIN
 
 
 def identify(docs: DataFrame, text: str, dictionaries: dict[str, bytes], prefix: str = "lid_") -> DataFrame:
-    """docs with the columns <prefix>lang, <prefix>score and <prefix>rejected.
+    """docs with the columns <prefix>lang, <prefix>score and <prefix>rejected; they replace columns of docs of these names.
 
-    Null texts and texts without letters get UNKNOWN, 0 and true. Rows keep their order and number.
+    Null texts and texts without letters get UNKNOWN, 0 and true. Rows keep their number and their other columns.
     """
-    out = docs.withColumn(f"{prefix}judged", judge_udf(dictionaries)(F.col(text)))
-    return out.select(*docs.columns, *(F.col(f"{prefix}judged.{x}").alias(f"{prefix}{x}") for x in ("lang", "score", "rejected")))
+    own = [f"{prefix}{x}" for x in ("lang", "score", "rejected")]
+    judged = free_name("judged", docs.columns)
+    out = docs.withColumn(judged, judge_udf(dictionaries)(F.col(f"`{text}`")))
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in own}]
+    return out.select(*(F.col(f"`{c}`") for c in kept), *(F.col(judged)[x.removeprefix(prefix)].alias(x) for x in own))
 
 
 def judge_udf(dictionaries: dict[str, bytes]):

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from eventide.llm import language_id, licenses, private_data, quality, registry
@@ -100,12 +101,45 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_against_plain_compression(spark, sf_dir):
+    """The query's verdicts, from a compressor made anew for every block."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dictionaries = language_id.train_dictionaries(docs.where(~language_id.held_out("doc_id")), "text", "lang", "doc_id")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in sorted(registry.QUERIES["op4_language_id"](spark, sf_dir).collect(), key=lambda r: r["doc_id"])[:40]:
+        data, sizes = f" {re.sub(r'[\W\d_]+', ' ', texts[r['doc_id']].lower()).strip()} ".encode(), {}
+        for lang, content in dictionaries.items():
+            sizes[lang], lead = 0, content[len(content) // 2 :][: language_id.LEAD_BYTES]
+            for i in range(0, len(data), language_id.BLOCK_BYTES):
+                shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                shared.precompute_compress(level=language_id.LEVEL)
+                size = [len(zstandard.ZstdCompressor(dict_data=shared, write_content_size=False).compress(x)) for x in (lead + data[i : i + language_id.BLOCK_BYTES], lead)]
+                sizes[lang] += size[0] - size[1]
+        best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert r["lang_pred"] == best[1] and r["score"] == pytest.approx(1 - np.exp(-30 * (1 - best[0] / second[0])))
+
+
+def test_language_of_few_words_and_of_pieces(spark, sf_dir):
+    """Texts of four words are coded as long ones are; a sample's pieces come from the whole of its text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    coder = language_id.Coder(language_id.train_dictionaries(docs, "text", "lang", "doc_id"))
+    rows = [r for r in docs.collect() if len(language_id.normalise(r["text"]).split()) >= 4]
+    right = [coder.judge(" ".join(language_id.normalise(r["text"]).split()[:4]))[0] == r["lang"] for r in rows]
+    assert np.mean(right) > 0.9
+    text = "".join(f"{i:06d}" for i in range(20_000))
+    drawn = language_id.spread(text)
+    assert drawn.startswith(text[:200]) and drawn.endswith(text[-200:]) and len(drawn) == 16 * 257 - 1
+    assert coder.judge("² ½ ① 12 ٣ _ !") == ("und", 0.0, True)
+
+
 def test_language_odd(spark, sf_dir, odd, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionaries = language_id.train_dictionaries(docs, "text", "lang", "doc_id", sample_texts=8)
     assert sorted(dictionaries) == ["de", "en", "es", "fr"]
-    found = language_id.identify(odd, "text", dictionaries).collect()
+    named = odd.withColumn("judged", F.lit("j")).withColumn("lid_judged", F.lit("l")).withColumn("Lid_Lang", F.lit("old"))
+    found = language_id.identify(named, "text", dictionaries).collect()
     assert len(found) == len(TEXTS) + 1 and set(odd.columns) < set(found[0].asDict())
+    assert {(r["judged"], r["lid_judged"]) for r in found} == {("j", "l")} and "Lid_Lang" not in found[0].asDict()
     und = {r["doc_id"]: r["lid_lang"] for r in found}
     assert und[0] == und[1] == und[None] == "und"
     assert language_id.identify(empty, "text", dictionaries).count() == 0
