@@ -2,9 +2,14 @@
 
 The field's nodes are the tokens that hold a digit or "@"; every other token is outside by definition, which cuts a
 document into short chains. Neighbouring nodes share a transition potential, and a node shares a skip potential with
-the nearest earlier node of the same normal form, however far away. Loopy message passing over both kinds of edges
-gives each node's label, so that a number is labelled alike wherever it is repeated. The field learns from the places
-of the fixed patterns in a bounded sample of documents.
+the first node of the document that is similar to it (the same letters and digits, or the same last digits of a long
+number), however far away: all mentions of a number are two steps from each other. Loopy message passing over both kinds
+of edges gives each node's label, so that a number is labelled alike wherever it is repeated.
+
+The field learns from a bounded sample of documents: from the places of the fixed patterns and of written-out secrets,
+and from copies in which a mention is rewritten so that no pattern finds it (a phone number without "+", a card number
+with dots, an address without its domain's end), half of them with the true mention elsewhere in the document. So it
+adds what the patterns miss: such mentions, and secrets, which have no pattern of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +36,34 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: The same matches in linear time: a run that can't match is not tried again from its middle.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+LINEAR = {
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+"),
+    "phone": re.compile(PATTERNS["phone"]),
+}
 #: A character without which a pattern can't match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-
-#: Documents that the field learns from, steps of its training, and rounds of message passing.
-SAMPLE_DOCS, STEPS, ROUNDS = 1500, 120, 8
+#: Secrets that are written out: what the field learns this kind from.
+SECRET = re.compile(r"\b(?:token|key|secret|password) ?[=:] ?\"?([0-9a-f]{24,})")
+
+#: Documents that the field learns from, steps of its training, and the most rounds of message passing.
+SAMPLE_DOCS, STEPS, ROUNDS = 1500, 80, 40
+#: Copies of a sampled document with a rewritten mention.
+COPIES = 2
+#: Message passing ends when no message changes by more than this.
+TOLERANCE = 1e-3
+#: Of a sampled document: the most nodes, the longest node, and the characters beside nodes.
+SAMPLE_NODES, NODE_CHARS, CONTEXT = 64, 256, 32
+#: Last digits by which long numbers are similar.
+LAST_DIGITS = 7
 #: Least probability of a label for a span that the field adds.
 MIN_PROBABILITY = 0.9
-LABELS = ["", *KINDS]
-DIGITS = set("0123456789")
+ALL_KINDS = [*KINDS, "secret"]
+LABELS = ["", *ALL_KINDS]
+DIGITS, HEX = set("0123456789"), set("0123456789abcdefABCDEF")
 HIT = re.compile(r"[0-9@]")
 SPACE = re.compile(r"\s")
 #: Texts of an Arrow batch that make one graph.
@@ -63,12 +87,28 @@ def holds(kind: str, found: str) -> bool:
     return 10 <= len(digits) <= 15 if kind == "phone" else 14 <= len(digits) <= 19 and luhn(digits)
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the matches of the email pattern, from one "@" to the next."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start, domain = at, DOMAIN.match(text, at + 1)
+        while domain and start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at:
+            end = domain.end()
+            yield start, end
+        at = text.find("@", max(end, at + 1))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start and then kind; matches that fail are dropped."""
     out = []
-    for order, (kind, pattern) in enumerate(COMPILED.items()):
-        if NEEDS[kind] in text:
-            out += [(m.start(), order, m.end(), kind) for m in pattern.finditer(text) if holds(kind, m[0])]
+    for order, kind in enumerate(KINDS):
+        if NEEDS[kind] not in text:
+            continue
+        for start, end in emails(text) if kind == "email" else (m.span() for m in LINEAR[kind].finditer(text)):
+            if holds(kind, text[start:end]):
+                out.append((start, order, end, kind))
     return [(s, e, k) for s, _, e, k in sorted(out)]
 
 
@@ -87,7 +127,8 @@ def nodes(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def features(token: str) -> list[bool]:
+def features(token: str, before: str = "") -> list[bool]:
+    """Of a token and the characters before it."""
     digits = sum(c in DIGITS for c in token)
     letters = sum(c.isalpha() for c in token)
     core = token.strip(".,;:!?\"'()[]{}<>")
@@ -117,11 +158,19 @@ def features(token: str) -> list[bool]:
         '"' in token,
         token[-1:] in ".,;:!?",
         set(core) <= DIGITS and 14 <= digits <= 19 and luhn(core),
+        14 <= digits <= 19 and not letters and luhn("".join(c for c in core if c in DIGITS)),
+        len(core) >= 24 and set(core) <= HEX,
+        len(core) >= 24 and set(core) <= HEX and 0 < digits < len(core),
+        before.rstrip().endswith(("=", ":")),
+        any(x in before.lower() for x in ("token", "key", "secret", "password")),
+        digits == 10 and not letters,
+        len(re.split("[^0-9]+", core)) >= 3 and not letters and digits >= 7,
+        len(re.split("[^0-9]+", core)) == 4 and not letters and digits <= 12,
     ]
 
 
 N_FEATURES = len(features("x1"))
-WHOLE_NUMBER = 12  # the feature of 14 to 19 digits
+WHOLE_NUMBER, LONG_CODE = 12, 24  # the features of 14 to 19 digits, and of long hexadecimal codes
 
 
 @dataclass
@@ -141,25 +190,29 @@ def normal_form(token: str) -> str:
     return re.sub(r"[\W_]", "", token.lower())
 
 
+def similar_to(token: str) -> list[str]:
+    """Names that similar tokens share: the token's letters and digits, and the last digits of a long number."""
+    form = normal_form(token)
+    digits = "".join(c for c in form if c in DIGITS)
+    return [form, f"#{digits[-LAST_DIGITS:]}"] if len(digits) >= LAST_DIGITS and digits == form else [form]
+
+
 def build(texts: list[str]) -> Graph:
     of, spans, rows, alone, chain, skip = [], [], [], [], [], []
     for i, text in enumerate(texts):
-        last: dict[str, int] = {}
+        first: dict[str, int] = {}
         before = None
         for start, end in nodes(text):
             me, token = len(spans), text[start:end]
             of.append(i)
             spans.append((start, end))
-            rows.append(features(token))
+            rows.append(features(token, text[max(0, start - 16) : start]))
             near = before is not None and text[before:start].isspace()
             if near:
                 chain.append((me - 1, me))
                 alone[-1][1] = False
             alone.append([not near, True])
-            form = normal_form(token)
-            if form in last:
-                skip.append((last[form], me))
-            last[form] = me
+            skip += sorted({(other, me) for name in similar_to(token) if (other := first.setdefault(name, me)) != me})
             before = end
     pairs = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
     return Graph(np.array(of, np.int64), spans, np.array(rows, float).reshape(-1, N_FEATURES), np.array(alone, bool).reshape(-1, 2), *pairs)
@@ -185,8 +238,9 @@ class Field:
         """Of each node by itself; a neighbour that is no node is outside."""
         return g.x @ self.unary + g.alone[:, :1] * self.transition[0] + g.alone[:, 1:] * self.transition[:, 0]
 
-    def pass_messages(self, g: Graph, own: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Log beliefs of nodes and of edges, after a fixed number of rounds of parallel loopy belief propagation."""
+    def pass_messages(self, g: Graph, own: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log beliefs of nodes and of edges, by parallel loopy belief propagation until messages rest, or for so many
+        rounds."""
         kinds = [(g.chain, self.transition), (g.skip, self.similar)]
         sent = [(np.zeros((len(e), own.shape[1])), np.zeros((len(e), own.shape[1]))) for e, _ in kinds]
 
@@ -204,7 +258,10 @@ class Field:
                 to_right = log_sum((b[e[:, 0]] - left)[:, :, None] + w, 1)
                 to_left = log_sum((b[e[:, 1]] - right)[:, None, :] + w, 2)
                 fresh.append((to_right - log_sum(to_right, 1)[:, None], to_left - log_sum(to_left, 1)[:, None]))
+            moved = max((float(np.abs(o - n).max()) for old, new in zip(sent, fresh, strict=True) for o, n in zip(old, new, strict=True) if o.size), default=0.0)
             sent = [tuple(0.5 * o + 0.5 * n for o, n in zip(old, new, strict=True)) for old, new in zip(sent, fresh, strict=True)]
+            if moved < tolerance:
+                break
         b = belief()
         pairs = []
         for (e, w), (right, left) in zip(kinds, sent, strict=True):
@@ -214,7 +271,7 @@ class Field:
 
     def expected(self, g: Graph, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of all weights' features."""
-        b, (chain, skip) = self.pass_messages(g, own)
+        b, (chain, skip) = self.pass_messages(g, own, 8)
         p = np.exp(b)
         transition = np.exp(chain).sum(0)
         transition[0] += (p * g.alone[:, :1]).sum(0)
@@ -242,39 +299,107 @@ class Field:
         return self
 
 
-def seen_labels(texts: list[str], g: Graph) -> np.ndarray:
-    """Labels of nodes after the fixed patterns."""
-    out = np.zeros(len(g.of), np.int64)
-    base = [base_spans(t) for t in texts]
+def known_spans(text: str) -> list[tuple[int, int, str]]:
+    """What the field learns from: the base, and written-out secrets."""
+    return base_spans(text) + [(*m.span(1), "secret") for m in SECRET.finditer(text)]
+
+
+def rewritten(found: str, kind: str, rng: np.random.Generator) -> str:
+    """A mention as no pattern finds it."""
+    digits = "".join(c for c in found if c in DIGITS)
+    if kind == "phone":
+        local = digits[-10:]
+        return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", digits][rng.integers(4)]
+    if kind == "card":
+        return "./"[rng.integers(2)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == "ip":
+        return found.replace(".", "-")
+    if kind == "email":
+        return found[: found.index(".", found.index("@"))]
+    return found.upper()
+
+
+def masked(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]] | None:
+    """text with one of its mentions rewritten, in half of the cases with the true mention behind it, and what the field
+    should find in it."""
+    spans = known_spans(text)
+    if not spans:
+        return None
+    start, end, kind = spans[rng.integers(len(spans))]
+    own = rewritten(text[start:end], kind, rng)
+    more = f" and {text[start:end]}" if rng.integers(2) else ""
+    new = text[:start] + own + text[end:] + more
+    return new, [*known_spans(new), (start, start + len(own), kind)]
+
+
+def seen_labels(g: Graph, spans: list[list[tuple[int, int, str]]]) -> np.ndarray:
+    """Labels of nodes after the spans of their texts; -1 for long codes that no span tells of."""
+    out = np.where(g.x[:, LONG_CODE] > 0, -1, 0)
     for i, (of, (start, end)) in enumerate(zip(g.of, g.spans, strict=True)):
-        kinds = [k for s, e, k in base[of] if s < end and start < e]
+        kinds = [k for s, e, k in spans[of] if s < end and start < e]
         if kinds:
             out[i] = LABELS.index(kinds[0])
     return out
 
 
+def gist(text: str) -> str:
+    """The nodes of a text with what stands beside them; of more than SAMPLE_NODES, runs of four from all of the text."""
+    found = [(s, e) for s, e in nodes(text) if e - s <= NODE_CHARS]
+    if len(found) > SAMPLE_NODES:
+        runs = SAMPLE_NODES // 4
+        found = [x for i in range(runs) for x in found[i * len(found) // runs :][:4]]
+    out: list[list[int]] = []
+    for start, end in found:
+        low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+        if low and (gap := SPACE.search(text, low, start)):
+            low = gap.start()
+        elif low:
+            low = start
+        while end < high < len(text) and not text[high - 1].isspace():
+            high -= 1
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
+        else:
+            out.append([low, high])
+    return " ".join(text[a:b] for a, b in out)
+
+
 def train(docs: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field fitted to a bounded sample: of the documents with a digit or "@", the first sample_docs in a fixed
-    pseudo-random order of key. Without such documents all weights are 0."""
-    some = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]"))
-    ids = [r[0] for r in some.select(key).orderBy(order_hash(F.col(key).cast("string")), key).limit(sample_docs).collect()]
-    if not ids:
+    pseudo-random order of key, the least text where a key is repeated, and of each the gist. Without such documents all
+    weights are 0."""
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").rlike("[0-9@]"))
+    chosen = some.select("k").distinct().orderBy(order_hash(F.col("k").cast("string")), "k").limit(sample_docs)
+
+    @F.pandas_udf("string")
+    def short(texts: pd.Series) -> pd.Series:
+        return texts.map(gist)
+
+    rows = some.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t")).select("k", short("t").alias("t")).orderBy("k").collect()
+    return learn([r["t"] for r in rows])
+
+
+def learn(texts: list[str], seed: int = 8) -> Field:
+    """A field fitted to texts and to copies of them with rewritten mentions."""
+    rng = np.random.default_rng(seed)
+    pairs = [(t, known_spans(t)) for t in texts]
+    pairs += [new for t in texts for _ in range(COPIES) if (new := masked(t, rng))]
+    if not pairs:
         return Field.empty()
-    rows = docs.where(F.col(key).isin(ids)).select(key, text).dropDuplicates([key]).collect()
-    texts = [r[1] for r in sorted(rows, key=lambda r: r[0]) if r[1] is not None]
-    g = build(texts)
-    return Field.empty().fit(g, seen_labels(texts, g))
+    g = build([t for t, _ in pairs])
+    return Field.empty().fit(g, seen_labels(g, [s for _, s in pairs]))
 
 
 def added(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field) -> list[list[tuple[int, int, str]]]:
     """Spans that the field adds to the base of each text: runs of neighbouring nodes of one label, without the
-    punctuation around them, that touch no span of the base."""
+    punctuation around them, that touch no span of the base. One node of a run must reach MIN_PROBABILITY, the others
+    half."""
     g = build(texts)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not len(g.of):
         return out
     p = np.exp(field.pass_messages(g, field.potentials(g))[0])
-    label = np.where(p.max(1) >= MIN_PROBABILITY, p.argmax(1), 0)
+    label = np.where(p.max(1) >= 0.5, p.argmax(1), 0)
     joined = np.zeros(len(g.of), bool)
     joined[g.chain[:, 1]] = True
     i = 0
@@ -283,7 +408,7 @@ def added(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field
         parts = LABELS[label[i]] in ("card", "phone") and not g.x[i, WHOLE_NUMBER]  # other kinds are one token each
         while parts and j < len(label) and joined[j] and label[j] == label[i]:
             j += 1
-        if label[i]:
+        if label[i] and p[i:j, label[i]].max() >= MIN_PROBABILITY:
             of, start, end = int(g.of[i]), g.spans[i][0], g.spans[j - 1][1]
             text = texts[of]
             while start < end and not (text[start].isalnum() or text[start] in "+("):
@@ -311,11 +436,13 @@ ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 
 def find(docs: DataFrame, text: str, field: Field, redact: bool = False, column: str = "spans") -> DataFrame:
-    """docs with a column of spans (kind, start, end in code points, base), by start and then kind.
+    """docs with a column of spans (kind, start, end in code points, base), by start and then kind; it replaces a column
+    of docs of that name.
 
     With redact, the spans in the text are also replaced by their kinds. A null text is an empty one: no spans, and it
     stays null. Rows keep their number, and their other columns.
     """
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, SPANS)])
     at = docs.columns.index(text)
 
@@ -329,7 +456,7 @@ def find(docs: DataFrame, text: str, field: Field, redact: bool = False, column:
                 spans = []
                 for b, more in zip(base, added(texts, base, field), strict=True):
                     both = [(*x, True) for x in b] + [(*x, False) for x in more]
-                    spans.append(sorted(both, key=lambda x: (x[0], KINDS.index(x[2]))))
+                    spans.append(sorted(both, key=lambda x: (x[0], ALL_KINDS.index(x[2]))))
                 columns = list(batch.columns)
                 if redact:
                     columns[at] = pa.array([t if t is None else redacted(t, [x[:3] for x in s]) for t, s in zip(own, spans, strict=True)], pa.string())
