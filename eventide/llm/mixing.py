@@ -14,14 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import table
+from eventide.llm.common import table, whole_row
 
 #: The exponent is a whole number of steps of 1 / STEPS.
 STEPS = 4096
 #: Sources up to which their plan is broadcast; it has a few numbers for each.
 BROADCAST_SOURCES = 10_000
 #: Documents of a source that one task puts in order.
-ORDERED = 20_000
+ORDERED = 1000
 
 
 @dataclass(frozen=True)
@@ -95,35 +95,45 @@ def permuted(seed: int, block: Column, keys: list[str]) -> Column:
     return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, source: str, tokens: str, keys: list[str], target: Target, budget: int | None = None, seed: int = 0) -> DataFrame:
-    """docs, each row as often as it is drawn, with block (from 0), start (tokens of its source before it) and weight.
-
-    A budget of None is the least with which every row is drawn at least once. A source's quota takes whole blocks,
-    then the rows of the last block up to the one that reaches the quota. Null sources are a source of their own; null
-    or negative token counts are 0, and rows of 0 tokens are drawn where a block passes them. Equal rows are drawn
-    each for itself; ties of the permutation go by keys. No rows, or a budget of 0, give no rows. One row for each
-    source is brought to the driver.
-    """
-    name = F.coalesce(F.col(source), F.lit("\0null"))
-    rows = docs.withColumn("_source", name).withColumn("_tokens", F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")))
-    sizes = rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    counted = {r["_source"]: r["tokens"] for r in sizes}
+def drawn(docs: DataFrame, source: str, tokens: str, keys: list[str], target: Target, budget: int | None = None, seed: int = 0) -> DataFrame:
+    """row (a whole row of docs), block, start and weight of every row that is drawn; see mix()."""
+    count = F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    order = [f"k{i}" for i in range(len(keys))]
+    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(F.col(f"`{source}`"), F.lit("\0null")).alias("source"), count.alias("tokens"), *(F.col(f"`{k}`").alias(o) for k, o in zip(keys, order, strict=True)))
+    sizes = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
+    counted = {r["source"]: r["tokens"] for r in sizes}
     w = weights(counted, exponent(counted, target, budget))
     quota = quotas(counted, w, least_budget(counted, w) if budget is None else budget)
-    spark = docs.sparkSession
-    plan = [(r["_source"], float(w[r["_source"]]), quota[r["_source"]], counted[r["_source"]], -(-r["n"] // ORDERED)) for r in sizes]
-    plans = spark.createDataFrame(plan, "_source string, weight double, _quota long, _size long, _shares long")
-    dealt = rows.join(F.broadcast(plans) if len(plan) <= BROADCAST_SOURCES else plans, "_source").where("_quota > 0 and _size > 0")
-    whole = F.floor((F.col("_quota") - 1) / F.col("_size"))
-    blocks = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
-    blocks = blocks.withColumn("_place", permuted(seed, F.col("block"), keys)).withColumn("_share", F.floor(F.col("_place") / F.lit(1 << 60) * F.col("_shares")))
+    plan = [(r["source"], float(w[r["source"]]), quota[r["source"]], counted[r["source"]], -(-r["n"] // ORDERED)) for r in sizes]
+    plans = docs.sparkSession.createDataFrame(plan, "source string, weight double, quota long, size long, shares long")
+    dealt = rows.join(F.broadcast(plans) if len(plan) <= BROADCAST_SOURCES else plans, "source")
+    if budget is not None:
+        dealt = dealt.where("quota > 0 and size > 0")
+    last = F.when(F.col("size") > 0, F.greatest(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("size")))).otherwise(F.lit(0).cast("long"))
+    blocks = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = blocks.withColumn("place", permuted(seed, F.col("block"), order)).withColumn("share", F.floor(F.col("place") / F.lit(1 << 60) * F.col("shares")))
     # A block's permutation is cut into shares of its range: each is ordered by one task, behind the sums before it.
-    share = blocks.groupBy("_source", "block", "_share").agg(F.sum("_tokens").alias("_t"))
-    before = share.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy("_source", "block").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    own = Window.partitionBy("_source", "block", "_share").orderBy("_place", *keys, "_tokens")
-    placed = blocks.withColumn("_own", F.sum("_tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tokens")).join(before, ["_source", "block", "_share"])
-    placed = placed.withColumn("start", F.col("block") * F.col("_size") + F.col("_before") + F.col("_own")).where("start < _quota")
-    return placed.select(*docs.columns, "block", "start", "weight")
+    share = blocks.groupBy("source", "block", "share").agg(F.sum("tokens").alias("t"))
+    before = share.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source", "block").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
+    own = Window.partitionBy("source", "block", "share").orderBy("place", *order, "tokens")
+    placed = blocks.withColumn("own", F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).join(before, ["source", "block", "share"])
+    placed = placed.withColumn("start", F.col("block") * F.col("size") + F.col("before") + F.col("own"))
+    return placed.where("start < quota" if budget is not None else "block = 0 or start < quota").select("row", "block", "start", "weight")
+
+
+def mix(docs: DataFrame, source: str, tokens: str, keys: list[str], target: Target, budget: int | None = None, seed: int = 0) -> DataFrame:
+    """docs, each row as often as it is drawn, with block (from 0), start (tokens of its source before it) and weight;
+    these replace columns of docs of the same names.
+
+    A budget of None is the least with which every row is drawn at least once, rows of 0 tokens included. A source's
+    quota takes whole blocks, then the rows of the last block up to the one that reaches the quota. Null sources are a
+    source of their own; null or negative token counts are 0, and with a budget rows of 0 tokens are drawn where a block
+    passes them. Equal rows are drawn each for itself; ties of the permutation go by keys. No rows, or a budget of 0, give
+    no rows. One row for each source is brought to the driver.
+    """
+    out = drawn(docs, source, tokens, keys, target, budget, seed)
+    kept = [c for c in docs.columns if c.lower() not in ("block", "start", "weight")]
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), "block", "start", "weight")
 
 
 def word_count(text: Column) -> Column:
@@ -157,9 +167,9 @@ WITH d AS (
 ), q AS (
   SELECT s, size, weight, floor(weight * budget + 0.5)::BIGINT AS quota FROM b WHERE step = (SELECT step FROM e)
 ), x AS (
-  SELECT d.*, size, weight, quota, unnest(range((quota - 1) // size + 1)) AS block FROM d JOIN q USING (s) WHERE quota > 0
+  SELECT d.*, coalesce(size, 0) AS size, coalesce(weight, 0) AS weight, coalesce(quota, 0) AS quota, unnest(range(CASE WHEN size > 0 THEN greatest(0, (quota - 1) // size) ELSE 0 END + 1)) AS block FROM d LEFT JOIN q USING (s)
 ), o AS (
   SELECT *, block * size + sum(n_tokens) OVER (PARTITION BY s, block ORDER BY substr(md5('0:' || block || ':' || doc_id), 1, 15), doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM x
 )
-SELECT doc_id, source, n_tokens, block::BIGINT AS block, start::BIGINT AS start, round(weight, 9) AS weight FROM o WHERE start < quota
+SELECT doc_id, source, n_tokens, block::BIGINT AS block, start::BIGINT AS start, round(weight, 9) AS weight FROM o WHERE block = 0 OR start < quota
 """

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import materialize, table
+from eventide.llm.common import discard, materialize, table
 from eventide.llm.wordhash import Powers, chunks, mixed, shingles, words
 
 #: Slots of a signature: BANDS bands of ROWS slots. A link at similarity 0.8 shares no band with probability 3e-6.
@@ -101,20 +101,25 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(sketch, schema)
 
 
-def candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share a bucket (columns bucket, id, size).
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets (bucket, id, size) of several classes, with their number n and the bucket's first class hub."""
+    counted = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("hub"))
+    return buckets.join(counted.where("n > 1"), "bucket")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that share a bucket.
 
     All pairs of a bucket of SMALL classes; in a larger one, each class with the bucket's first class. What that
     leaves open in large buckets is settled by rest().
     """
-    counted = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("hub")).where("n > 1"), "bucket")
-    star = counted.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.size").alias("sa"), F.col("size").alias("sb"))
-    small = counted.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("m"))
+    star = shared.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub.id"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.size").alias("sa"), F.col("size").alias("sb"))
+    small = shared.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("m"))
     pairs = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
     return star.unionByName(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb")))
 
 
-def rest(buckets: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rest(shared: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of large buckets that candidates() left out and that could still join two components: those of each
     class outside a bucket's first component with classes of other components.
 
@@ -122,7 +127,7 @@ def rest(buckets: DataFrame, component: DataFrame, sets: DataFrame, percent: int
     class's shingles are ordered, the rarest among these classes first. If the first common shingle of two sets has so
     many before it that what is left can't be enough, the sets are not alike; else it stands early in both.
     """
-    large = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "bucket", "left_semi")
+    large = shared.where(F.col("n") > SMALL).select("bucket", "id", "size")
     own = large.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parted = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main")).where("low < high")
     classes = own.join(parted.select("bucket", "main"), "bucket").groupBy("id", "size", "component").agg(F.max(F.col("component") != F.col("main")).alias("stray"))
@@ -187,13 +192,19 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("a < b").distinct()
         first = down.groupBy("b").agg(F.min("a").alias("low"))
         small = down.join(first, "b").select(F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        edges = materialize(small.where("a < b").distinct())
+        before, edges = edges, materialize(small.where("a < b").distinct())
+        discard(before)
         inner = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         twice = edges.groupBy("b").count().where("count > 1").limit(1).count()
         if not inner and not twice:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
+def repeats(docs: DataFrame, key: str) -> bool:
+    """Whether a key other than null stands in several rows."""
+    return not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
+
+
 def group(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component (the least key reachable over links) and kept (whether it is the row's own key).
 
@@ -204,16 +215,20 @@ def group(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 8
     """
     made = materialize(sketches(docs.where(F.col(key).isNotNull()), key, text, width).withColumnRenamed(key, "key"))
     classes = made.where("size > 0").groupBy("d1", "d2", "size").agg(F.min("key").alias("id"), F.first("bands").alias("bands"))
-    buckets = materialize(classes.select("id", "size", F.explode("bands").alias("bucket")))
-    shared = buckets.join(buckets.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi").select("bucket", "id", "size")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sets = materialize(shingle_sets(texts.join(shared.select("id").distinct(), "id", "left_semi"), width))
+    shared = materialize(shared_buckets(classes.select("id", "size", F.explode("bands").alias("bucket"))))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(shared.select("id").distinct(), "id", "left_semi")
+    if repeats(made, "key"):
+        texts = texts.distinct()
+    sets = materialize(shingle_sets(texts, width))
     tried = verified(candidates(shared), sets, percent)
-    links = materialize(tried.unionByName(made.where("size > 0").join(classes.select("d1", "d2", "size", "id"), ["d1", "d2", "size"]).where("key <> id").select(F.col("id").alias("a"), F.col("key").alias("b"))).distinct())
-    found = materialize(components(links))
+    copies = made.where("size > 0").join(classes.select("d1", "d2", "size", "id"), ["d1", "d2", "size"]).where("key <> id")
+    links = materialize(tried.unionByName(copies.select(F.col("id").alias("a"), F.col("key").alias("b"))).distinct())
+    found = components(links)
     more = materialize(verified(rest(shared, found, sets, percent), sets, percent))
     if not more.isEmpty():
-        found = materialize(components(links.unionByName(more)))
+        found = components(links.unionByName(more))
+    for done in (shared, sets, links, more):
+        discard(done)
     out = made.select("key", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("id", "key"), "key", "left")
     own = F.coalesce("component", "key")
     known = out.select(F.col("key").alias(key), "n_shingles", own.alias("component"), (own == F.col("key")).alias("kept"))

@@ -35,7 +35,7 @@ NODES = 400
 #: Dual feasible functions of the lower bound.
 DUALS = 32
 #: Pieces of one length that are numbered by one task.
-NUMBERED = 50_000
+NUMBERED = 1000
 
 
 def encoder(vocabulary: str):

@@ -382,7 +382,11 @@ def test_mixing_blocks(spark, sf_dir):
 def test_mixing_odd(odd, empty):
     counted = odd.withColumn("tokens", F.when(F.col("doc_id") == 6, -5).when(F.col("doc_id") == 7, None).otherwise(F.length("text")))
     rows = mixing.mix(counted, "source", "tokens", ["doc_id"], mixing.Target(repeats=2.0)).collect()
-    assert {r["doc_id"] for r in rows} >= {3, 4, 5}
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in odd.collect()}
+    assert {r["bucket"] for r in rows} == {"x"} and {r["block"] for r in rows} <= {0, 1}  # its own block replaces the old one
+    named = counted.withColumn("Weight", F.lit("w")).withColumn("start", F.lit("s")).withColumn("_tokens", F.lit("t")).withColumn("_source", F.lit("o"))
+    rows = mixing.mix(named, "source", "tokens", ["doc_id"], mixing.TARGET).collect()
+    assert {(r["_tokens"], r["_source"]) for r in rows} == {("t", "o")} and all(isinstance(r["start"], int) for r in rows)
     assert mixing.mix(counted, "source", "tokens", ["doc_id"], mixing.TARGET, budget=0).count() == 0
     assert mixing.mix(empty.withColumn("tokens", F.lit(1)), "source", "tokens", ["doc_id"], mixing.TARGET).count() == 0
 
@@ -409,10 +413,31 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_pipeline_odd(spark, odd, empty, sf_dir):
+    """Every stage with columns that are named as those that the operators make, kept as they are."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        for df in (odd.select(*docs.columns), empty.select(*docs.columns)):
-            rows = stage(spark, df, sf_dir).collect()
-            assert not rows or name == "packing" or list(rows[0].asDict()) == docs.columns
+    names = ["weight", "start", "spans", "_tokens", "_spans", "_judged", "judged", "tokens", "number", "digest", "row", "Size", "kept", "id", "d1"]
+    for df in (odd, empty):
+        wide = df
+        for name in names:
+            wide = wide.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        for name, stage in corpus_pipeline.STAGES:
+            for given in (df.select(*docs.columns), wide):
+                rows = stage(spark, given, sf_dir).collect()
+                if name != "packing":
+                    assert not rows or list(rows[0].asDict()) == given.columns
+                    if given is wide:
+                        assert all(r[n] == n + ("" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for n in names)
+
+
+def test_pipeline_repeated_ids(spark, sf_dir):
+    """Different texts of one doc_id are documents of their own; equal rows become one."""
+    import corpus_pipeline
+
+    texts = [(1, BASE), (1, "another text of the same number " * 4), (1, BASE), (2, BASE + " end"), (3, "short"), (3, "short"), (None, "short"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in rows)
+    assert [x for x in got if x[0] not in (1, 2)] == [(0, "short"), (3, "short"), (4, "")]
+    assert (1, texts[1][1]) in got and len([x for x in got if x[0] in (1, 2)]) == 2
