@@ -340,6 +340,53 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+def unlike(kind, n):
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((n, 32))
+    if kind == "clusters":
+        v = rng.standard_normal((12, 32))[rng.integers(0, 12, n)] + 0.3 * v
+    elif kind == "uneven":
+        v = v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(rng.standard_normal(n))[:, None]
+    elif kind == "thin":
+        v = v[:, :4] @ rng.standard_normal((4, 32))
+    elif kind == "copies":
+        v[: n // 3] = v[0]
+    return v
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "uneven", "clusters", "thin", "copies"])
+def test_neighbours_of_unlike_vectors(spark, monkeypatch, kind):
+    """Recall against brute force, over several bands and blocks."""
+    monkeypatch.setattr(neighbours, "VECTOR_BLOCK", 1000)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 64)
+    v = unlike(kind, 4000)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    by = collections.defaultdict(list)
+    for r in neighbours.nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0).collect():
+        by[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    scores = v[::20] @ v.T
+    hits = 0
+    for q, own in zip(range(0, 4000, 20), scores, strict=True):
+        own[q] = -np.inf
+        least = np.partition(own, -20)[-20]
+        found = sorted(by[q])
+        assert [f[0] for f in found] == list(range(1, 21))
+        assert [f[2] for f in found] == pytest.approx([own[f[1]] for f in found])
+        hits += sum(f[2] >= least - 1e-12 for f in found)
+    assert hits >= 0.95 * 20 * 200
+
+
+def test_neighbours_repeated_queries(spark):
+    """Of vectors that repeat a query's id the least asks; all of them are candidates of others."""
+    rows = [(0, [2.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.25]), (3, [1.0, 1.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<float>")
+        got = [(r["query_id"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, "vec_id", "embedding", F.col("id") == 0).orderBy("rank").collect()]
+        assert got == [(0, 2, 0.25), (0, 1, 0.0)]
+        got = [(r["vec_id"], r["score"]) for r in neighbours.nearest(df, "vec_id", "embedding", F.col("id") == 1).orderBy("rank").collect()]
+        assert got == [(0, 1.0), (0, 0.0), (2, 0.0)]
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 1.0]), (9, [-1.0, 5.0]), (20, [1.0, 2.0, 3.0]), (2, [2.0, 0.0])]
