@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import suffixes
-from eventide.llm.common import table
+from eventide.llm.common import materialize, table
 from eventide.llm.wordhash import _VALUES, Powers, chunks, mixed
 
 LENGTH, GRAM = 100, 32
@@ -185,29 +185,12 @@ def kept_parts(size: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int
     return [*out, (at, size)] if at < size else out
 
 
-def removed(docs: DataFrame, key: str, text: str, return_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 (and kept, the remaining bytes) of every document.
+RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RUNS = "array<struct<lo:int,hi:int>>"
 
-    Removed is every byte of a LENGTH-byte string that also starts earlier: in a document of a smaller key, or before
-    in the same one. Null texts are empty; texts under LENGTH bytes lose nothing. Keys are whole numbers, and rows that
-    repeat a key are one document: one of their texts counts. Rows without a key are compared with nothing, lose
-    nothing, and keep their number. No rows give none.
-    """
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["key"])
-    # Of equal texts the first is searched; the others are repeats as a whole.
-    firsts = texts.groupBy("digest").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
-    searched = texts.select("key", "text").join(firsts, "key", "left_semi")
-    own = anchored(searched)
-    often = own.groupBy("anchor").agg(F.sum(1 + F.col("place").bitwiseAND(1)).alias("n")).where("n > 1").select("anchor")
-    hits = own.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list(F.struct("anchor", "place")).alias("segments"))
-    data = with_bytes(hits.join(searched, "key")).repartition("anchor").sortWithinPartitions("anchor")
-    runs = repeated(data).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    size = F.octet_length("text")
-    whole = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).alias("lo"), (size - LENGTH).cast("int").alias("hi"))))
-    known = texts.join(firsts, "key", "left").join(runs, "key", "left").select("key", "text", F.when(F.col("first"), F.col("runs")).otherwise(whole).alias("runs"))
-    joined = known.unionByName(docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("runs")))
-    fields = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if return_text else "")
+
+def described(found: DataFrame) -> DataFrame:
+    """The columns of RESULT of found (key, text, runs of string starts to remove)."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +205,54 @@ def removed(docs: DataFrame, key: str, text: str, return_text: bool = False) ->
                     edges = [0, *(x for p in left for x in p), len(whole)]
                     spans = sum(a < b for a, b in zip(edges[::2], edges[1::2], strict=True))
                     rows.append((len(whole), len(whole) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-                columns = list(zip(*rows, strict=True))[: 5 if return_text else 4]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names=[f.split()[0] for f in fields.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[f.split()[0] for f in RESULT.split(", ")])
+
+    return found.select("key", "text", "runs").mapInArrow(finish, RESULT)
+
+
+def whole() -> Column:
+    """The run that takes all of text, if it is long enough."""
+    size = F.octet_length("text")
+    return F.when(size >= LENGTH, F.array(F.struct(F.lit(0).alias("lo"), (size - LENGTH).cast("int").alias("hi")))).cast(RUNS)
+
+
+def to_remove(texts: DataFrame) -> DataFrame:
+    """key, text and runs of texts (key, text), whose keys are distinct and give the order of the texts."""
+    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    # Of equal texts the first is searched; the others are repeats as a whole.
+    firsts = texts.groupBy("digest").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
+    searched = texts.select("key", "text").join(firsts, "key", "left_semi")
+    own = anchored(searched)
+    often = own.groupBy("anchor").agg(F.sum(1 + F.col("place").bitwiseAND(1)).alias("n")).where("n > 1").select("anchor")
+    hits = own.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list(F.struct("anchor", "place")).alias("segments"))
+    data = with_bytes(hits.join(searched, "key")).repartition("anchor").sortWithinPartitions("anchor")
+    runs = repeated(data).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    known = texts.join(firsts, "key", "left").join(runs, "key", "left")
+    return known.select("key", "text", F.when(F.col("first"), F.col("runs")).otherwise(whole()).alias("runs"))
+
 
-    return joined.mapInArrow(finish, fields).withColumnRenamed("key", key)
+def removed(docs: DataFrame, key: str, text: str, return_text: bool = False) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans and kept_sha256 (and kept, the remaining bytes) of every row.
+
+    Removed is every byte of a LENGTH-byte string that also starts earlier: in a row of a smaller key, or before in the
+    same one. Null texts are empty; texts under LENGTH bytes lose nothing. Keys are whole numbers. Rows that repeat a key
+    are documents of their own, in the order of the SHA-256 of their texts; of equal ones all but one are repeats. Rows
+    without a key are compared with nothing, lose nothing, and keep their number. No rows give none.
+    """
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    unknown = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast(RUNS).alias("runs"))
+    if texts.groupBy("key").count().where("count > 1").isEmpty():
+        out = described(to_remove(texts).unionByName(unknown))
+    else:
+        rows = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).groupBy("key", "digest").agg(F.min("text").alias("text"), F.count("*").alias("n"))
+        numbers = materialize(rows.select("key", "digest").orderBy("key", "digest").withColumn("number", F.monotonically_increasing_id()))
+        own = materialize(rows.join(numbers, ["key", "digest"]).drop("digest"))
+        first = described(to_remove(own.select(F.col("number").alias("key"), "text"))).withColumnRenamed("key", "number")
+        more = own.where("n > 1").select("key", "text", whole().alias("runs"), F.explode(F.sequence(F.lit(2).cast("long"), "n")).alias("nth")).drop("nth")
+        out = first.join(own.select("number", "key"), "number").drop("number").unionByName(described(more.unionByName(unknown)))
+    out = out.withColumnRenamed("key", key)
+    return out if return_text else out.drop("kept")
 
 
 def op6_exact_substrings(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ def sorted_directly(words: np.ndarray, places: np.ndarray, depth: int) -> np.nda
         if not len(ix):
             break
         key = words[order[ix] + at]
+        if not ((key[1:] != key[:-1]) & (group[ix[1:]] == group[ix[:-1]])).any():
+            continue
         again = np.lexsort((key, group[ix]))
         order[ix] = order[ix][again]
         key, same = key[again], group[ix]
@@ -46,7 +48,8 @@ def suffix_order(data: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
 
     Suffixes smaller than their successors are sorted directly. The others are induced: buckets of a first byte are
     scanned in order, and each suffix met puts the one before it, if that is a larger one, at the end of what its own
-    bucket has of larger ones so far. Equal prefixes stand in any order.
+    bucket has of larger ones so far. Equal prefixes stand in any order: of a run of one byte, what lies more than depth
+    before its end is put down at once.
     """
     n = len(data)
     if not n:
@@ -76,11 +79,19 @@ def suffix_order(data: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
             first = end
         return own
 
+    run_starts = np.concatenate([[0], np.flatnonzero(data[1:] != data[:-1]) + 1])
     for byte in range(256):
         part = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, np.int64)
-        while len(part):
+        for _ in range(depth):
+            if not len(part):
+                break
             out.append(part)
             part = scan(part, byte)
+        if len(part):
+            number = part - run_starts[np.searchsorted(run_starts, part, "right") - 1] + 1
+            part = np.repeat(part, number) - (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
+            out.append(part)
+            scan(part, byte)
         part = direct[bounds[byte] : bounds[byte + 1]]
         if len(part):
             out.append(part)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -238,9 +239,40 @@ def test_substrings_of_every_period(spark):
     assert {i // 3 + 1: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_substrings_of_repeated_ids(spark):
+    """Texts that share an id are documents of their own, ordered by their SHA-256."""
+    rng = np.random.default_rng(8)
+    a, b, c = ("".join(rng.choice(list("abcdef "), 150)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, a), (2, c + a), (2, "x"), (2, "x"), (None, a), (5, None)]
+    got = exact_substrings.removed(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    known = sorted((i, hashlib.sha256((t or "").encode()).digest(), t or "") for i, t in rows if i is not None)
+    want = brute_removed([(n, t.encode()) for n, (_, _, t) in enumerate(known)])
+    want = sorted((known[n][0], *v) for n, v in want.items())
+    assert sorted((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got if r["id"] is not None) == want
+    assert [r["n_removed"] for r in got if r["id"] is None] == [0]
+
+
+def test_substrings_of_long_runs():
+    """A megabyte of one byte, before and behind others, takes about as long as any other text."""
+    for data in (b"a" * 1_000_000, b"a" * 1_000_000 + b"b", b"b" + b"a" * 1_000_000, (b"a" * 1000 + b"b") * 300, b"ab" * 200_000):
+        began = time.time()
+        text = np.frombuffer(data, np.uint8)
+        words = suffixes.loads(text, 108)
+        order = suffixes.suffix_order(text, words, 100)
+        took = time.time() - began
+        assert took < 4, (data[:3], took)
+        assert len(np.unique(order)) == len(data)
+        for at in range(0, 100, 8):  # neighbours are in order, eight bytes at a time, where all before were equal
+            x, y = words[order[:-1] + at], words[order[1:] + at]
+            assert (x <= y).all()
+            order = np.concatenate([order[:1], order[1:][x == y]]) if (x != y).any() else order
+            if len(order) < 2 or (x != y).any():
+                break
+
+
 def test_substrings_odd(odd, empty):
     rows = exact_substrings.removed(odd, "doc_id", "text", return_text=True).collect()
-    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == list(range(10))
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [*range(10), 9]
     by = {r["doc_id"]: r for r in rows}
     assert by[0]["n_bytes"] == by[1]["n_bytes"] == 0 and by[None]["n_removed"] == 0 and bytes(by[6]["kept"]) == b"short"
     assert exact_substrings.removed(empty, "doc_id", "text").count() == 0
