@@ -7,11 +7,14 @@ all of its tokens. Given rules by host and path go first.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import ASCII_UPPER, table
+from eventide.llm.common import ASCII_UPPER, discard, materialize, table
 
 # Verdict, host and path of the given rules.
 RULES = [
@@ -24,6 +27,8 @@ RULES = [
 #: with its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.6
 BAD = "label=bad"
+#: Tasks that the rows of one token set are dealt over.
+SALTS = 32
 
 
 def lower_ascii(c: Column) -> Column:
@@ -68,32 +73,56 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(one, inner, words, segments, keys), lambda x: x.isNotNull())))
 
 
-def mine(labelled: DataFrame, items: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (antecedent, confidence, key): token combinations whose rows are bad at least so often.
+@dataclass(frozen=True)
+class Rules:
+    """rules: antecedent (classes of tokens), confidence and key (the rarest of them); classes: token and class. Tokens
+    that stand in the same labelled rows are one class, named after the first of them; only those of enough support are
+    there."""
+
+    rules: DataFrame
+    classes: DataFrame
+
+
+def mine(labelled: DataFrame, items: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> Rules:
+    """Rules "tokens -> bad": token combinations whose rows are bad at least so often.
 
-    labelled has an array of distinct tokens and a boolean; rows where either is null are left out. key is the rule's
-    rarest token among labelled rows (ties: the first in order). No labelled rows give no rules.
+    labelled has an array of distinct tokens and a boolean; rows where either is null are left out. Tokens that always come
+    together are mined as one, so thirty keys of one kind of url are one item, not 2**30 sets; a row has a class if it has
+    one of its tokens, as the rules of every token of a class would say. key is the rule's rarest class among labelled
+    rows (ties: the first in order). No labelled rows give no rules. The tokens of enough support are as many as those of
+    a row divided by min_support at most, whatever the number of rows, and are broadcast.
     """
-    rows = labelled.where(F.col(items).isNotNull() & F.col(bad).isNotNull())
-    baskets = rows.select(F.when(F.col(bad), F.concat(items, F.array(F.lit(BAD)))).otherwise(F.col(items)).alias("items")).where(F.size("items") > 0).cache()
-    spark = labelled.sparkSession
-    if baskets.isEmpty():
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, key string")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    each = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(single, "token")
-    return each.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-
-
-def fired(pages: DataFrame, items: str, rules: DataFrame) -> DataFrame:
+    rows = materialize(labelled.where(F.col(items).isNotNull() & F.col(bad).isNotNull()).select(F.col(items).alias("items"), F.col(bad).alias("bad"), F.monotonically_increasing_id().alias("row")))
+    least = math.ceil(min_support * rows.count())
+    each = rows.select("row", "bad", F.explode("items").alias("token"))
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where(F.col("n") >= least)
+    first = seen.groupBy("n", "x", "y").agg(F.min("token").alias("class"))
+    classes = materialize(seen.join(first, ["n", "x", "y"]).select("token", "class", "n"))
+    sets = each.join(F.broadcast(classes), "token").groupBy("row").agg(F.collect_set("class").alias("own"))
+    whole = rows.join(sets, "row", "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = materialize(whole)
+    if not least:
+        found = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double")
+    else:
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+        found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
+    single = classes.where("token = class").select(F.col("class").alias("one"), "n")
+    by = found.select("antecedent", "confidence", F.explode("antecedent").alias("one")).join(F.broadcast(single), "one")
+    rules = materialize(by.groupBy("antecedent", "confidence").agg(F.min_by("one", F.struct("n", "one")).alias("key")))
+    for done in (rows, baskets):
+        discard(done)
+    return Rules(rules, classes.select("token", "class"))
+
+
+def fired(pages: DataFrame, items: str, rules: Rules) -> DataFrame:
     """The distinct token sets of pages for which a rule fires, with the highest confidence."""
     sets = pages.select(items).distinct()
-    met = sets.select(items, F.explode(items).alias("key")).join(rules, "key").where(F.size(F.array_except("antecedent", items)) == 0)
+    known = sets.select(items, F.explode(items).alias("token")).join(F.broadcast(rules.classes), "token").groupBy(items).agg(F.collect_set("class").alias("own"))
+    met = known.select(items, "own", F.explode("own").alias("key")).join(rules.rules, "key").where(F.size(F.array_except("antecedent", "own")) == 0)
     return met.groupBy(items).agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, url: str, rules: DataFrame, keys: list[str]) -> DataFrame:
+def judge(pages: DataFrame, url: str, rules: Rules, keys: list[str]) -> DataFrame:
     """keys, host, path, rule, verdict and confidence for every row of pages.
 
     The longest given rule decides; else a row is blocked if a mined rule fires, and allowed if none does. A url that
@@ -103,7 +132,10 @@ def judge(pages: DataFrame, url: str, rules: DataFrame, keys: list[str]) -> Data
     cut = pages.select(*keys, F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     cut = cut.withColumn("_tokens", tokens(F.col("_url"), F.col("host"), F.col("path")))
     rule, verdict = given_rule(F.col("host"), F.col("path"))
-    found = cut.join(fired(cut, "_tokens", rules), "_tokens", "left")
+    # Rows of one token set, such as those without a url, are dealt over SALTS tasks.
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(*keys, "_url"), F.lit(SALTS)))
+    answers = fired(cut, "_tokens", rules).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = salted.join(answers, ["_tokens", "_salt"], "left")
     own = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return found.select(*keys, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "confidence")
 

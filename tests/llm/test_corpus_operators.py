@@ -175,11 +175,24 @@ def test_every_host_label_has_tokens(spark):
 def test_mined_rules_fire(spark):
     rows = [(["a", "b"], True)] * 8 + [(["a"], False)] * 10 + [(["b"], False)] * 6 + [(None, True), (["c"], None)]
     rules = url_filters.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), "items", "bad", 0.1, 0.9)
-    assert [(r["antecedent"], r["key"]) for r in rules.collect()] == [(["a", "b"], "b")]
+    assert [(r["antecedent"], r["key"]) for r in rules.rules.collect()] == [(["a", "b"], "b")]
     sets = spark.createDataFrame([(["a", "b", "z"],), (["a"],), (["b", "z"],)], "items array<string>")
     assert [r["items"] for r in url_filters.fired(sets, "items", rules).collect()] == [["a", "b", "z"]]
 
 
+def test_tokens_that_come_together_are_one(spark):
+    """Thirty keys that always stand together; any of them makes the rule fire, as rules on each of them would."""
+    keys = [f"key={i:02d}" for i in range(30)]
+    rows = [(["a", *keys], True)] * 6 + [(["a"], False)] * 20
+    rules = url_filters.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), "items", "bad", 0.1, 0.9)
+    assert sorted(r["antecedent"] for r in rules.rules.collect()) == [["a", "key=00"], ["key=00"]]
+    sets = spark.createDataFrame([(["key=17"],), (["a"],), (["b", "key=00"],)], "items array<string>")
+    assert sorted(r["items"] for r in url_filters.fired(sets, "items", rules).collect()) == [["b", "key=00"], ["key=17"]]
+    bad = url_filters.mine(spark.createDataFrame([(["a"], True), (["a"], True)], "items array<string>, bad boolean"), "items", "bad")
+    pages = spark.createDataFrame([(i, None) for i in range(50)], "page_id long, url string")
+    assert {r["verdict"] for r in url_filters.judge(pages, "url", bad, ["page_id"]).collect()} == {"allow"}
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for n, k in ((1, 2), (40, 2), (2000, 3), (3000, 256), (1500, 1)):

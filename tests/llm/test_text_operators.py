@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import textwrap
 import time
 import zlib
 
@@ -66,7 +67,7 @@ def test_license_join_finds_what_brute_force_finds():
 
 def test_license_notices_over_borders_of_blocks():
     """Wrapped notices, and those that go on behind a full stop; against all runs of words within reach."""
-    index = licenses.Index(licenses.TEMPLATES, {})
+    index = licenses.Index(licenses.TEMPLATES, {w.encode(): len(t) % 7 for _, t in licenses.TEMPLATES for w in t.split()})
 
     def found(text):
         row = licenses.judge(index, [], text.encode().translate(licenses.LOWER))
@@ -77,12 +78,16 @@ def test_license_notices_over_borders_of_blocks():
     assert found(mit) == ("mit", 1.0, 1) and found(bsd) == ("bsd", 1.0, 1)
     assert found("Copyright 2020 X. All rights reserved.") == ("reserved", 1.0, 1)
     assert found(mit.replace("\n# ", " ")) == ("mit", 1.0, 1)
-    assert found(f"{mit}\n\n{bsd}\n\n{mit}") == ("bsd,mit", 1.0, 3)
+    assert found(f"{mit}\n\n{bsd}\n\n{mit}") == ("bsd,mit", 1.0, 2)
     assert found("All rights reserved. " + "word " * 40 + "copyright") == ("", 0.0, 0)
+    assert found("copyright " + "word " * 3000 + "all " + "word " * 3000 + "rights " + "word " * 3000 + "reserved") == ("", 0.0, 0)
+    for label, text in licenses.TEMPLATES:  # whole notices, wrapped, behind comment marks and upper-cased
+        lines = textwrap.wrap(text.upper(), 60)
+        assert label in found("intro " * 9 + "\n".join(f" * {line}" for line in lines) + "\nend")[0].split(",")
     rng = np.random.default_rng(5)
     for label, text in licenses.TEMPLATES:
         for _ in range(60):
-            words_ = [f"w{i}" for i in rng.integers(0, 9, 30)] + text.split() + ["end"] * 30
+            words_ = [f"w{i}" for i in rng.integers(0, 9, 30)] + text.split() + ["end"] * 90
             for at in sorted(rng.integers(30, len(words_) - 30, rng.integers(0, 12)), reverse=True):
                 words_.insert(at, "other")
             for at in rng.integers(0, len(words_), rng.integers(0, 3)):
