@@ -34,6 +34,8 @@ RUNS = (3, 5)
 FAMILIES = 2 + len(RUNS)
 #: An odd multiplier, so that runs of code points keep apart in 64 bits.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are scored at once.
+SCORED_BYTES = 1 << 18
 #: A text's values of one family add up to this.
 SCALE = 10.0
 #: Least calibrated probability of good quality, and the limits of the counts.
@@ -177,7 +179,7 @@ def judge(docs: DataFrame, text: str, keys: list[str], model: Model | None, min_
         powers = Powers()
         for batch in batches:
             column = batch.column(len(keys))
-            for first, texts in chunks(column):
+            for first, texts in chunks(column, SCORED_BYTES):
                 rows = [counts(t.decode()) for t in texts]
                 p = pa.nulls(len(texts), pa.float64()) if model is None else pa.array(model.probabilities(texts, powers))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(texts)) for k in range(len(keys))), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), p], names=schema.fieldNames())
