@@ -79,6 +79,11 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select("path", "length", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
 
 
+def subsets(listed: DataFrame) -> DataFrame:
+    """file (folder/name) and subset of a listing: the folder tells the subset (key=value folders: the value)."""
+    return listed.select(F.concat_ws("/", "folder", "name").alias("file"), F.regexp_replace("folder", "^[^=]*=", "").alias("subset")).distinct()
+
+
 def unpivot_classes(wide: DataFrame, keys: list[str], fixed: list[str]) -> DataFrame:
     """Wide annotations (a column a class) as keys, class, q."""
     classes = [c for c in wide.columns if c not in (*keys, *fixed)]

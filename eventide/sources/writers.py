@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.sources.readers import SELECTION_NAMES
 
 
-def table(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
-    df.write.csv(path, header=True, sep=sep, mode=mode)
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder below the one of spark.checkpoint.dir; only a session on one machine may name none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "error") -> None:
+    df.write.csv(path, header=header, sep=sep, mode=mode)
+
+
+def documents(df: DataFrame, name: str, text: str, path: str, mode: str = "error") -> None:
+    """A folder of its own for the text of each row, name=<its name>: for JSON documents that are read whole."""
+    df.select(name, F.col(text).cast("string").alias("value")).write.mode(mode).partitionBy(name).text(path)
+
+
+def resumable(rows: DataFrame, key: str, path: str, shares: int, make: Callable[[DataFrame], DataFrame]) -> int:
+    """Write make(rows) as Parquet in shares (by a hash of key), and return how many were made now: those that an earlier
+    run has finished are left as they are, so a long job that was stopped goes on where it was."""
+    spark = rows.sparkSession
+    share, made = F.pmod(F.xxhash64(key), F.lit(shares)), 0
+    for i in range(shares):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/share={i}/_SUCCESS")
+        if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+            make(rows.where(share == i)).write.mode("overwrite").parquet(f"{path}/share={i}")
+            made += 1
+    return made
+
+
+def excerpt_table(events: DataFrame, begin: str, end: str, start, length) -> DataFrame:
+    """The events that touch the excerpt from start on of a length, cut at its ends, with times from its start."""
+    inside = events.where((F.col(begin) < start + length) & (F.col(end) > start))
+    return inside.withColumn(begin, F.greatest(F.col(begin), start) - start).withColumn(end, F.least(F.col(end), start + length) - start)
 
 
 def selection_tables(events: DataFrame, path: str, by: str = "file_id", mode: str = "error") -> None:
@@ -27,7 +63,8 @@ def text_list(df: DataFrame, column: str, path: str, mode: str = "error") -> Non
 
 
 def report_json(overall: DataFrame, by_set: DataFrame, by_file: DataFrame, team: str, set_name: str) -> DataFrame:
-    """One row with the text of a report: overall scores, and scores by set and by file (keys and score columns)."""
+    """One row with the text of a report: overall scores, and scores by set and by file (keys and score columns). The text
+    is one document, so it is for as many files as one row can hold (some millions); keep larger results as tables."""
 
     def entries(df: DataFrame, key: str, name: str) -> DataFrame:
         scores = F.struct(*(c for c in df.columns if c != key))
