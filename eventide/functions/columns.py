@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,6 +119,50 @@ def sized(a: Column, length: int) -> Column:
     return F.slice(F.concat(F.transform(a, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), length)), 1, length)
 
 
+def crop(a: Column, start: Column, length: int) -> Column:
+    """`length` elements from start (from 0) on."""
+    return F.slice(a, (start + 1).cast("int"), length)
+
+
+def stitched(a: Column, length: int, pieces: int, gap: int = 100) -> Column:
+    """Pieces of a signal with `gap` samples left out between them, one after another: together no longer than length
+    with the gaps."""
+    size = (length - gap * (pieces - 1)) // pieces
+    return F.concat(*(F.slice(a, i * (size + gap) + 1, size) for i in range(pieces)))
+
+
+def tiled(a: Column, length: int) -> Column:
+    """A signal repeated until it has `length` samples."""
+    times = F.ceil(F.lit(length) / F.greatest(F.size(a), F.lit(1))).cast("int")
+    return F.slice(F.flatten(F.array_repeat(a, times)), 1, length)
+
+
+def at_speed(a: Column, factor: float) -> Column:
+    """A signal played `factor` times as fast (and as high): between samples by straight lines."""
+    last = F.size(a) - 1
+    count = F.greatest(F.floor(F.size(a) / factor).cast("int"), F.lit(1))
+
+    def sample(i: Column) -> Column:
+        low = F.floor(i * factor).cast("int")
+        part = i * factor - low
+        return F.get(a, F.least(low, last)).cast("double") * (1 - part) + F.get(a, F.least(low + 1, last)).cast("double") * part
+
+    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), count - 1), sample)).otherwise(F.array().cast("array<double>"))
+
+
+def normalised(a: Column, least: float = 1e-6) -> Column:
+    """(x - mean) / max(std, least)."""
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
+    centred = F.transform(a, lambda x: x.cast("double") - mean)
+    return F.transform(centred, lambda x: x / F.greatest(rms(centred), F.lit(least)))
+
+
+def noisy(a: Column, key: Column, scale: float) -> Column:
+    """A signal with normal noise of a standard deviation; the noise depends on key and place only."""
+    uniform = lambda i, salt: (F.pmod(key * 2654435761 + (i + salt) * 40503, F.lit(9973)) + 0.5) / 9973
+    return F.transform(a, lambda x, i: x.cast("double") + scale * F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 5000)))
+
+
 def mixed_at_snr(foreground: Column, background: Column, snr_db: float) -> Column:
     """background + foreground scaled to rms(background) / rms(foreground) * 10^(0.1 snr)."""
     gain = F.try_divide(rms(background), rms(foreground)) * (10 ** (0.1 * snr_db))

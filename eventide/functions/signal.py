@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,13 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.operators.intervals import merged
+
 
 def high_pass(x: np.ndarray, rate: int, cutoff: float = 25.0, order: int = 10) -> np.ndarray:
-    """A Butterworth magnitude response of an order, applied to the spectrum (no phase)."""
-    spectrum, f = np.fft.rfft(x), np.fft.rfftfreq(len(x), 1 / rate)
-    with np.errstate(divide="ignore", over="ignore"):
-        gain = 1 / np.sqrt(1 + (cutoff / np.maximum(f, 1e-12)) ** (2 * order))
-    return np.fft.irfft(spectrum * gain, len(x))
+    """A digital Butterworth filter (bilinear transform, so with its phase), applied to the spectrum of the signal with a
+    second of silence behind it, by when its response has died away."""
+    if not len(x):
+        return np.zeros(0)
+    n = len(x) + rate
+    k = np.arange(order)
+    poles = 2 * rate * np.tan(np.pi * cutoff / rate) / np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
+    s = 2j * rate * np.tan(np.pi * np.minimum(np.fft.rfftfreq(n), 0.5 - 1e-9))
+    return np.fft.irfft(np.fft.rfft(x, n) * np.prod(s[:, None] / (s[:, None] - poles), axis=1), n)[: len(x)]
 
 
 def envelope(x: np.ndarray, rate: int, length: int) -> np.ndarray:
@@ -46,6 +53,12 @@ def correlation(s: np.ndarray, template: np.ndarray) -> np.ndarray:
     return np.divide((centred * t).sum((1, 2)), size, out=np.zeros(len(centred)), where=size > 0)
 
 
+def shifted_correlation(s: np.ndarray, template: np.ndarray, shift: int = 2) -> np.ndarray:
+    """The best correlation at each frame with the inner bins of a template, moved by up to `shift` bins each way."""
+    inner = template[shift : len(template) - shift]
+    return np.max([correlation(s[k : k + len(inner)], inner) for k in range(2 * shift + 1)], axis=0)
+
+
 def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     """Places of local maxima of at least height, the higher ones first of any two that are closer than distance."""
     if len(x) < 3:
@@ -89,6 +102,46 @@ def overlap_added(frames: np.ndarray, hop: int, length: int) -> np.ndarray:
     return (total / np.maximum(cover, 1))[:length]
 
 
+def permutation(before: np.ndarray, after: np.ndarray) -> tuple[int, ...]:
+    """The order of the sources of a block (rows: sources, columns: the samples it shares with the block before) that
+    agrees best with that block's, by the sum of their correlations; the first such order."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    alike = unit(before) @ unit(after).T
+    orders = list(itertools.permutations(range(len(after))))
+    return orders[int(np.argmax([alike[np.arange(len(before)), list(o)].sum() for o in orders]))]
+
+
+def band_energy(x: np.ndarray, rate: int, low: float, high: float, size: int = 2048, hop: int = 320, whole: bool = True) -> np.ndarray:
+    """Power between two frequencies in each frame. whole: frames are windowed and centred on their hop, and the signal is
+    mirrored at its ends; else they are plain stretches of the signal."""
+    window = np.ones(size)
+    if whole:
+        x, window = np.pad(x, size // 2, "reflect"), 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    n = 1 + (len(x) - size) // hop
+    if n < 1:
+        return np.zeros(0)
+    frames = np.stack([x[i * hop : i * hop + size] for i in range(n)]) * window
+    f = np.fft.rfftfreq(size, 1 / rate)
+    return (np.abs(np.fft.rfft(frames, axis=1)) ** 2)[:, (f >= low) & (f <= high)].sum(1)
+
+
+def band_snr(event: np.ndarray, background: np.ndarray, rate: int, low: float, high: float, size: int = 2048, hop: int = 320, whole: bool = True) -> float:
+    """Mean power of an event in a band over the noise floor there (the fifth part of the background's frames that is
+    lowest ends at it), in dB; 50 or -50 where either is 0, and 0 where both are."""
+    e, b = (band_energy(x, rate, low, high, size, hop, whole) for x in (event, background))
+    if not len(e) or not len(b):
+        return float("nan")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        db = 10 * (np.log10(e.mean()) - np.log10(np.quantile(b, 0.2)))
+    return float(np.nan_to_num(db, posinf=50, neginf=-50))
+
+
+def mean_mel(x: np.ndarray, rate: int, n_mels: int = 64, size: int = 1024, hop: int = 512) -> np.ndarray:
+    """Mean mel power spectrum of a signal (the events of a recording one after another)."""
+    frames = framed(x, size, hop) * np.hanning(size)
+    return (mel_bank(size // 2 + 1, rate, n_mels) @ (np.abs(np.fft.rfft(frames, axis=1)) ** 2).T).mean(1)
+
+
 def mel_bank(bins: int, rate: int, n_mels: int) -> np.ndarray:
     """Triangular filters on the mel scale, a row each."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
@@ -134,19 +187,31 @@ def above(rows: DataFrame, keys: list[str], samples: str, rate: int, length: int
     return rows.select(*keys, samples).mapInPandas(run, f"{kinds}, frame long, on boolean")
 
 
-def template_detections(rows: DataFrame, key: str, samples: str, templates: list[np.ndarray], threshold: float, distance: int) -> DataFrame:
-    """key, frame and score of the peaks of the correlation with any of a few templates (spectrograms)."""
+def template_detections(rows: DataFrame, key: str, samples: str, templates: list[np.ndarray], threshold: float, distance: int | None = None, shift: int = 0) -> DataFrame:
+    """key, frame, frames and score of the peaks of the correlation with any of a few templates (spectrograms), each with
+    the number of frames of its template (the longest, if several peak at a frame). Without a distance, peaks of a
+    template are as far apart as it is long."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for k, x in zip(part[key], part[samples], strict=True):
                 s = spectrogram(np.asarray(x, float))
                 for t in templates:
-                    c = correlation(s, t)
-                    at = peaks(c, threshold, distance)
-                    yield pd.DataFrame({key: [k] * len(at), "frame": at, "score": c[at]})
+                    c = shifted_correlation(s, t, shift) if shift else correlation(s, t)
+                    at = peaks(c, threshold, distance or t.shape[1])
+                    yield pd.DataFrame({key: [k] * len(at), "frame": at, "frames": t.shape[1], "score": c[at]})
+
+    found = rows.select(key, samples).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, frame long, frames long, score double")
+    return found.groupBy(key, "frame").agg(F.max("frames").alias("frames"), F.max("score").alias("score"))
+
 
-    return rows.select(key, samples).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, frame long, score double").groupBy(key, "frame").agg(F.max("score").alias("score"))
+def painted_segments(detections: DataFrame, key: str, rate: int, hop: int, first: int = 0) -> DataFrame:
+    """key, begin_s and end_s of the stretches that detections (frame, frames) of any template paint: a detection paints
+    all frames of its template but the last. first is the frame of the recording that frame 0 is. Times are those of the
+    frame before a stretch and of its last one."""
+    spans = detections.select(key, (F.col("frame") + first).alias("b"), (F.col("frame") + first + F.col("frames") - 1).alias("e"))
+    at = lambda c: F.greatest(F.col(c) - 1, F.lit(0)) * float(hop) / rate
+    return merged(spans, [key], "b", "e").select(key, at("b").alias("begin_s"), at("e").alias("end_s"))
 
 
 def adaptive_height(templates: list[np.ndarray]) -> list[float]:

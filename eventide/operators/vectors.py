@@ -8,40 +8,51 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a table of labels or centres that every task may hold.
-FEW = 10_000
+FEW, MATRIX_BYTES = 10_000, 64 << 20
+#: Scores that a task holds at once.
+SLICE_CELLS = 1 << 20
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """by and the element-wise mean of the vectors of each group."""
-    long = rows.select(*by, F.posexplode(vector).alias("i", "x"))
-    means = long.groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
+    """by and the element-wise mean of the vectors of each group, which are of one length."""
+    made = rows.where(F.col(vector).isNotNull()).select(*by, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    return made.groupBy(*by).agg(Summarizer.mean(F.col("v")).alias("v")).select(*by, vector_to_array("v").alias(vector))
 
 
 def nearest(rows: DataFrame, key: str, vector: str, others: DataFrame, label: str, other: str, measure: str = "cosine") -> DataFrame:
     """key, label and score of the most similar (cosine) or closest (l2, score is minus the squared distance) of a
-    table of at most FEW vectors; ties go to the least label. The table goes to the tasks as one matrix."""
-    few = others.select(label, F.col(other).cast("array<double>")).orderBy(label).limit(FEW + 1).collect()
-    if len(few) > FEW:
-        raise ValueError(f"more than {FEW} rows to compare every vector with")
+    table of at most FEW vectors and MATRIX_BYTES; ties go to the least label, and the cosine of a zero vector is 0. The
+    table goes to the tasks as one matrix, and a part of the rows meets it at a time."""
+    sized = others.select(label, F.col(other).cast("array<double>").alias(other))
+    n, width = sized.agg(F.count("*"), F.max(F.size(other))).first()
+    if n > FEW or 8 * n * (width or 0) > MATRIX_BYTES:
+        raise ValueError(f"more than {FEW} rows or {MATRIX_BYTES} bytes to compare every vector with")
+    few = sized.orderBy(label).collect()
     labels = np.array([r[0] for r in few])
     matrix = np.array([r[1] for r in few], float)
+    slice_rows = max(1, SLICE_CELLS // max(1, len(few)))
+
+    def scores(v: np.ndarray) -> np.ndarray:
+        if measure == "cosine":
+            size = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)
+            return np.divide(v @ matrix.T, size, out=np.zeros((len(v), len(matrix))), where=size > 0)
+        return 2 * (v @ matrix.T) - (v * v).sum(1)[:, None] - (matrix * matrix).sum(1)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            v = np.stack(part[vector].to_numpy()).astype(float) if len(part) else np.zeros((0, matrix.shape[1]))
-            if measure == "cosine":
-                score = (v @ matrix.T) / (np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(matrix, axis=1))
-            else:
-                score = -((v[:, None, :] - matrix) ** 2).sum(2)
-            best = score.argmax(1)
-            yield pd.DataFrame({key: part[key], label: labels[best], "score": score[np.arange(len(v)), best]})
+            for i in range(0, len(part), slice_rows):
+                own = part.iloc[i : i + slice_rows]
+                v = np.stack(own[vector].to_numpy()).astype(float)
+                best = scores(v).argmax(1)
+                score = scores(v)[np.arange(len(v)), best] if measure == "cosine" else -((v - matrix[best]) ** 2).sum(1)
+                yield pd.DataFrame({key: own[key], label: labels[best], "score": score})
 
     kinds = T.StructType([rows.schema[key], others.schema[label], T.StructField("score", T.DoubleType())])
     return rows.select(key, vector).mapInPandas(compare, kinds)

@@ -108,3 +108,70 @@ def test_numbers_by_signal(spark):
     assert signal.flatness_db(x) < -20
     assert signal.mel_db(x, 8000).max() == 1.0
     assert signal.above(rows, ["k"], "s", 8000, 80).count() == 4079
+
+
+def test_high_pass_has_the_phase_of_the_filter():
+    """Against the difference equation of a second-order filter, and the gain of the tenth order."""
+    rate, cutoff = 1000, 50.0
+    x = np.random.default_rng(0).standard_normal(400)
+    c = np.tan(np.pi * cutoff / rate)
+    a0 = 1 + np.sqrt(2) * c + c * c
+    b, a = np.array([1, -2, 1]) / a0, np.array([2 * (c * c - 1), 1 - np.sqrt(2) * c + c * c]) / a0
+    y = np.zeros(len(x))
+    for i in range(len(x)):
+        y[i] = sum(b[k] * x[i - k] for k in range(3) if i >= k) - sum(a[k] * y[i - k - 1] for k in range(2) if i > k)
+    assert np.allclose(signal.high_pass(x, rate, cutoff, order=2), y, atol=1e-9)
+    t = np.arange(4 * rate) / rate
+    low, high = (np.abs(signal.high_pass(np.sin(2 * np.pi * f * t), rate, 25.0))[2 * rate :].max() for f in (10, 100))
+    assert low < 1e-3 and abs(high - 1) < 0.01
+
+
+def test_templates_are_found_when_moved_by_bins():
+    rng = np.random.default_rng(1)
+    s = rng.standard_normal((40, 120))
+    template = rng.standard_normal((40, 9))
+    s[:, 50:59] = np.roll(template, 2, axis=0)
+    plain, shifted = signal.correlation(s, template), signal.shifted_correlation(s, template)
+    assert shifted.argmax() == 50 and shifted[50] == pytest.approx(1) and plain[50] < 0.5
+    windows = [[np.corrcoef(s[k : k + 36, i : i + 9].ravel(), template[2:-2].ravel())[0, 1] for k in range(5)] for i in range(112)]
+    assert np.allclose(shifted, np.max(windows, axis=1))
+
+
+def test_painted_segments(spark):
+    rows = spark.createDataFrame([("a", 0, 5, 1.0), ("a", 3, 5, 1.0), ("a", 20, 4, 1.0), ("a", 23, 1, 1.0), ("b", 7, 3, 1.0)], "k string, frame long, frames long, score double")
+    got = sorted(tuple(r) for r in signal.painted_segments(rows, "k", rate=100, hop=50).collect())
+    mask = {"a": np.zeros(40, int), "b": np.zeros(40, int)}
+    for r in rows.collect():
+        mask[r["k"]][r["frame"] : r["frame"] + r["frames"] - 1] = 1
+    want = []
+    for k, m in mask.items():
+        edges = np.diff(np.concatenate([[0], m, [0]]))
+        want += [(k, max(b - 1, 0) * 0.5, (e - 1) * 0.5) for b, e in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
+    assert got == sorted(want)
+
+
+def test_band_snr_mel_and_permutations():
+    rate, rng = 8000, np.random.default_rng(2)
+    t = np.arange(rate) / rate
+    noise = 0.01 * rng.standard_normal(rate)
+    event = noise + np.sin(2 * np.pi * 1000 * t)
+    assert signal.band_snr(event, noise, rate, 900, 1100) > 30 > 3 > abs(signal.band_snr(event, noise, rate, 2000, 3000))
+    assert signal.band_snr(np.zeros(rate), noise, rate, 900, 1100) == -50 and signal.band_snr(event, np.zeros(rate), rate, 900, 1100) == 50
+    assert np.isnan(signal.band_snr(event[:10], noise, rate, 0, 100, whole=False))
+    mel = [signal.mean_mel(np.sin(2 * np.pi * f * t), rate) for f in (500, 510, 3000)]
+    like = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    assert like(mel[0], mel[1]) > 0.8 > 0.2 > like(mel[0], mel[2])
+    sources = rng.standard_normal((4, 200))
+    for order in ((2, 0, 3, 1), (0, 1, 2, 3)):
+        after = np.empty_like(sources)
+        after[list(order)] = sources
+        assert signal.permutation(sources, after + 0.1 * rng.standard_normal((4, 200))) == order
+
+
+def test_vectors_of_no_length_win_nothing(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "k long, v array<double>")
+    others = spark.createDataFrame([("none", [0.0, 0.0]), ("x", [2.0, 0.1]), ("y", [0.0, 3.0])], "label string, o array<double>")
+    got = {r["k"]: (r["label"], round(r["score"], 3)) for r in vectors.nearest(rows, "k", "v", others, "label", "o").collect()}
+    assert got == {1: ("x", 0.999), 2: ("none", 0.0)}
+    got = {r["k"]: (r["label"], round(r["score"], 3)) for r in vectors.nearest(rows, "k", "v", others, "label", "o", "l2").collect()}
+    assert got == {1: ("none", -1.0), 2: ("none", 0.0)}

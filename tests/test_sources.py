@@ -87,3 +87,22 @@ def test_unpivot(spark):
     long = readers.unpivot_classes(wide, ["f", "b", "e"], [])
     assert sorted((r["class"], r["q"]) for r in long.collect()) == [("c1", "POS"), ("c2", "NEG")]
     assert long.where(F.col("q") == "POS").count() == 1
+
+
+def test_resumable_writes(spark, tmp_path):
+    """Shares that an earlier run has finished are not made again; one that it left half done is."""
+    rows, path = spark.range(100), str(tmp_path / "r")
+    assert writers.resumable(rows, "id", path, 4, lambda x: x) == 4
+    (tmp_path / "r" / "share=2" / "_SUCCESS").unlink()
+    assert writers.resumable(rows, "id", path, 4, lambda x: x) == 1
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(100))
+
+
+def test_headers_and_channels(spark):
+    x = np.stack([np.linspace(-0.5, 0.5, 100), np.zeros(100)], 1)
+    whole = audio.encode(x, 50)
+    rows = spark.createDataFrame([("a", whole), ("b", whole[:-200]), ("c", b"RIFF"), ("d", b"")], "path string, content binary")
+    got = {r["path"]: (r["sample_rate"], r["duration_sec"], r["error"] is None) for r in audio.probed(rows).collect()}
+    assert got == {"a": (50, 2.0, True), "b": (50, 1.0, True), "c": (None, None, False), "d": (None, None, False)}
+    assert audio.decode(whole, channel=0)[1][0] == pytest.approx(-0.5, abs=1e-4) and not audio.decode(whole, channel=1)[1].any()
+    assert audio.decode(audio.encode(x[:, 0], 50, told_rate=25))[0] == 25
