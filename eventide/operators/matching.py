@@ -42,10 +42,15 @@ def augment(edges: list[tuple]) -> list[tuple]:
 def match(pairs: DataFrame, by: str) -> DataFrame:
     """by, ref_id and est_id of a largest matching on pairs (l_ and r_ columns of an overlap join).
 
-    Pairs fall into islands that share no moment, and so no event; each island is matched by itself, which keeps a long
-    file from being one task's work.
+    Pairs whose ends have no other partner are in every largest matching, and need no search. The others fall into islands
+    that share no moment, and so no event; each island is matched by itself, which keeps a long file from being one task's
+    work. An island of contested pairs is one row: it holds the pairs of one stretch of a recording in which contested
+    pairs follow each other without a break.
     """
-    hull = pairs.select(by, F.least("l_begin_us", "r_begin_us").alias("b"), F.greatest("l_end_us", "r_end_us").alias("e"), F.struct("l_begin_us", "l_end_us", "l_event_id").alias("ref"), F.struct("r_begin_us", "r_end_us", "r_event_id").alias("est"))
+    partners = lambda event: F.count("*").over(Window.partitionBy(by, event))
+    sided = pairs.withColumn("_single", (partners("l_event_id") == 1) & (partners("r_event_id") == 1))
+    single = sided.where("_single").select(by, F.col("l_event_id").alias("ref_id"), F.col("r_event_id").alias("est_id"))
+    hull = sided.where("not _single").select(by, F.least("l_begin_us", "r_begin_us").alias("b"), F.greatest("l_end_us", "r_end_us").alias("e"), F.struct("l_begin_us", "l_end_us", "l_event_id").alias("ref"), F.struct("r_begin_us", "r_end_us", "r_event_id").alias("est"))
     w = Window.partitionBy(by).orderBy("b", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = hull.withColumn("_new", F.when(F.col("b") > reach, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -59,7 +64,7 @@ def match(pairs: DataFrame, by: str) -> DataFrame:
             out.append([{"ref_id": r[2], "est_id": e[2]} for r, e in found])
         return pd.Series(out)
 
-    return edges.select(by, F.explode(matched("edges")).alias("m")).select(by, "m.ref_id", "m.est_id")
+    return edges.select(by, F.explode(matched("edges")).alias("m")).select(by, "m.ref_id", "m.est_id").unionByName(single)
 
 
 def counts(reference: DataFrame, estimates: DataFrame, by: str, positive: Column, least: float, width: int, shots: int = 0) -> DataFrame:

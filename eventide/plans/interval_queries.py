@@ -119,11 +119,8 @@ def overlap(spark, d):
 
 @query("jn08_overlap_counts", f"{WITH} SELECT file_id, count(*) AS n_pairs FROM ({PAIRS.format(value='1')}) GROUP BY file_id")
 def overlap_counts(spark, d):
-    """The same pairs from a plain join on the file with the bounds as a condition, counted."""
-    ref, est = _sides(spark, d)
-    r, e = ref.alias("r"), est.alias("e")
-    on = (F.col("r.file_id") == F.col("e.file_id")) & (F.col("r.begin_us") <= F.col("e.end_us")) & (F.col("r.end_us") >= F.col("e.begin_us"))
-    return r.join(e, on).groupBy("r.file_id").agg(F.count("*").alias("n_pairs"))
+    """The same pairs, counted: a plain join on the file with the bounds as a condition would meet all pairs of a file."""
+    return iv.overlaps(*_sides(spark, d), "file_id", WIDTH).groupBy("file_id").agg(F.count("*").alias("n_pairs"))
 
 
 @query("jn09_iou", f"{WITH} SELECT file_id, ref_id, est_id, round(iou, 6) AS iou FROM ({PAIRS.format(value=IOU_SQL + ' AS iou')}) WHERE iou > 0.3")
