@@ -107,3 +107,61 @@ def pad(spark, d):
     """Silence of 0.75 s at 8 Hz before and behind every recording."""
     x = fn.padded_by(F.col("embedding"), 6)
     return clips(spark, d).select("vec_id", F.size(x).alias("n"), F.round(F.element_at(x, 7), 6).alias("seventh"), total(x).alias("total"))
+
+
+#: Spectra of frames of 16 samples, 8 apart, behind a Hann window, as DuckDB text: re and im by recording, frame and bin.
+FRAMED_SQL = """f AS (SELECT vec_id, unnest(range(7)) AS t, embedding::DOUBLE[] AS x FROM embeddings
+), b AS (SELECT vec_id, t, x, unnest(range(9)) AS k FROM f
+), s AS (SELECT vec_id, t, k, list_sum(list_transform(range(16), lambda i: x[8 * t + i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * cos(2 * pi() * k * i / 16))) AS re, list_sum(list_transform(range(16), lambda i: x[8 * t + i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * sin(2 * pi() * k * i / 16))) AS im FROM b
+)"""
+
+
+@query("sig13_spectrogram", f"""WITH {FRAMED_SQL}, m AS (SELECT vec_id, t, k, sqrt(re * re + im * im) AS a FROM s
+), d AS (SELECT vec_id, a - median(a) OVER (PARTITION BY vec_id, k) - median(a) OVER (PARTITION BY vec_id, t) AS a FROM m)
+SELECT vec_id, round(sum(abs(a)), 5) AS total FROM d GROUP BY vec_id""")
+def spectrogram(spark, d):
+    """Magnitudes less the medians of their bin and of their frame."""
+    made = signal.by_signal(clips(spark, d), ["vec_id"], "embedding", lambda x: np.abs(signal.spectrogram(x, 16, 8)).sum(), "total")
+    return made.withColumn("total", F.round("total", 5))
+
+
+@query("sig16_peaks", """WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings
+), n AS (SELECT *, lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS before, lead(x) OVER (PARTITION BY vec_id ORDER BY i) AS after FROM p)
+SELECT vec_id, count(*) FILTER (x > before AND x >= after AND x >= 0.1)::DOUBLE AS n, coalesce(sum(i) FILTER (x > before AND x >= after AND x >= 0.1), 0)::DOUBLE AS places FROM n GROUP BY vec_id""")
+def peaks(spark, d):
+    """Local maxima of at least 0.1: their number and the sum of their places."""
+    found = lambda x: signal.peaks(x, 0.1, 1)
+    n = signal.by_signal(clips(spark, d), ["vec_id"], "embedding", lambda x: len(found(x)), "n")
+    return n.join(signal.by_signal(clips(spark, d), ["vec_id"], "embedding", lambda x: found(x).sum(), "places"), "vec_id")
+
+
+@query("sig18_peak_frequency", f"""WITH {FRAMED_SQL}, m AS (SELECT vec_id, t, arg_max(k, re * re + im * im) AS k FROM s WHERE k >= 3 GROUP BY vec_id, t)
+SELECT vec_id, round(avg(k) / 2, 6) AS hz FROM m GROUP BY vec_id""")
+def peak_frequency(spark, d):
+    made = signal.by_signal(clips(spark, d), ["vec_id"], "embedding", lambda x: signal.peak_frequency(x, 8, 16, 8), "hz")
+    return made.withColumn("hz", F.round("hz", 6))
+
+
+@query("sig14_template", """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), w AS (SELECT a.vec_id, unnest(range(57)) AS i, a.x, b.x[21:28] AS t FROM p a JOIN p b ON b.vec_id = a.vec_id + 1
+), c AS (SELECT vec_id, list_transform(x[i + 1 : i + 8], lambda v: v - list_avg(x[i + 1 : i + 8])) AS x, list_transform(t, lambda v: v - list_avg(t)) AS t FROM w)
+SELECT vec_id, round(max(list_dot_product(x, t) / sqrt(list_dot_product(x, x) * list_dot_product(t, t))), 6) AS best FROM c GROUP BY vec_id""")
+def template(spark, d):
+    """The best correlation with eight samples of the next recording."""
+
+    def run(parts):
+        for part in parts:
+            best = [signal.correlation(np.asarray(x, float)[None], np.asarray(y, float)[None, 20:28]).max() for x, y in zip(part["embedding"], part["other"], strict=True)]
+            yield pd.DataFrame({"vec_id": part["vec_id"], "best": np.round(best, 6)})
+
+    a = clips(spark, d).select("vec_id", "embedding")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return a.join(b, "vec_id").mapInPandas(run, "vec_id long, best double")
+
+
+@query("ml06_filter")
+def quality_filter(spark, d):
+    """A logistic regression of class 0 against the others on the even recordings, and its verdicts on the odd ones."""
+    rows = clips(spark, d).withColumn("is", (F.col("label") == 0).cast("int"))
+    model = vectors.fit_filter(rows.where("vec_id % 2 = 0"), "embedding", "is")
+    return vectors.apply_filter(model, rows.where("vec_id % 2 = 1"), "embedding").select("vec_id", "label", "exclude")
