@@ -109,22 +109,36 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_judge(text, dictionaries):
+    """Language, score and whether it is rejected, from a compressor made anew for every block."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    data, sizes = f" {re.sub(r'[\W\d_]+', ' ', text.lower()).strip()} ".encode(), {}
+    for lang, content in dictionaries.items():
+        sizes[lang], lead = 0, content[len(content) // 2 :][: language_id.LEAD_BYTES]
+        for i in range(0, len(data), language_id.BLOCK_BYTES):
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(level=language_id.LEVEL)
+            size = [len(zstandard.ZstdCompressor(dict_data=shared, write_content_size=False).compress(x)) for x in (lead + data[i : i + language_id.BLOCK_BYTES], lead)]
+            sizes[lang] += size[0] - size[1]
+    best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+    return best[1], 1 - np.exp(-30 * (1 - best[0] / second[0])), 1 - best[0] / second[0] < language_id.MIN_MARGIN
+
+
 def test_language_against_plain_compression(spark, sf_dir):
-    """The query's verdicts, from a compressor made anew for every block."""
+    """The query's verdicts, and the documents that the pipeline's stage keeps."""
+    import corpus_pipeline
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionaries = language_id.train_dictionaries(docs.where(~language_id.held_out("doc_id")), "text", "lang", "doc_id")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in sorted(registry.QUERIES["op4_language_id"](spark, sf_dir).collect(), key=lambda r: r["doc_id"])[:40]:
-        data, sizes = f" {re.sub(r'[\W\d_]+', ' ', texts[r['doc_id']].lower()).strip()} ".encode(), {}
-        for lang, content in dictionaries.items():
-            sizes[lang], lead = 0, content[len(content) // 2 :][: language_id.LEAD_BYTES]
-            for i in range(0, len(data), language_id.BLOCK_BYTES):
-                shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                shared.precompute_compress(level=language_id.LEVEL)
-                size = [len(zstandard.ZstdCompressor(dict_data=shared, write_content_size=False).compress(x)) for x in (lead + data[i : i + language_id.BLOCK_BYTES], lead)]
-                sizes[lang] += size[0] - size[1]
-        best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
-        assert r["lang_pred"] == best[1] and r["score"] == pytest.approx(1 - np.exp(-30 * (1 - best[0] / second[0])))
+    few = {i: t for i, t in texts.items() if len(t) < 20_000 and i % 2 == 0}
+    want = {i: plain_judge(t, dictionaries) for i, t in few.items()}
+    for r in registry.QUERIES["op4_language_id"](spark, sf_dir).collect():
+        if r["doc_id"] in want:
+            assert (r["lang_pred"], r["rejected"]) == want[r["doc_id"]][::2] and r["score"] == pytest.approx(want[r["doc_id"]][1])
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    assert kept & set(want) == {i for i, w in want.items() if not w[2]}
 
 
 def test_language_of_few_words_and_of_pieces(spark, sf_dir):
@@ -377,6 +391,23 @@ def test_private_query(spark, sf_dir):
         assert set(said.split(",")) - {""} <= set(r["spans"].split(","))
 
 
+def test_pipeline_redacts_what_the_patterns_and_the_field_find(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    field = private_data.train(docs, "doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in corpus_pipeline.redact_private_data(spark, docs, sf_dir).collect():
+        want = texts[r["doc_id"]]
+        base = plain_spans(want)
+        spans = sorted(base + private_data.added([want], [base], field)[0])
+        assert r["n_chars"] == len(r["text"])
+        if all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False)):  # spans that overlap have a test of their own
+            for start, end, kind in reversed(spans):
+                want = f"{want[:start]}<{kind.upper()}>{want[end:]}"
+            assert r["text"] == want
+
+
 def test_private_odd(spark, odd, empty):
     field = private_data.train(odd, "doc_id", "text")
     found = private_data.find(odd, "text", field, redact=True, column="_found").collect()
