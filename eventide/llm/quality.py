@@ -29,7 +29,7 @@ TRAIN_ROWS, CALIBRATED = 4000, 5
 #: Partitions that the sample is fitted in.
 FIT_PARTITIONS = 4
 #: Buckets of each family of n-grams, and the families: words, pairs of words, and runs of so many characters.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 RUNS = (3, 5)
 FAMILIES = 2 + len(RUNS)
 #: An odd multiplier, so that runs of code points keep apart in 64 bits.
