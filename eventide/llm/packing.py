@@ -38,7 +38,9 @@ DUALS = 32
 NUMBERED = 1000
 
 
+@functools.cache
 def encoder(vocabulary: str):
+    """The tokenizer, made once in a worker: making one for every task leaves memory behind."""
     import public_tokenizers
     import tiktoken
 
