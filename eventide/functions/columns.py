@@ -77,12 +77,21 @@ def rms(a: Column) -> Column:
     return norm(a) / F.sqrt(F.size(a))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once and not for every element that body goes over."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scaled(a: Column, divisor) -> Column:
+    """x - mean, divided by divisor(std)."""
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
+    by = lambda c: let(divisor(rms(c)), lambda d: F.transform(c, lambda x: x / d))
+    return let(mean, lambda m: let(F.transform(a, lambda x: x.cast("double") - m), by))
+
+
 def to_rms(a: Column, target: float) -> Column:
     """(x - mean) / max(std / target, 1e-6) of a signal."""
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    centred = F.transform(a, lambda x: x.cast("double") - mean)
-    std = rms(centred)
-    return F.transform(centred, lambda x: x / F.greatest(std / target, F.lit(1e-6)))
+    return scaled(a, lambda std: F.greatest(std / target, F.lit(1e-6)))
 
 
 def ramped(a: Column, length: int) -> Column:
@@ -152,9 +161,7 @@ def at_speed(a: Column, factor: float) -> Column:
 
 def normalised(a: Column, least: float = 1e-6) -> Column:
     """(x - mean) / max(std, least)."""
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    centred = F.transform(a, lambda x: x.cast("double") - mean)
-    return F.transform(centred, lambda x: x / F.greatest(rms(centred), F.lit(least)))
+    return scaled(a, lambda std: F.greatest(std, F.lit(least)))
 
 
 def noisy(a: Column, key: Column, scale: float) -> Column:
@@ -166,4 +173,4 @@ def noisy(a: Column, key: Column, scale: float) -> Column:
 def mixed_at_snr(foreground: Column, background: Column, snr_db: float) -> Column:
     """background + foreground scaled to rms(background) / rms(foreground) * 10^(0.1 snr)."""
     gain = F.try_divide(rms(background), rms(foreground)) * (10 ** (0.1 * snr_db))
-    return F.zip_with(foreground, background, lambda x, y: x.cast("double") * gain + y.cast("double"))
+    return let(gain, lambda g: F.zip_with(foreground, background, lambda x, y: x.cast("double") * g + y.cast("double")))
