@@ -164,6 +164,8 @@ WITH a AS (
       CASE WHEN len(labels) > 2 THEN 'first=' || labels[1] END,
       CASE WHEN regexp_matches(path, '\.[a-z]+$') THEN 'suffix=' || regexp_extract(path, '\.([a-z]+)$', 1) END,
       CASE WHEN instr(u, '#') > 0 THEN 'fragment' END],
+    CASE WHEN len(labels) > 3 THEN list_transform(labels[2 : len(labels) - 2], lambda x: 'label=' || x) ELSE [] END,
+    CASE WHEN len(labels) > 1 THEN list_transform(list_filter(flatten(list_transform(list_filter(labels[1 : len(labels) - 1], lambda x: contains(x, '-')), lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'word=' || x) ELSE [] END,
     list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN 'seg=#' ELSE 'seg=' || x END),
     list_transform(list_filter(string_split(regexp_extract(u, '[?]([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'key=' || regexp_extract(x, '^([^=]*)', 1))
   ), lambda x: x IS NOT NULL))) AS items FROM l
