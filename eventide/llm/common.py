@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     none, and then gets a temporary one: on a cluster, no other machine could read what is written there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

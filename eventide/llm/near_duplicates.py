@@ -211,12 +211,14 @@ def group(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 8
     Texts are lower-cased (A-Z) and cut at ASCII white space; a text with fewer words than width has one shingle, all
     its words; null, empty and blank texts have none and are linked with nothing. Links are sets with 100 * common >=
     percent * union. Rows without a key are grouped with nothing: null component, and kept. Of rows that repeat a key,
-    each is returned, with the key's component; their texts are all linked to it. Keys must be whole numbers.
+    each is returned, with the key's component; their texts are all linked to it. Keys must be whole numbers. Key and text
+    may be named as any of the columns that are made here; other columns are not looked at.
     """
-    made = materialize(sketches(docs.where(F.col(key).isNotNull()), key, text, width).withColumnRenamed(key, "key"))
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    made = materialize(sketches(docs.where("key is not null"), "key", "text", width))
     classes = made.where("size > 0").groupBy("d1", "d2", "size").agg(F.min("key").alias("id"), F.first("bands").alias("bands"))
     shared = materialize(shared_buckets(classes.select("id", "size", F.explode("bands").alias("bucket"))))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(shared.select("id").distinct(), "id", "left_semi")
+    texts = docs.withColumnRenamed("key", "id").join(shared.select("id").distinct(), "id", "left_semi")
     if repeats(made, "key"):
         texts = texts.distinct()
     sets = materialize(shingle_sets(texts, width))
@@ -232,7 +234,7 @@ def group(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 8
     out = made.select("key", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("id", "key"), "key", "left")
     own = F.coalesce("component", "key")
     known = out.select(F.col("key").alias(key), "n_shingles", own.alias("component"), (own == F.col("key")).alias("kept"))
-    unknown = sketches(docs.where(F.col(key).isNull()), key, text, width).select(key, F.col("size").alias("n_shingles"), F.lit(None).cast(known.schema["component"].dataType).alias("component"), F.lit(True).alias("kept"))
+    unknown = sketches(docs.where("key is null"), "key", "text", width).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.lit(None).cast(known.schema["component"].dataType).alias("component"), F.lit(True).alias("kept"))
     return known.unionByName(unknown)
 
 

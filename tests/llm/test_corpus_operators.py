@@ -364,6 +364,8 @@ def test_near_duplicates_odd(odd, empty):
     assert by[0]["n_shingles"] == by[2]["n_shingles"] == 0 and by[0]["kept"] and by[2]["kept"]
     assert by[5]["component"] == 4 and by[7]["component"] == 6 and by[9]["component"] == 8 and by[None]["kept"]
     assert near_duplicates.group(empty, "doc_id", "text").count() == 0
+    named = odd.select(F.col("doc_id").alias("size"), F.col("text").alias("bands"), F.lit(1).alias("d1"))
+    assert {(r["size"], r["component"]) for r in near_duplicates.group(named, "size", "bands").collect()} == {(r["doc_id"], r["component"]) for r in rows}
 
 
 def test_neighbours_recall(spark, sf_dir):
