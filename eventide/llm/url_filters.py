@@ -23,10 +23,13 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-#: Least share of the labelled pages that a rule's tokens and label share, and least share of bad pages among those
-#: with its tokens.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.6
-BAD = "label=bad"
+#: Least bad pages that have a rule's tokens, and least share of bad pages among those with its tokens. A bad site is
+#: found by its own pages, however many other sites there are.
+MIN_ROWS, MIN_CONFIDENCE = 20, 0.6
+#: Least share of the labelled pages that these bad pages are; it bounds the tokens that are broadcast.
+MIN_SUPPORT = 1e-4
+#: What stands for a bad page beside its classes, and what stands before every class, so that none can be taken for it.
+BAD, CLASS = "bad", "="
 #: Tasks that the rows of one token set are dealt over.
 SALTS = 32
 
@@ -83,29 +86,34 @@ class Rules:
     classes: DataFrame
 
 
-def mine(labelled: DataFrame, items: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> Rules:
-    """Rules "tokens -> bad": token combinations whose rows are bad at least so often.
+def mine(labelled: DataFrame, items: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> Rules:
+    """Rules "tokens -> bad": token combinations whose rows are bad at least so often, and that at least min_rows bad rows
+    have, which are at least min_support of all rows.
 
     labelled has an array of distinct tokens and a boolean; rows where either is null are left out. Tokens that always come
     together are mined as one, so thirty keys of one kind of url are one item, not 2**30 sets; a row has a class if it has
     one of its tokens, as the rules of every token of a class would say. key is the rule's rarest class among labelled
-    rows (ties: the first in order). No labelled rows give no rules. The tokens of enough support are as many as those of
-    a row divided by min_support at most, whatever the number of rows, and are broadcast.
+    rows (ties: the first in order). No labelled rows give no rules. Only tokens that stand in enough bad rows can be in a
+    rule, and only these are mined; they are as many as those of a row divided by min_support at most, whatever the
+    number of rows, and are broadcast.
     """
     rows = materialize(labelled.where(F.col(items).isNotNull() & F.col(bad).isNotNull()).select(F.col(items).alias("items"), F.col(bad).alias("bad"), F.monotonically_increasing_id().alias("row")))
-    least = math.ceil(min_support * rows.count())
+    total = rows.count()
+    least = max(min_rows, math.ceil(min_support * total))
     each = rows.select("row", "bad", F.explode("items").alias("token"))
-    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where(F.col("n") >= least)
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    seen = seen.where(F.col("n_bad") >= least).drop("n_bad")
     first = seen.groupBy("n", "x", "y").agg(F.min("token").alias("class"))
     classes = materialize(seen.join(first, ["n", "x", "y"]).select("token", "class", "n"))
     sets = each.join(F.broadcast(classes), "token").groupBy("row").agg(F.collect_set("class").alias("own"))
-    whole = rows.join(sets, "row", "left").select(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    whole = rows.join(sets, "row", "left").select(F.concat(F.transform(F.coalesce("own", F.array().cast("array<string>")), lambda x: F.concat(F.lit(CLASS), x)), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     baskets = materialize(whole)
-    if not least:
+    if not total:
         found = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double")
     else:
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-        found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
+        # Half a row less than least, as the share times the number of rows is rounded up again.
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence).fit(baskets)
+        found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort(F.transform("antecedent", lambda x: F.substring(x, F.lit(len(CLASS) + 1), F.length(x)))).alias("antecedent"), "confidence")
     single = classes.where("token = class").select(F.col("class").alias("one"), "n")
     by = found.select("antecedent", "confidence", F.explode("antecedent").alias("one")).join(F.broadcast(single), "one")
     rules = materialize(by.groupBy("antecedent", "confidence").agg(F.min_by("one", F.struct("n", "one")).alias("key")))
@@ -146,7 +154,7 @@ def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     host, path = host_path(F.col("url"))
     bad = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     labelled = pages.join(bad, pages.page_id == bad.doc_id).select(tokens(F.col("url"), host, path).alias("items"), "bad")
-    return judge(pages, "url", mine(labelled, "items", "bad"), ["page_id"])
+    return judge(pages, "url", mine(labelled, "items", "bad", min_rows=MIN_ROWS), ["page_id"])
 
 
 OP3_SQL = rf"""
@@ -175,7 +183,7 @@ WITH a AS (
   SELECT bad, mask, list_filter(items, lambda x, i: (mask >> (i - 1)::INT) & 1 = 1) AS part FROM (SELECT items, bad, unnest(range(1, 1 << len(items)::INT)) AS mask FROM y)
 ), r AS (
   SELECT part, count(*) FILTER (bad) / count(*) AS confidence FROM s GROUP BY part
-  HAVING count(*) FILTER (bad) >= ceil({MIN_SUPPORT} * (SELECT count(*) FROM y)) AND count(*) FILTER (bad) / count(*) >= {MIN_CONFIDENCE}
+  HAVING count(*) FILTER (bad) >= greatest({MIN_ROWS}, ceil({MIN_SUPPORT} * (SELECT count(*) FROM y))) AND count(*) FILTER (bad) / count(*) >= {MIN_CONFIDENCE}
 ), f AS (
   SELECT t.items, max(confidence) AS confidence FROM (SELECT DISTINCT items FROM t) t JOIN r ON list_has_all(t.items, r.part) GROUP BY t.items
 ), v AS (

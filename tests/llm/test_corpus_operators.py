@@ -172,6 +172,26 @@ def test_every_host_label_has_tokens(spark):
     assert {i for i, v in got.items() if v == "block"} == set(range(6))
 
 
+def test_bad_site_among_many(spark, duck, tmp_path):
+    """A bad site is found by its own pages, be it a small share of all; the query and its SQL say the same. A host label
+    that reads "bad" is a token as others are."""
+    urls = [f"https://m.bad.site{i % 997}.com/p{i}?k={i}" for i in range(3000)]
+    urls += [f"https://www.spam{i % 2}.com/buy?id={i}" for i in range(60)] + [f"https://m.few.com/x{i}" for i in range(19)] + [None, "mailto:x"]
+    spam, few = range(3000, 3060), range(3060, 3079)
+    tell = [0 if i in few or (i in spam and i % 10 < 8) or i % 50 == 0 else 1 for i in range(len(urls))]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = [(i, q) for i, q in enumerate(tell)] + [(5, None), (7, 1)]
+    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r.asDict() for r in url_filters.op3_url_filter(spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r["verdict"] == "block"} == set(spam)
+    own = duck.cursor()
+    for name in ("pages", "labels"):
+        own.execute(f"create temp view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    said = own.sql(url_filters.OP3_SQL)
+    columns = [c[0] for c in said.description]
+    assert {r["page_id"]: r for r in (dict(zip(columns, x, strict=True)) for x in said.fetchall())} == got
+
+
 def test_mined_rules_fire(spark):
     rows = [(["a", "b"], True)] * 8 + [(["a"], False)] * 10 + [(["b"], False)] * 6 + [(None, True), (["c"], None)]
     rules = url_filters.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), "items", "bad", 0.1, 0.9)
