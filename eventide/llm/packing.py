@@ -49,6 +49,24 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@functools.cache
+def slow_encoder(vocabulary: str):
+    """The tokenizer of the same vocabulary in the tokenizers library, from the .json file beside that of the ranks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary.rpartition(".")[0] + ".json"))
+
+
+def token_ids(text: str, vocabulary: str) -> list[int]:
+    """The ids of text. The faster library gives up on a text with about a million white spaces in a row, where its
+    pattern runs out of places to go back to; such a text is read by the slower one."""
+    try:
+        return encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        return slow_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of n ids: all are full but the first, which takes what is left over."""
     start, length = 0, n % capacity or min(n, capacity)
@@ -62,14 +80,13 @@ def pieces(docs: DataFrame, text: str, keys: list[str], capacity: int = CAPACITY
     schema = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())))])
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 row, found = [], ([], [], [], [])
                 for i, doc in enumerate(batch.column(len(keys)).to_pylist()):
-                    ids = np.array(code.encode(doc or "", allowed_special="all"), "<u4").tobytes() + end
+                    ids = np.array(token_ids(doc or "", vocabulary), "<u4").tobytes() + end
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         row.append(i)
                         for column, value in zip(found, (k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):

@@ -131,6 +131,10 @@ def test_packing_ids_are_those_of_tokenizers():
     tokenizer, code = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.VOCABULARY)
     for text in ("<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>\n", "x <|endoftext| >", " \n\n  x's I'LL 12345 ½²  ", "日本語テキスト\0 é e\u0301", "=" * 3000, " " * 500 + "\t" * 7, "\U0001f600\u200d\U0001f600"):
         assert code.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in ("\n" * 1_200_000 + " x", "a" + " " * 1_200_000, "x<|endoftext|>" + "\t" * 1_200_000 + "<|endoftext|>"):
+        with pytest.raises(ValueError):
+            code.encode(text, allowed_special="all")
+        assert packing.token_ids(text, packing.VOCABULARY) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_odd(odd, empty):
