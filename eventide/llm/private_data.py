@@ -14,7 +14,9 @@ adds what the patterns miss: such mentions, and secrets, which have no pattern o
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +69,9 @@ LABELS = ["", *ALL_KINDS]
 DIGITS, HEX = set("0123456789"), set("0123456789abcdefABCDEF")
 HIT = re.compile(r"[0-9@]")
 SPACE = re.compile(r"\s")
-#: Texts of an Arrow batch that make one graph.
-SLICE_ROWS = 512
+#: Texts, and characters, of an Arrow batch that make one graph (one longer text makes one by itself), and edges that
+#: are looked at together.
+SLICE_ROWS, SLICE_CHARS, SLICE_EDGES = 512, 1 << 20, 1 << 14
 
 
 def luhn(digits: str) -> bool:
@@ -206,7 +210,7 @@ def build(texts: list[str]) -> Graph:
             me, token = len(spans), text[start:end]
             of.append(i)
             spans.append((start, end))
-            rows.append(features(token, text[max(0, start - 16) : start]))
+            rows.append(bytes(features(token, text[max(0, start - 16) : start])))
             near = before is not None and text[before:start].isspace()
             if near:
                 chain.append((me - 1, me))
@@ -215,7 +219,7 @@ def build(texts: list[str]) -> Graph:
             skip += sorted({(other, me) for name in similar_to(token) if (other := first.setdefault(name, me)) != me})
             before = end
     pairs = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
-    return Graph(np.array(of, np.int64), spans, np.array(rows, float).reshape(-1, N_FEATURES), np.array(alone, bool).reshape(-1, 2), *pairs)
+    return Graph(np.array(of, np.int64), spans, np.frombuffer(b"".join(rows), np.uint8).reshape(-1, N_FEATURES).astype(float), np.array(alone, bool).reshape(-1, 2), *pairs)
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -223,6 +227,12 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
+def passed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log sums over the labels of x plus the potentials w, for every label of the other end."""
+    top = x.max(1, keepdims=True)
+    return top + np.log(np.exp(x - top) @ np.exp(w))
+
+
 class Field:
     """Weights of the field and its inference; labels are LABELS, the first is "outside"."""
 
@@ -238,40 +248,51 @@ class Field:
         """Of each node by itself; a neighbour that is no node is outside."""
         return g.x @ self.unary + g.alone[:, :1] * self.transition[0] + g.alone[:, 1:] * self.transition[:, 0]
 
-    def pass_messages(self, g: Graph, own: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Log beliefs of nodes and of edges, by parallel loopy belief propagation until messages rest, or for so many
-        rounds."""
+    def pass_messages(self, g: Graph, own: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Log beliefs of nodes, and the messages along edges (to the right, to the left), by parallel loopy belief
+        propagation until the messages of a text rest, or for so many rounds. Every text rests by itself, so its beliefs
+        don't depend on the texts beside it; edges are looked at in slices."""
         kinds = [(g.chain, self.transition), (g.skip, self.similar)]
         sent = [(np.zeros((len(e), own.shape[1])), np.zeros((len(e), own.shape[1]))) for e, _ in kinds]
+        moving = [np.arange(len(e)) for e, _ in kinds]
 
-        def belief() -> np.ndarray:
+        def belief(some: list[np.ndarray]) -> np.ndarray:
             b = own.copy()
-            for (e, _), (right, left) in zip(kinds, sent, strict=True):
-                np.add.at(b, e[:, 1], right)
-                np.add.at(b, e[:, 0], left)
+            for (e, _), (right, left), m in zip(kinds, sent, some, strict=True):
+                np.add.at(b, e[m, 1], right[m])
+                np.add.at(b, e[m, 0], left[m])
             return b
 
-        for _ in range(rounds if len(g.chain) + len(g.skip) else 0):
-            b = belief()
-            fresh = []
-            for (e, w), (right, left) in zip(kinds, sent, strict=True):
-                to_right = log_sum((b[e[:, 0]] - left)[:, :, None] + w, 1)
-                to_left = log_sum((b[e[:, 1]] - right)[:, None, :] + w, 2)
-                fresh.append((to_right - log_sum(to_right, 1)[:, None], to_left - log_sum(to_left, 1)[:, None]))
-            moved = max((float(np.abs(o - n).max()) for old, new in zip(sent, fresh, strict=True) for o, n in zip(old, new, strict=True) if o.size), default=0.0)
-            sent = [tuple(0.5 * o + 0.5 * n for o, n in zip(old, new, strict=True)) for old, new in zip(sent, fresh, strict=True)]
-            if moved < tolerance:
+        for _ in range(rounds):
+            if not sum(map(len, moving)):
                 break
-        b = belief()
+            b = belief(moving)
+            moved = np.zeros(int(g.of[-1]) + 1)
+            for (e, w), (right, left), some in zip(kinds, sent, moving, strict=True):
+                for at in range(0, len(some), SLICE_EDGES):
+                    m = some[at : at + SLICE_EDGES]
+                    source, sink = e[m, 0], e[m, 1]
+                    to_right, to_left = passed(b[source] - left[m], w), passed(b[sink] - right[m], w.T)
+                    for old, new in ((right, to_right), (left, to_left)):
+                        new = new - log_sum(new, 1)[:, None]
+                        np.maximum.at(moved, g.of[source], np.abs(old[m] - new).max(1))
+                        old[m] = 0.5 * old[m] + 0.5 * new
+            moving = [m[moved[g.of[e[m, 0]]] >= tolerance] for (e, _), m in zip(kinds, moving, strict=True)]
+        b = belief([np.arange(len(e)) for e, _ in kinds])
+        return b - log_sum(b, 1)[:, None], sent
+
+    def along(self, g: Graph, b: np.ndarray, sent: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Log beliefs of the edges of both kinds, from what pass_messages() gives."""
         pairs = []
-        for (e, w), (right, left) in zip(kinds, sent, strict=True):
+        for e, w, (right, left) in zip((g.chain, g.skip), (self.transition, self.similar), sent, strict=True):
             p = (b[e[:, 0]] - left)[:, :, None] + (b[e[:, 1]] - right)[:, None, :] + w
             pairs.append(p - log_sum(log_sum(p, 2), 1)[:, None, None])
-        return b - log_sum(b, 1)[:, None], pairs
+        return pairs
 
     def expected(self, g: Graph, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of all weights' features."""
-        b, (chain, skip) = self.pass_messages(g, own, 8)
+        b, sent = self.pass_messages(g, own, 8)
+        chain, skip = self.along(g, b, sent)
         p = np.exp(b)
         transition = np.exp(chain).sum(0)
         transition[0] += (p * g.alone[:, :1]).sum(0)
@@ -400,6 +421,13 @@ def added(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field
         return out
     p = np.exp(field.pass_messages(g, field.potentials(g))[0])
     label = np.where(p.max(1) >= 0.5, p.argmax(1), 0)
+    starts = [[s for s, _, _ in spans] for spans in base]
+    reach = [list(itertools.accumulate((e for _, e, _ in spans), max)) for spans in base]
+
+    def touches(of: int, start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts[of], end)
+        return before > 0 and reach[of][before - 1] > start
+
     joined = np.zeros(len(g.of), bool)
     joined[g.chain[:, 1]] = True
     i = 0
@@ -415,7 +443,7 @@ def added(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field
                 start += 1
             while end > start and not (text[end - 1].isalnum() or text[end - 1] == ")"):
                 end -= 1
-            if start < end and not any(s < end and start < e for s, e, _ in base[of]):
+            if start < end and not touches(of, start, end):
                 out[of].append((start, end, LABELS[label[i]]))
         i = j
     return out
@@ -435,6 +463,18 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of each run of texts that makes one graph."""
+    first = chars = 0
+    for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        if i > first and (i - first == SLICE_ROWS or chars + (n or 0) > SLICE_CHARS):
+            yield first, i - first
+            first, chars = i, 0
+        chars += n or 0
+    if first < len(texts):
+        yield first, len(texts) - first
+
+
 def find(docs: DataFrame, text: str, field: Field, redact: bool = False, column: str = "spans") -> DataFrame:
     """docs with a column of spans (kind, start, end in code points, base), by start and then kind; it replaces a column
     of docs of that name.
@@ -448,8 +488,8 @@ def find(docs: DataFrame, text: str, field: Field, redact: bool = False, column:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(first, SLICE_ROWS)
+            for first, rows in slices(whole.column(at)):
+                batch = whole.slice(first, rows)
                 own = batch.column(at).to_pylist()
                 texts = [t or "" for t in own]
                 base = [base_spans(t) for t in texts]

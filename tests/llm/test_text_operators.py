@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import zstandard
@@ -300,6 +301,35 @@ def test_message_passing_is_exact_on_trees():
     assert got == pytest.approx(want / want.sum(1, keepdims=True), abs=1e-6)
 
 
+def test_beliefs_do_not_depend_on_other_texts():
+    rng = np.random.default_rng(1)
+    k = len(private_data.LABELS)
+    field = private_data.Field(rng.standard_normal((private_data.N_FEATURES, k)), rng.standard_normal((k, k)), rng.standard_normal((k, k)))
+    texts = ["call 555 1234567 or 555-1234567 now", "1 2 3 1 2 3 1 2 3 " * 40, "", "x@y 7", "no node"]
+    together = private_data.build(texts)
+    beliefs = field.pass_messages(together, field.potentials(together))[0]
+    for i, text in enumerate(texts):
+        g = private_data.build([text])
+        assert beliefs[together.of == i] == pytest.approx(field.pass_messages(g, field.potentials(g))[0], abs=1e-9)
+
+
+def test_graphs_are_bounded(monkeypatch):
+    monkeypatch.setattr(private_data, "SLICE_ROWS", 3)
+    monkeypatch.setattr(private_data, "SLICE_CHARS", 10)
+    texts = pa.array(["a" * 4, "é" * 6, "b", None, "", "", "c" * 50, "d" * 9, "e"])
+    assert list(private_data.slices(texts)) == [(0, 2), (2, 3), (5, 1), (6, 1), (7, 2)]
+    assert list(private_data.slices(texts[:0])) == []
+
+
+def test_added_spans_keep_off_the_base():
+    """Where the field's spans may stand is asked of all spans of the base, long ones first in the text included."""
+    field = private_data.Field.empty()
+    field.unary[:, private_data.LABELS.index("secret")] = 5
+    text = "11 22 33 44 55"
+    base = [(0, 7, "card"), (1, 2, "ip"), (12, 13, "ip")]
+    assert private_data.added([text], [base], field) == [[(9, 11, "secret")]]
+
+
 def plain_spans(text):
     """The contract's patterns as they are written, with regex instead of re."""
     out = []
