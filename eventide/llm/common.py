@@ -37,11 +37,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote. Only for tables on which nothing depends any more that isn't written itself."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(df.sparkSession, df.folder)
 
 
 def free_name(name: str, taken: Iterable[str]) -> str:
