@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventide.llm import exact_substrings, language_id, licenses, mixing, near_duplicates, neighbours, packing, periodic_runs, private_data, quality, url_filters, warc
+from eventide.llm import collocations, exact_substrings, language_id, licenses, mixing, near_duplicates, neighbours, packing, periodic_runs, private_data, quality, url_filters, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_private_data": private_data.op8_private_data,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "op11_collocations": collocations.op11_collocations,
     "op12_warc": warc.op12_warc,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -23,6 +24,7 @@ SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
     "op3_url_filter": url_filters.OP3_SQL,
     "op10_source_mixing": mixing.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_warc": warc.OP12_SQL,
     "op13_periodic_runs": periodic_runs.OP13_SQL,
 }
