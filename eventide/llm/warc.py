@@ -201,10 +201,14 @@ def write(pages: DataFrame, key: str, url: str, payload: str, folder: str, date:
     """
     spark = pages.sparkSession
     captures = materialize(written(decided(pages, key, url, payload), folder, date))
-    number = int(spark.conf.get("spark.sql.shuffle.partitions")) if shards is None else shards
+    number = tasks(spark) if shards is None else shards
     return Archive(folder, captures, indexed(captures, folder, max(1, min(number, MOST_SHARDS))))
 
 
+def tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def blocks_of(archive: Archive, keys: DataFrame) -> DataFrame:
     """surt, and file, offset and length of each index block that may have it, for keys (surt)."""
     shards, folder = archive.shards, archive.folder
@@ -260,7 +264,8 @@ def lookup(archive: Archive, urls: DataFrame, url: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:5]] + [pa.array(map(int, c), pa.int64()) for c in columns[5:]], names=[c.split()[0] for c in CAPTURE.split(", ")])
 
     keys = urls.select(F.col(f"`{url}`").alias("url")).distinct().mapInArrow(to_keys, "surt string").distinct()
-    return blocks_of(archive, keys).repartition("file", "offset").sortWithinPartitions("file", "offset", "surt").mapInArrow(scan, CAPTURE)
+    # A small row stands for a block: the number of tasks is given, as sizes of rows would bring all to one.
+    return blocks_of(archive, keys).repartition(tasks(urls.sparkSession), "file", "offset").sortWithinPartitions("file", "offset", "surt").mapInArrow(scan, CAPTURE)
 
 
 def read(archive: Archive, captures: DataFrame, payload: bool = False) -> DataFrame:
@@ -295,7 +300,7 @@ def read(archive: Archive, captures: DataFrame, payload: bool = False) -> DataFr
                 columns = [[r[i] for r in rows] for i in range(7)] + ([[r[7] if r[3] == "response" else None for r in rows]] if payload else [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=labels)
 
-    ranges = captures.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    ranges = captures.select("file", "offset", "length").repartition(tasks(captures.sparkSession), "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(load, RECORD + (", payload binary" if payload else ""))
 
 
