@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.operators.scans import islands, sliced
+
 
 def first_k(events: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group."""
@@ -63,11 +65,8 @@ def iou_pairs(left: DataFrame, right: DataFrame, by: str, least: float, width: i
 
 def merged(events: DataFrame, by: list[str], begin: str, end: str, **carried: Column) -> DataFrame:
     """Islands of touching or overlapping intervals of each group; those that end where they begin are left out first.
-    carried: aggregates over the rows of an island."""
-    w = Window.partitionBy(*by).orderBy(begin, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = events.where(F.col(end) > F.col(begin)).withColumn("_new", F.when(F.col(begin) > reach, 1).when(reach.isNull(), 1).otherwise(0))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    carried: aggregates over the rows of an island. A long group is scanned in slices."""
+    rows = islands(sliced(events.where(F.col(end) > F.col(begin)), by, begin), begin, end)
     return rows.groupBy(*by, "_island").agg(F.min(begin).alias(begin), F.max(end).alias(end), *(c.alias(n) for n, c in carried.items())).drop("_island")
 
 

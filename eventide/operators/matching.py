@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.intervals import drop_shots, iou_pairs
+from eventide.operators.scans import islands, sliced
 
 
 def augment(edges: list[tuple]) -> list[tuple]:
@@ -51,9 +52,7 @@ def match(pairs: DataFrame, by: str) -> DataFrame:
     sided = pairs.withColumn("_single", (partners("l_event_id") == 1) & (partners("r_event_id") == 1))
     single = sided.where("_single").select(by, F.col("l_event_id").alias("ref_id"), F.col("r_event_id").alias("est_id"))
     hull = sided.where("not _single").select(by, F.least("l_begin_us", "r_begin_us").alias("b"), F.greatest("l_end_us", "r_end_us").alias("e"), F.struct("l_begin_us", "l_end_us", "l_event_id").alias("ref"), F.struct("r_begin_us", "r_end_us", "r_event_id").alias("est"))
-    w = Window.partitionBy(by).orderBy("b", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = hull.withColumn("_new", F.when(F.col("b") > reach, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = islands(sliced(hull, [by], "b"), "b", "e")
     edges = marked.groupBy(by, "_island").agg(F.collect_list(F.struct("ref", "est")).alias("edges"))
 
     @F.pandas_udf("array<struct<ref_id:long,est_id:long>>")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.operators.scans import before, islands, sliced
+
 
 def runs(frames: DataFrame, by: str, frame: str, on: Column) -> DataFrame:
     """Runs of frames where `on` holds, with n, the number of frames of the group."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(frame))
     sizes = frames.groupBy(by).agg((F.max(frame) + 1).alias("n"))
-    kept = frames.where(on).select(by, frame).withColumn("_run", F.col(frame) - nth)
-    return kept.groupBy(by, "_run").agg(F.min(frame).alias("run_begin"), (F.max(frame) + 1).alias("run_end")).drop("_run").join(sizes, by)
+    kept = frames.where(on).select(by, F.col(frame).alias("run_begin"), (F.col(frame) + 1).alias("run_end"))
+    found = islands(sliced(kept, [by], "run_begin"), "run_begin", "run_end")
+    return found.groupBy(by, "_island").agg(F.min("run_begin").alias("run_begin"), F.max("run_end").alias("run_end")).drop("_island").join(sizes, by)
 
 
 def exported(rows: DataFrame) -> DataFrame:
@@ -22,11 +24,10 @@ def exported(rows: DataFrame) -> DataFrame:
 
 
 def filled(rows: DataFrame, by: list[str], most: Column | int) -> DataFrame:
-    """Runs with the holes of at most `most` frames between them closed."""
-    w = Window.partitionBy(*by).orderBy("run_begin")
-    hole = F.col("run_begin") - F.lag("run_end").over(w)
-    cut = rows.withColumn("_hole", hole).withColumn("_new", F.when(F.col("_hole") <= most, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    others = [c for c in rows.columns if c not in (*by, "run_begin", "run_end")]
+    """Runs with the holes of at most `most` frames between them closed. Groups are cut into slices by the first of by, if
+    rows don't come with slices already."""
+    others = [c for c in rows.columns if c not in (*by, "run_begin", "run_end", "_by", "_slice")]
+    cut = islands(rows if "_slice" in rows.columns else sliced(rows, by[:1], "run_begin"), "run_begin", "run_end", most, by[1:])
     return cut.groupBy(*by, "_island").agg(F.min("run_begin").alias("run_begin"), F.max("run_end").alias("run_end"), *(F.first(c).alias(c) for c in others)).drop("_island")
 
 
@@ -81,14 +82,17 @@ def adaptive_threshold(frames: DataFrame, support: DataFrame, by: str) -> DataFr
     Frames are not multiplied by the grid: each gives a row for a grid point only where its score and the one before lie
     on different sides of it, that is, where a run begins or ends.
     """
-    w = Window.partitionBy(by).orderBy("frame")
     level = F.size(F.filter(F.lit(THRESHOLDS), lambda t: F.col("p") >= t))
     sizes = frames.groupBy(by).agg((F.max("frame") + 1).alias("n"))
-    steps = frames.select(by, "frame", level.alias("level")).withColumn("before", F.coalesce(F.lag("level").over(w), F.lit(0))).where("level <> before")
+    cut = sliced(frames.select(by, "frame", level.alias("level")), [by], "frame")
+    steps = before(cut, ["frame"], "_one", F.struct("frame", "level")).withColumn("before", F.coalesce("_one.level", F.lit(0))).where("level <> before")
     points = F.explode(F.sequence(F.least("level", "before"), F.greatest("level", "before") - 1))
-    edges = steps.select(by, "frame", (F.col("level") > F.col("before")).alias("up"), points.alias("point"))
-    after = F.lead("frame").over(Window.partitionBy(by, "point").orderBy("frame"))
-    found = edges.withColumn("run_end", after).where("up").join(sizes, by).select(by, "point", F.col("frame").alias("run_begin"), F.coalesce("run_end", "n").alias("run_end"), "n")
+    edges = steps.select(by, "_by", "_slice", "frame", (F.col("level") > F.col("before")).alias("up"), points.alias("point"))
+    # Runs rise and end by turns: each end belongs to the edge before it, and a rise without an end lasts to the last frame.
+    closed = before(edges, ["frame"], "_rise", F.when(F.col("up"), F.col("frame")), ["point"]).where(~F.col("up")).select(by, "point", F.col("_rise").alias("run_begin"), F.col("frame").alias("run_end"))
+    last = edges.groupBy(by, "point").agg(F.max_by(F.struct("frame", "up"), "frame").alias("e")).where("e.up")
+    open_ = last.join(sizes, by).select(by, "point", F.col("e.frame").alias("run_begin"), F.col("n").alias("run_end"))
+    found = closed.unionByName(open_).join(sizes, by).select(by, "point", "run_begin", "run_end", "n")
     rules = support.select(by, "mean_s", "std_s", F.floor(FRAME_RATE * F.least(F.greatest(0.5 * F.col("min_s"), F.lit(0.0)), F.lit(1.0))).alias("hole"), F.floor(FRAME_RATE * F.least(F.lit(0.5), 0.5 * F.col("min_s"))).alias("least"))
     kept = long_enough(filled(found.join(rules, by), [by, "point"], F.col("hole") - 1), F.col("least"))
     logit = F.element_at(F.lit(LOGITS), F.col("point") + 1)
