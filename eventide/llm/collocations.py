@@ -2,15 +2,14 @@
 
 Frequent words get numbers. A frequent phrase of k words is a pair of frequent phrases of k - 1 words that start one word
 apart, and gets a number of its own: the global table of pairs names it, and points to the two that it is made of. Texts
-are held as chunks of numbers. At each level a chunk counts its pairs, the counts meet by pair, and the pairs that are
-frequent everywhere come back to the chunks that have them, which put the new numbers in place of the old. The pointers
-lead from a phrase to its parts, for cuts, and to what it covers, for subsumption.
+are held as chunks of numbers. At each level chunks count their pairs, the counts meet by pair, and the numbers of the
+pairs that are frequent come back to the chunks that have them, which put them in place of the old. The pointers lead from a phrase to its parts, for cuts, and to what it covers, for subsumption.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -28,6 +27,9 @@ LEAST, LONGEST, COVERED, BEST = 30, 4, 80, 2000
 CHUNK_BYTES = 4 << 20
 #: Parts of a language that are ranked apart before the best of them are.
 SALTS = 64
+#: Flags that tell most pairs of a chunk that can't be frequent before any join, and what spreads pairs over them.
+SIEVE_BITS, _BUCKET, _LOW = 1 << 26, 1 << 15, 1 << 31
+_FACTORS = {"left": 1_000_003, "right": 69_069}
 UNKNOWN = "und"
 _BREAKS, _SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(_BREAKS + _SPACES + bytes(range(65, 91)), b"\n" * len(_BREAKS) + b"  " + bytes(range(97, 123)))
@@ -77,9 +79,9 @@ def word_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(make, "lang string, items array<struct<word:string,n:long>>, codes binary").withColumn("chunk", F.monotonically_increasing_id())
 
 
-def pair_chunks(named: DataFrame) -> DataFrame:
-    """chunk, items (struct of left, right and n) and codes of named (chunk, names: struct of place and id, codes): pairs of
-    the frequent items of each chunk. names has at most as many entries as the chunk has words."""
+def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) -> DataFrame:
+    """What emit makes of each chunk of named (chunk, names: struct of place and id, codes): it gets the chunk as an array,
+    the ids of both sides of each pair of neighbours that have names, how often the pair occurs, and the new codes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,20 +92,59 @@ def pair_chunks(named: DataFrame) -> DataFrame:
                 new = np.full(max(codes.max(initial=-1), places.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
                 new[places] = np.arange(len(places))
                 left, right, n, out = paired(new[codes], len(places))
-                items = pa.StructArray.from_arrays([pa.array(ids[left]), pa.array(ids[right]), pa.array(n)], names=["left", "right", "n"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), items), pa.array([out.tobytes()], pa.binary())], names=["chunk", "items", "codes"])
+                yield emit(batch.column(0).slice(i, 1), ids[left], ids[right], n, out)
 
-    return named.select("chunk", "names", "codes").mapInArrow(make, "chunk long, items array<struct<left:long,right:long,n:long>>, codes binary")
+    return named.select("chunk", "names", "codes").mapInArrow(make, schema)
 
 
-def frequent(held: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """keys, f and a number id of the items of all chunks that occur often enough."""
-    items = held.select(*(k for k in keys if k == "lang"), F.explode("items").alias("x")).select(*(k if k == "lang" else F.col("x")[k].alias(k) for k in keys), F.col("x.n").alias("n"))
+def pair_counts(named: DataFrame) -> DataFrame:
+    """left, right and n of the pairs of all chunks."""
+    return pairs(named, "left long, right long, n long", lambda chunk, left, right, n, codes: pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"]))
+
+
+def sieve(found: DataFrame) -> np.ndarray:
+    """SIEVE_BITS flags, set where a pair of found falls: of fixed size, whatever there is. A pair whose flag is not set is
+    not in found; the others are told by a join."""
+    mark = lambda c: F.pmod(F.col(c), F.lit(_LOW)) * F.lit(_FACTORS[c]) + F.shiftright(c, 33) * F.lit(_FACTORS[c] + 1)
+    bit = F.pmod(mark("left") + mark("right"), F.lit(SIEVE_BITS)) + 1  # Spark's bitmaps count bits and buckets of 4096 bytes from 1
+    rows = found.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(SIEVE_BITS, bool)
+    for r in rows:
+        at = (r["bucket"] - 1) * _BUCKET
+        out[at : at + _BUCKET] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return np.packbits(out, bitorder="little")
+
+
+def sieved(flags: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the flags of pairs are set."""
+    bit = sum((x % _LOW) * _FACTORS[c] + (x >> 33) * (_FACTORS[c] + 1) for c, x in (("left", left), ("right", right))) % SIEVE_BITS
+    return (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def pair_chunks(named: DataFrame, flags: np.ndarray) -> DataFrame:
+    """chunk, items (struct of left and right) and codes of named: the pairs that may be frequent, by the sieve."""
+    shared = named.sparkSession.sparkContext.broadcast(flags)
+
+    def emit(chunk: pa.Array, left: np.ndarray, right: np.ndarray, n: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        kept = np.flatnonzero(sieved(shared.value, left, right))
+        new = np.full(len(left) + 1, -1, np.int32)
+        new[kept] = np.arange(len(kept))
+        codes = new[codes]
+        codes = codes[np.append(True, (codes[1:] >= 0) | (codes[:-1] >= 0))] if len(codes) else codes
+        items = pa.StructArray.from_arrays([pa.array(left[kept]), pa.array(right[kept])], names=["left", "right"])
+        return pa.RecordBatch.from_arrays([chunk, pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), items), pa.array([codes.tobytes()], pa.binary())], names=["chunk", "items", "codes"])
+
+    return pairs(named, "chunk long, items array<struct<left:long,right:long>>, codes binary", emit)
+
+
+def frequent(items: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, f and a number id of the items (keys, n) of all chunks that occur often enough."""
     return items.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
 
 
 def named(held: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
-    """chunk, names (places of frequent items of the chunk with their ids) and codes of the chunks that have any."""
+    """chunk, names (places of frequent items of the chunk with their ids; no more than its words) and codes of the chunks
+    that have any."""
     items = held.select("chunk", *(k for k in keys if k == "lang"), F.posexplode("items").alias("place", "x")).select("chunk", "place", *(k if k == "lang" else F.col("x")[k].alias(k) for k in keys))
     met = items.join(names.select(*keys, "id"), keys).groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("names"))
     return met.join(held.select("chunk", "codes"), "chunk")
@@ -118,11 +159,12 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
     last word), f, left and right (ids of the phrases without its last and first word), before and after: how often
     its first 1, 2, ... words occur, and its last ones."""
     held = materialize(word_chunks(docs))
-    totals = materialize(held.select("lang", F.explode("items").alias("x")).groupBy("lang").agg(F.sum("x.n").alias("n")))
+    items = held.select("lang", F.explode("items").alias("x")).select("lang", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
+    totals = materialize(items.groupBy("lang").agg(F.sum("n").alias("n")))
     none = F.array().cast("array<long>")
     keys, out = ["lang", "word"], []
     for k in range(1, longest + 1):
-        found = materialize(frequent(held, keys, least))
+        found = materialize(frequent(items, keys, least))
         if k == 1:
             whole = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("before"), none.alias("after"))
         else:
@@ -131,10 +173,13 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
             whole = both.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "left", "right", F.concat("before", F.array("fl")).alias("before"), F.concat("after", F.array("fr")).alias("after"))
         out.append(materialize(whole))
         if k < longest:
-            last, held = held, materialize(pair_chunks(named(held, keys, found)))
+            if k > 1:
+                last, held = held, materialize(pair_chunks(held, sieve(found)))
+                discard(last)
+            last, held = held, materialize(named(held, keys, found))
             discard(last)
+            items, keys = pair_counts(held), ["left", "right"]
         discard(found)
-        keys = ["left", "right"]
     discard(held)
     return out, totals
 

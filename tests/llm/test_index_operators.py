@@ -165,6 +165,16 @@ def test_phrases_cross_no_chunk(spark):
     assert every == sorted(collocations.mine(docs.repartition(7), "text", "lang").collect()) and len(every) > 0
 
 
+def test_sieve_passes_all_frequent_pairs(spark):
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 1 << 40, (2000, 2))
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "left long, right long")
+    flags = collocations.sieve(df)
+    assert collocations.sieved(flags, pairs[:, 0], pairs[:, 1]).all()
+    others = rng.integers(0, 1 << 40, (20_000, 2))
+    assert collocations.sieved(flags, others[:, 0], others[:, 1]).mean() < 0.01
+
+
 def test_phrases_of_odd_rows(odd):
     got = {(r["lang"], r["phrase"]): r for r in collocations.mine(odd, "text", "lang").collect()}
     assert got["und", "a b a b"]["a"] == 47 and got["und", "a b a b"]["n"] == 98 and ("und", "a b") not in got
