@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.functions import columns as fn
 from eventide.functions import signal
-from eventide.operators import vectors
+from eventide.operators import extraction, vectors
 from eventide.plans.tables import collector, micros, table
 
 QUERIES, SQL, query = collector()
@@ -165,3 +166,41 @@ def quality_filter(spark, d):
     rows = clips(spark, d).withColumn("is", (F.col("label") == 0).cast("int"))
     model = vectors.fit_filter(rows.where("vec_id % 2 = 0"), "embedding", "is")
     return vectors.apply_filter(model, rows.where("vec_id % 2 = 1"), "embedding").select("vec_id", "label", "exclude")
+
+
+#: Samples a second of the recordings below.
+CLIP_RATE = 640
+RESPONSE = extraction.response(CLIP_RATE)
+
+
+def long_recordings(spark, d):
+    """The vectors of a label one after another as a recording, in chunks of a vector; two of three are almost silent. Its
+    stems are itself, and itself at half the height."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    level = F.when(F.col("vec_id") % 3 == 0, 1.0).otherwise(0.02)
+    raw = clips(spark, d).select("label", nth.cast("long").alias("chunk"), F.transform("embedding", lambda x: x.cast("double") * level).alias("samples"))
+    stems = raw.select("label", "chunk", F.explode(F.array(F.lit(1), F.lit(2))).alias("source"), "samples")
+    return raw, stems.withColumn("samples", F.transform("samples", lambda x: x / F.col("source")))
+
+
+@query("sig07_clips", f"""WITH c AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk, list_transform(embedding::DOUBLE[], lambda x: x * CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.02::DOUBLE END) AS x FROM embeddings
+), r AS (SELECT label, flatten(list(x ORDER BY chunk)) AS x FROM c GROUP BY label
+), z AS (SELECT label, list_concat(list_transform(range({len(RESPONSE) - 1}), lambda i: 0.0::DOUBLE), x) AS padded, x, len(x) AS n FROM r
+), f AS (SELECT label, n, x, list_transform(range(n), lambda i: pow(list_dot_product(padded[i + 1 : i + {len(RESPONSE)}], {[float(v) for v in RESPONSE[::-1]]!r}::DOUBLE[]), 2)) AS p FROM z
+), g AS (SELECT label, n, x, list_concat(list_transform(range(5), lambda i: 0.0::DOUBLE), p, list_transform(range(5), lambda i: 0.0::DOUBLE)) AS p FROM f
+), e AS (SELECT label, n, x, list_transform(range(n + 5), lambda i: sqrt(list_sum(p[i + 1 : i + 6]) / 6)) AS e FROM g
+), s AS (SELECT label, n, x, e, list_min(e[65 : n + 5 - 64]) AS low, list_max(e[65 : n + 5 - 64]) AS high FROM e WHERE n + 5 > 128
+), m AS (SELECT label, source, n, unnest(list_transform(range(n + 5), lambda i: struct_pack(i := i, up := (e[i + 1] / source - low) / (high - low + 1e-6) > 0.25))) AS u FROM s, (VALUES (1), (2)) AS v(source)
+), k AS (SELECT label, source, n, u.i AS i, u.i - row_number() OVER (PARTITION BY label, source ORDER BY u.i) AS run FROM m WHERE u.up
+), b AS (SELECT label, source, n, min(i) AS b, max(i) + 1 AS t FROM k GROUP BY label, source, n, run
+), h AS (SELECT *, b - lag(t) OVER (PARTITION BY label, source ORDER BY b) AS hole FROM b
+), j AS (SELECT *, sum(CASE WHEN hole <= 62 THEN 0 ELSE 1 END) OVER (PARTITION BY label, source ORDER BY b ROWS UNBOUNDED PRECEDING) AS island FROM h
+), w AS (SELECT label, source, greatest(0, min(b) - 32) AS "begin", max(t) + 32 AS "end" FROM j GROUP BY label, source, island, n HAVING max(t) - min(b) >= 19 AND min(b) > 0 AND max(t) < n + 5
+), y AS (SELECT w.*, x[greatest(0, "begin" - 32) + 1 : "end" + 32] AS x FROM w JOIN s USING (label)
+) SELECT label, source, "begin"::BIGINT AS "begin", "end"::BIGINT AS "end", len(x) AS n, round(list_sum(list_transform(range(len(x)), lambda i: abs(x[i + 1] / source * least(1, i / 31.0::DOUBLE) * least(1, (len(x) - 1 - i) / 31.0::DOUBLE)))), 5) AS total FROM y""")
+def clip_extraction(spark, d):
+    """The clips of all stems with their samples, from stored chunks."""
+    raw, stems = long_recordings(spark, d)
+    found = extraction.clips(raw, stems, "label", "source", "samples", 64, CLIP_RATE)
+    cut = extraction.clip_samples(stems, found, "label", "source", "samples", 64, CLIP_RATE)
+    return cut.select("label", "source", "begin", "end", F.size("samples").cast("long").alias("n"), total(F.transform("samples", lambda x: F.abs(x))).alias("total"))
