@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.plans.tables import collector, table
-from eventide.sources import audio, readers, writers
+from eventide.sources import audio, ranges, readers, writers
 
 QUERIES, SQL, query = collector()
 EVENTS = "event_id long, user_id long, event_type string, value double"
@@ -216,3 +217,53 @@ def excerpt_table(spark, d):
     """The events that touch an excerpt of 40 s, cut and with times from its start."""
     rows = events(spark, d).select("event_id", F.col("event_id").alias("begin_s"), (F.col("event_id") + 30).alias("end_s"))
     return writers.excerpt_table(rows, "begin_s", "end_s", F.lit(500), F.lit(40))
+
+
+LONG_RATE = 64
+#: Bytes that a task reads below: the recordings are of some hundred kilobytes at most, and still many tasks'.
+LONG_RANGE = 4096
+
+
+def long_recordings(spark, d):
+    """The vectors of each label one after another as a WAV file of some length: the folder."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    path = writers.new_folder(spark)
+    rows = table(spark, d, "embeddings").select(F.format_string("r%d", "label").alias("recording"), nth.cast("long").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    ranges.write_wav(rows, "recording", "samples", path, LONG_RATE).write.format("noop").mode("overwrite").save()
+    return path
+
+
+def recording():
+    return F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("recording")
+
+
+LONG_SQL = "q AS (SELECT 'r' || label AS recording, flatten(list(list_transform(embedding, lambda x: round_even(greatest(-1, least(1 - 1.0 / 32768, x::DOUBLE)) * 32768, 0) / 32768) ORDER BY vec_id)) AS q FROM embeddings GROUP BY label)"
+
+
+@query("src14_long_files", f"WITH {LONG_SQL} SELECT recording, (len(q) + 159) // 160 AS chunks, len(q) AS n, round(list_sum(list_transform(q, lambda x: abs(x - list_avg(q)))), 5) AS total FROM q")
+def long_files(spark, d):
+    """Long files in chunks of 2.5 s, read by ranges, without the mean of each recording."""
+    whole = ranges.centred(ranges.wav(spark, long_recordings(spark, d), seconds=2.5, range_bytes=LONG_RANGE))
+    total = F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + F.abs(x)))
+    return whole.groupBy(recording()).agg(F.count("*").alias("chunks"), F.sum(F.size("samples")).alias("n"), F.round(total, 5).alias("total"))
+
+
+@query("src15_long_excerpt", f"WITH {LONG_SQL} SELECT recording, len(q[197 : 560]) AS n, round(list_sum(list_transform(q[197 : 560], lambda x: abs(x))), 5) AS total FROM q WHERE len(q) > 196")
+def long_excerpt(spark, d):
+    """From 196 / 64 s to 8.75 s of long files: only the chunks between are read."""
+    part = ranges.excerpts(ranges.wav(spark, long_recordings(spark, d), seconds=1, range_bytes=LONG_RANGE), 196 / LONG_RATE, 8.75, 1)
+    return part.select(recording(), F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + F.abs(x)), 5).alias("total"))
+
+
+@query("src16_long_durations", f"WITH {LONG_SQL} SELECT recording, 64 AS sample_rate, 1 AS channels, len(q) AS frames, len(q) / 64.0::DOUBLE AS duration_sec FROM q")
+def long_durations(spark, d):
+    return ranges.wav_heads(spark, long_recordings(spark, d)).select(recording(), "sample_rate", "channels", "frames", "duration_sec")
+
+
+@query("src18_npy", "SELECT vec_id % 4 AS file, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS row, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings QUALIFY row >= 7")
+def npy(spark, d):
+    """The vectors as four matrices, of which all rows but the first seven are read, by ranges."""
+    path = writers.new_folder(spark)
+    writers.matrices(table(spark, d, "embeddings").withColumn("file", F.col("vec_id") % 4), "file", "vec_id", "embedding", path).write.format("noop").mode("overwrite").save()
+    read = ranges.npy(spark, path, range_bytes=LONG_RANGE).where("row >= 7")
+    return read.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).cast("long").alias("file"), "row", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))

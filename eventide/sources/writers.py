@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +90,41 @@ def clips(excerpts: DataFrame, rate: int) -> DataFrame:
             yield pd.DataFrame({"path": part["path"], "content": [encode(np.asarray(x, float), rate) for x in part["samples"]]})
 
     return excerpts.select("path", "samples").mapInPandas(make, "path string, content binary")
+
+
+def matrices(rows: DataFrame, by: str, order: str, vector: str, folder: str) -> DataFrame:
+    """Write the vectors of each value of `by`, in an order, as a matrix <by>.npy of float32, and return by and n. All
+    vectors of a matrix have one length. The task of a file holds a batch of rows at a time."""
+    from eventide.sources.ranges import opened
+
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n"), F.max(F.size(vector)).alias("_width"))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(folder)
+        system.create_dir(path, recursive=True)
+        known, out, temporary = None, None, ""
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                system.move(temporary, f"{path}/{known}.npy")
+
+        for batch in batches:
+            names, counts = [], []
+            for i in range(batch.num_rows):
+                name, x, n, width = (batch.column(c)[i] for c in range(4))
+                if name.as_py() != known or out is None:
+                    done()
+                    known, temporary = name.as_py(), f"{path}/.{name.as_py()}.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(temporary, compression=None)
+                    head = repr({"descr": "<f4", "fortran_order": False, "shape": (n.as_py(), width.as_py())}).encode()
+                    head += b" " * (-(len(head) + 11) % 64) + b"\n"
+                    out.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
+                    names.append(known)
+                    counts.append(n.as_py())
+                out.write(x.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(counts, pa.int64())], names=[by, "n"])
+        done()
+
+    ready = rows.join(sizes, by).repartition(by).sortWithinPartitions(by, order).select(by, vector, "_n", "_width")
+    return ready.mapInArrow(save, f"{by} {rows.schema[by].dataType.simpleString()}, n long")
