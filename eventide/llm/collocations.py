@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import discard, materialize, table
-from eventide.llm.wordhash import chunks
+from eventide.llm.common import discard, table
+from eventide.llm.common import materialize as stored
 
 #: Occurrences that a phrase needs; words of the longest; the share of its occurrences, in hundredths, within one longer
 #: phrase that makes a phrase superfluous; phrases returned for each language.
 LEAST, LONGEST, COVERED, BEST = 30, 4, 80, 2000
-#: Bytes of text of a chunk.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text of a chunk, and of all that a task holds.
+CHUNK_BYTES, HELD_BYTES = 6 << 20, 16 << 20
 #: Parts of a language that are ranked apart before the best of them are.
 SALTS = 64
 #: Flags that tell most pairs of a chunk that can't be frequent before any join, and what spreads pairs over them.
@@ -35,6 +35,11 @@ _BREAKS, _SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(_BREAKS + _SPACES + bytes(range(65, 91)), b"\n" * len(_BREAKS) + b"  " + bytes(range(97, 123)))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written and read again, without its shuffle files: those of all levels together are far more than the input."""
+    return stored(df, tidy=True)
+
+
 def coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The distinct words of texts, and all words as their numbers, with -1 between pieces."""
     data = b"\n".join(texts).translate(_PLAIN)
@@ -60,21 +65,32 @@ def paired(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def word_chunks(docs: DataFrame) -> DataFrame:
-    """chunk, lang, items (struct of word and n) and codes of docs (lang, text): the texts of one language in chunks."""
+    """chunk, lang, items (struct of word and n) and codes of docs (lang, text): the texts of one language in chunks. A task
+    gathers texts of each language up to CHUNK_BYTES, and of all languages up to HELD_BYTES."""
+
+    def packed(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words, codes = coded(texts)
+        if words:
+            n = np.bincount(codes[codes >= 0], minlength=len(words))
+            items = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), items), pa.array([codes.tobytes()], pa.binary())], names=["lang", "items", "codes"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for first, texts in chunks(batch.column(1), CHUNK_BYTES):
-                by: dict[str, list[bytes]] = {}
-                for lang, text in zip(langs[first:], texts, strict=False):
-                    by.setdefault(lang, []).append(text)
-                for lang, own in by.items():
-                    words, codes = coded(own)
-                    if words:
-                        n = np.bincount(codes[codes >= 0], minlength=len(words))
-                        items = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], names=["word", "n"])
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), items), pa.array([codes.tobytes()], pa.binary())], names=["lang", "items", "codes"])
+            for i in range(batch.num_rows):
+                lang, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+                while sizes and (sizes[lang] >= CHUNK_BYTES or sum(sizes.values()) >= HELD_BYTES):
+                    full = max(sizes, key=sizes.get)
+                    del sizes[full]
+                    yield from packed(full, held.pop(full))
+                    if lang not in sizes:
+                        break
+        for lang, texts in held.items():
+            yield from packed(lang, texts)
 
     return docs.select("lang", "text").mapInArrow(make, "lang string, items array<struct<word:string,n:long>>, codes binary").withColumn("chunk", F.monotonically_increasing_id())
 
@@ -98,8 +114,9 @@ def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) ->
 
 
 def pair_counts(named: DataFrame) -> DataFrame:
-    """left, right and n of the pairs of all chunks."""
-    return pairs(named, "left long, right long, n long", lambda chunk, left, right, n, codes: pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"]))
+    """left, right and n of the pairs of all chunks, each summed up there and in order: so they are small to shuffle, which
+    a sum over several chunks before that, out of order, is not."""
+    return pairs(named, "left long, right long, n long", lambda chunk, left, right, n, codes: pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"])).repartition("left", "right")
 
 
 def sieve(found: DataFrame) -> np.ndarray:
@@ -158,25 +175,25 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
     """Frequent phrases of 1 to longest words, a table for each, and the words of each language. id, lang, phrase, last (its
     last word), f, left and right (ids of the phrases without its last and first word), before and after: how often
     its first 1, 2, ... words occur, and its last ones."""
-    held = materialize(word_chunks(docs))
+    held = settled(word_chunks(docs))
     items = held.select("lang", F.explode("items").alias("x")).select("lang", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
-    totals = materialize(items.groupBy("lang").agg(F.sum("n").alias("n")))
+    totals = settled(items.groupBy("lang").agg(F.sum("n").alias("n")))
     none = F.array().cast("array<long>")
     keys, out = ["lang", "word"], []
     for k in range(1, longest + 1):
-        found = materialize(frequent(items, keys, least))
+        found = settled(frequent(items, keys, least))
         if k == 1:
             whole = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("before"), none.alias("after"))
         else:
             one, two = out[-1].select(F.col("id").alias("left"), "lang", "phrase", F.col("f").alias("fl"), "before"), out[-1].select(F.col("id").alias("right"), "last", F.col("f").alias("fr"), "after")
             both = found.join(one, "left").join(two, "right")
             whole = both.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "left", "right", F.concat("before", F.array("fl")).alias("before"), F.concat("after", F.array("fr")).alias("after"))
-        out.append(materialize(whole))
+        out.append(settled(whole))
         if k < longest:
             if k > 1:
-                last, held = held, materialize(pair_chunks(held, sieve(found)))
+                last, held = held, settled(pair_chunks(held, sieve(found)))
                 discard(last)
-            last, held = held, materialize(named(held, keys, found))
+            last, held = held, settled(named(held, keys, found))
             discard(last)
             items, keys = pair_counts(held), ["left", "right"]
         discard(found)
@@ -229,7 +246,7 @@ def mine(docs: DataFrame, text: str, lang: str, least: int = LEAST, longest: int
     left = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     if best is not None:
         left = left.where(F.col("rank") <= best)
-    out = materialize(left.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    out = settled(left.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
     for done in (*found, totals):
         discard(done)
     return out

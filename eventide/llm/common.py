@@ -27,11 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here, and every executor can read the result."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
+def materialize(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends here, and every executor can read the result. tidy:
+    the shuffle files of the write go when it is over, not when the driver next collects its garbage."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_folder(spark), spark.conf.get(setting)
+    if tidy:
+        spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
