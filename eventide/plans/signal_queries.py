@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import columns as fn
 from eventide.functions import signal
-from eventide.operators import extraction, vectors
+from eventide.operators import extraction, separation, vectors
 from eventide.plans.tables import collector, micros, table
 
 QUERIES, SQL, query = collector()
@@ -204,3 +204,32 @@ def clip_extraction(spark, d):
     found = extraction.clips(raw, stems, "label", "source", "samples", 64, CLIP_RATE)
     cut = extraction.clip_samples(stems, found, "label", "source", "samples", 64, CLIP_RATE)
     return cut.select("label", "source", "begin", "end", F.size("samples").cast("long").alias("n"), total(F.transform("samples", lambda x: F.abs(x))).alias("total"))
+
+
+#: A window of 128 samples that adds up to 1 with itself half a block later.
+WINDOW = [float(x) for x in 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(128) / 128)]
+
+
+def separated_blocks(spark, d):
+    """Every four vectors of a label one after another are 64 samples of four sources. Blocks of 128 samples, half a block
+    apart, have the sources turned, and every third block backwards."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = clips(spark, d).select("label", nth.cast("long").alias("nth"), F.col("embedding").cast("array<double>").alias("x"))
+    chunks = rows.groupBy("label", F.floor(F.col("nth") / 4).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "x"))), lambda r: r["x"]).alias("s")).where(F.size("s") == 4)
+    after = chunks.select("label", (F.col("block") - 1).alias("block"), F.col("s").alias("t"))
+    whole = chunks.join(after, ["label", "block"]).select("label", "block", F.zip_with("s", "t", lambda x, y: F.concat(x, y)).alias("s"))
+    turn = F.col("label") * 7 + F.col("block") * F.col("block") + 3 * F.col("block")
+    place = lambda j: F.pmod(F.when(F.col("block") % 3 == 0, turn - j).otherwise(turn + j), F.lit(4))
+    return whole.select("label", "block", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.get(F.col("s"), place(j).cast("int"))).alias("sources"))
+
+
+@query("sig21_permutations", """WITH c AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth, embedding::DOUBLE[] AS x FROM embeddings
+), z AS (SELECT label, count(*) // 4 AS n FROM c GROUP BY label
+), s AS (SELECT label, nth // 4 AS chunk, ((label * 7 - nth % 4) % 4 + 4) % 4 AS source, x, n FROM c JOIN z USING (label) WHERE nth // 4 < n AND n > 1
+), w AS (SELECT *, list_transform(range(64), lambda i: (CASE WHEN chunk < n - 1 THEN 0.5 - 0.5 * cos(2 * pi() * i / 128) ELSE 0 END) + (CASE WHEN chunk > 0 THEN 0.5 - 0.5 * cos(2 * pi() * (i + 64) / 128) ELSE 0 END)) AS w FROM s)
+SELECT label, source, chunk, round(list_sum(list_transform(range(64), lambda i: abs(x[i + 1] * w[i + 1]))), 5) AS total FROM w""")
+def permutations(spark, d):
+    """The sources in the order that they have in the first block, block by block, added up."""
+    whole = separation.resolved(separated_blocks(spark, d), ["label"], "sources", size=4)
+    parts = separation.added_up(whole, ["label"], "sources", WINDOW)
+    return parts.select("label", F.col("source").cast("long").alias("source"), "chunk", total(F.transform("samples", lambda x: F.abs(x))).alias("total"))
