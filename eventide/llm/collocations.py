@@ -24,7 +24,7 @@ from eventide.llm.common import materialize as stored
 #: phrase that makes a phrase superfluous; phrases returned for each language.
 LEAST, LONGEST, COVERED, BEST = 30, 4, 80, 2000
 #: Bytes of text of a chunk, and of all that a task holds.
-CHUNK_BYTES, HELD_BYTES = 6 << 20, 16 << 20
+CHUNK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
 #: Parts of a language that are ranked apart before the best of them are.
 SALTS = 64
 #: Flags that tell most pairs of a chunk that can't be frequent before any join, and what spreads pairs over them.
