@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import columns as fn
 from eventide.functions import signal
-from eventide.operators import extraction, separation, vectors
+from eventide.operators import extraction, separation, templates, vectors
 from eventide.plans.tables import collector, micros, table
 
 QUERIES, SQL, query = collector()
@@ -233,3 +233,42 @@ def permutations(spark, d):
     whole = separation.resolved(separated_blocks(spark, d), ["label"], "sources", size=4)
     parts = separation.added_up(whole, ["label"], "sources", WINDOW)
     return parts.select("label", F.col("source").cast("long").alias("source"), "chunk", total(F.transform("samples", lambda x: F.abs(x))).alias("total"))
+
+
+def template_recordings(spark, d):
+    """The vectors of a label one after another as a spectrogram, a chunk of four frames of 16 bins each; and five supports
+    of three to six frames at its beginning."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    frames = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.slice("embedding", i * 16 + 1, 16), lambda x: x.cast("double")))
+    chunks = clips(spark, d).select("label", nth.cast("long").alias("chunk"), frames.alias("frames"))
+    event = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("event")
+    first = (F.col("event") * 9 + F.col("label") % 3).cast("long")
+    supports = chunks.select("label").distinct().select("label", event).select("label", "event", first.alias("first"), (first + 3 + (F.col("label") + F.col("event")) % 4).alias("end"))
+    return chunks, supports
+
+
+@query("sig14_template_detector", """WITH RECURSIVE c AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 4 AS t, embedding::DOUBLE[] AS x FROM embeddings
+), f AS (SELECT label, unnest(list_transform(range(4), lambda i: struct_pack(t := t + i, x := x[i * 16 + 1 : i * 16 + 16]))) AS f FROM c
+), r AS (SELECT label, list(f.x ORDER BY f.t) AS fr, count(*) AS n FROM f GROUP BY label
+), s AS (SELECT label, fr, n, e AS event, e * 9 + label % 3 AS first, e * 9 + label % 3 + 3 + (label + e) % 4 AS "end" FROM r, range(5) AS v(e)
+), t AS (SELECT label, event, first, "end", "end" - first AS w, flatten(list_transform(range(first, "end"), lambda j: fr[j + 1][3 : 14])) AS x FROM s
+), k AS (SELECT label, event, w, list_transform(x, lambda v: v - list_avg(x)) AS x FROM t
+), own AS (SELECT a.label, a.x AS t, unnest(list_transform(range(b.w - a.w + 1), lambda i: b.x[i * 12 + 1 : (i + a.w) * 12])) AS x FROM k a JOIN (SELECT label, event, w, x FROM t) b ON a.label = b.label AND a.event <> b.event AND b.w >= a.w
+), lim AS (SELECT label, max(list_dot_product(list_transform(x, lambda v: v - list_avg(x)), t) / sqrt(list_dot_product(t, t) * list_dot_product(list_transform(x, lambda v: v - list_avg(x)), list_transform(x, lambda v: v - list_avg(x))))) AS threshold FROM own GROUP BY label
+), st AS (SELECT label, max("end") AS start FROM s GROUP BY label
+), win AS (SELECT k.label, k.event, k.w, k.x AS t, start, n, unnest(list_transform(range(start, n - k.w + 1), lambda i: struct_pack(i := i, x := list_transform(range(5), lambda h: flatten(list_transform(range(k.w), lambda j: fr[i + j + 1][h + 1 : h + 12])))))) AS p FROM k JOIN r USING (label) JOIN st USING (label)
+), sc AS (SELECT label, event, w, start, n, p.i AS i, list_max(list_transform(p.x, lambda x: list_dot_product(list_transform(x, lambda v: v - list_avg(x)), t) / sqrt(list_dot_product(t, t) * list_dot_product(list_transform(x, lambda v: v - list_avg(x)), list_transform(x, lambda v: v - list_avg(x)))))) AS c FROM win
+), nb AS (SELECT *, lag(c) OVER (PARTITION BY label, event ORDER BY i) AS before, lead(c) OVER (PARTITION BY label, event ORDER BY i) AS after FROM sc
+), pk AS (SELECT nb.label, event, w, i, row_number() OVER (PARTITION BY nb.label, event ORDER BY c DESC, i) AS nth FROM nb JOIN lim USING (label) WHERE c > before AND c >= after AND c >= threshold
+), g(label, event, nth, kept) AS (SELECT DISTINCT label, event, 0::BIGINT, []::BIGINT[] FROM pk
+  UNION ALL SELECT g.label, g.event, g.nth + 1, CASE WHEN len(list_filter(g.kept, lambda q: abs(q - pk.i) < pk.w)) = 0 THEN list_append(g.kept, pk.i) ELSE g.kept END FROM g JOIN pk ON pk.label = g.label AND pk.event = g.event AND pk.nth = g.nth + 1
+), fin AS (SELECT label, event, unnest(kept) AS i FROM (SELECT *, row_number() OVER (PARTITION BY label, event ORDER BY nth DESC) AS z FROM g) WHERE z = 1
+), seg AS (SELECT fin.label, i AS b, i + w - 1 AS e FROM fin JOIN (SELECT label, event, w FROM k) k ON k.label = fin.label AND k.event = fin.event
+), m AS (SELECT *, max(e) OVER (PARTITION BY label ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg
+), isle AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT label, round(greatest(min(b) - 1, 0) * 16.0::DOUBLE / 160, 6) AS begin_s, round(greatest(max(e) - 1, 0) * 16.0::DOUBLE / 160, 6) AS end_s FROM isle GROUP BY label, island""")
+def template_detector(spark, d):
+    """What the five supports of each recording find in the rest of it."""
+    chunks, supports = template_recordings(spark, d)
+    found = templates.detect(chunks, supports, "label", 4, 160, 16, 6)
+    return found.select("label", F.round("begin_s", 6).alias("begin_s"), F.round("end_s", 6).alias("end_s"))
