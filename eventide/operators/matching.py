@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.intervals import drop_shots, iou_pairs
 from eventide.operators.scans import islands, sliced
+from eventide.shared import discard, materialize
 
 
 def augment(edges: list[tuple]) -> list[tuple]:
@@ -46,10 +49,11 @@ def match(pairs: DataFrame, by: str) -> DataFrame:
     Pairs whose ends have no other partner are in every largest matching, and need no search. The others fall into islands
     that share no moment, and so no event; each island is matched by itself, which keeps a long file from being one task's
     work. An island of contested pairs is one row: it holds the pairs of one stretch of a recording in which contested
-    pairs follow each other without a break.
+    pairs follow each other without a break. The pairs are written once, and so is the result; the former are deleted.
     """
     partners = lambda event: F.count("*").over(Window.partitionBy(by, event))
-    sided = pairs.withColumn("_single", (partners("l_event_id") == 1) & (partners("r_event_id") == 1))
+    columns = [by, *(f"{side}_{c}" for side in "lr" for c in ("event_id", "begin_us", "end_us"))]
+    sided = materialize(pairs.select(*columns).withColumn("_single", (partners("l_event_id") == 1) & (partners("r_event_id") == 1)))
     single = sided.where("_single").select(by, F.col("l_event_id").alias("ref_id"), F.col("r_event_id").alias("est_id"))
     hull = sided.where("not _single").select(by, F.least("l_begin_us", "r_begin_us").alias("b"), F.greatest("l_end_us", "r_end_us").alias("e"), F.struct("l_begin_us", "l_end_us", "l_event_id").alias("ref"), F.struct("r_begin_us", "r_end_us", "r_event_id").alias("est"))
     marked = islands(sliced(hull, [by], "b"), "b", "e")
@@ -63,7 +67,9 @@ def match(pairs: DataFrame, by: str) -> DataFrame:
             out.append([{"ref_id": r[2], "est_id": e[2]} for r, e in found])
         return pd.Series(out)
 
-    return edges.select(by, F.explode(matched("edges")).alias("m")).select(by, "m.ref_id", "m.est_id").unionByName(single)
+    out = materialize(edges.select(by, F.explode(matched("edges")).alias("m")).select(by, "m.ref_id", "m.est_id").unionByName(single))
+    discard(sided)
+    return out
 
 
 def counts(reference: DataFrame, estimates: DataFrame, by: str, positive: Column, least: float, width: int, shots: int = 0) -> DataFrame:
@@ -78,11 +84,13 @@ def counts(reference: DataFrame, estimates: DataFrame, by: str, positive: Column
     first = match(iou_pairs(targets.where(positive).select(*columns), estimates, by, least, width), by)
     left = estimates.join(first.select(by, F.col("est_id").alias("event_id")), [by, "event_id"], "left_anti")
     second = match(iou_pairs(targets.where(~positive).select(*columns), left, by, least, width), by)
-    size = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
-    files = reference.groupBy(by).agg(F.count_if(positive).alias("_all"))
-    parts = [size(first, "tp"), size(second, "_other"), size(estimates, "_n"), targets.groupBy(by).agg(F.count_if(positive).alias("_targets"))]
-    for part in parts:
-        files = files.join(part, by, "left")
-    files = files.na.fill(0, ["tp", "_other", "_n", "_targets"])
+
+    def ones(rows: DataFrame, **own: Column) -> DataFrame:
+        return rows.select(by, *(own.get(c, F.lit(0)).cast("long").alias(c) for c in ("_file", "_all", "_targets", "_n", "tp", "_other")))
+
+    # All numbers of a file are sums of ones over rows of five kinds: one aggregate.
+    kinds = [ones(reference, _file=F.lit(1), _all=F.when(positive, 1).otherwise(0)), ones(targets.where(positive), _targets=F.lit(1)), ones(estimates, _n=F.lit(1)), ones(first, tp=F.lit(1)), ones(second, _other=F.lit(1))]
+    rows = reduce(DataFrame.unionByName, kinds)
+    files = rows.groupBy(by).agg(*(F.sum(c).alias(c) for c in rows.columns if c != by)).where("_file > 0")
     n_pos = F.when(F.col("_n") == 0, F.col("_all")).otherwise(F.col("_targets"))
     return files.select(by, "tp", (F.col("_n") - F.col("tp") - F.col("_other")).alias("fp"), (n_pos - F.col("tp")).alias("fn"), n_pos.alias("n_pos"))

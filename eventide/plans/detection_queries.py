@@ -150,6 +150,15 @@ def rollup(spark, d):
     return _hits(spark, d).rollup("set_id", "file_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
+@query("ag05_scores_by_class", f"""WITH {TIMED_SQL}, {HITS_SQL}, c AS (SELECT set_id, 'C' || (file_id % 3) AS class, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM counts GROUP BY GROUPING SETS ((set_id, 'C' || (file_id % 3)), ('C' || (file_id % 3))))
+SELECT set_id, class, tp, fp, fn, round(greatest(1e-5, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 1e-5)), 9) AS precision, round(CASE WHEN tp <> 0 THEN tp / (tp + fn) ELSE 1e-5 END, 9) AS recall, round(CASE WHEN tp <> 0 THEN tp / (tp + 0.5 * (fp + fn)) ELSE 1e-5 END, 9) AS f FROM c""")
+def scores_by_class(spark, d):
+    """Scores of each class of files in each set, and of each class in all sets."""
+    rows = _hits(spark, d).withColumn("class", F.concat(F.lit("C"), (F.col("file_id") % 3).cast("string")))
+    summed = rows.groupingSets([("set_id", "class"), ("class",)], "set_id", "class").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return scores.scored(summed).select("set_id", "class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f")))
+
+
 @query("ag06_prf", f"WITH {TIMED_SQL}, {HITS_SQL} SELECT set_id, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f, 9) AS f FROM by_set")
 def prf(spark, d):
     found = scores.scored(scores.summed(_hits(spark, d), ["set_id"]))

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.shared import new_folder  # noqa: F401
 from eventide.sources.readers import SELECTION_NAMES
 
 
-def new_folder(spark: SparkSession) -> str:
-    """The name of a new folder below the one of spark.checkpoint.dir; only a session on one machine may name none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def table(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "error") -> None:
     df.write.csv(path, header=header, sep=sep, mode=mode)
 
