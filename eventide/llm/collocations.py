@@ -14,6 +14,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,15 @@ def settled(df: DataFrame) -> DataFrame:
     return stored(df, tidy=True)
 
 
+def pressed(codes: np.ndarray) -> bytes:
+    """Codes as they are stored and shuffled: about half of what the columns' own compression makes of them."""
+    return zstandard.ZstdCompressor(level=3).compress(codes.astype(np.int32).tobytes())
+
+
+def opened(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.int32)
+
+
 def coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The distinct words of texts, and all words as their numbers, with -1 between pieces."""
     data = b"\n".join(texts).translate(_PLAIN)
@@ -73,7 +83,7 @@ def word_chunks(docs: DataFrame) -> DataFrame:
         if words:
             n = np.bincount(codes[codes >= 0], minlength=len(words))
             items = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], names=["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), items), pa.array([codes.tobytes()], pa.binary())], names=["lang", "items", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), items), pa.array([pressed(codes)], pa.binary())], names=["lang", "items", "codes"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -104,7 +114,7 @@ def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) ->
             for i in range(batch.num_rows):
                 names = batch.column(1)[i].values
                 places, ids = names.field(0).to_numpy(), names.field(1).to_numpy()
-                codes = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
+                codes = opened(batch.column(2)[i].as_py())
                 new = np.full(max(codes.max(initial=-1), places.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
                 new[places] = np.arange(len(places))
                 left, right, n, out = paired(new[codes], len(places))
@@ -149,7 +159,7 @@ def pair_chunks(named: DataFrame, flags: np.ndarray) -> DataFrame:
         codes = new[codes]
         codes = codes[np.append(True, (codes[1:] >= 0) | (codes[:-1] >= 0))] if len(codes) else codes
         items = pa.StructArray.from_arrays([pa.array(left[kept]), pa.array(right[kept])], names=["left", "right"])
-        return pa.RecordBatch.from_arrays([chunk, pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), items), pa.array([codes.tobytes()], pa.binary())], names=["chunk", "items", "codes"])
+        return pa.RecordBatch.from_arrays([chunk, pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), items), pa.array([pressed(codes)], pa.binary())], names=["chunk", "items", "codes"])
 
     return pairs(named, "chunk long, items array<struct<left:long,right:long>>, codes binary", emit)
 
@@ -161,10 +171,12 @@ def frequent(items: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 def named(held: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
     """chunk, names (places of frequent items of the chunk with their ids; no more than its words) and codes of the chunks
-    that have any."""
+    that have any. Names are written before they meet the codes, so that the items' shuffle is gone by then."""
     items = held.select("chunk", *(k for k in keys if k == "lang"), F.posexplode("items").alias("place", "x")).select("chunk", "place", *(k if k == "lang" else F.col("x")[k].alias(k) for k in keys))
-    met = items.join(names.select(*keys, "id"), keys).groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("names"))
-    return met.join(held.select("chunk", "codes"), "chunk")
+    met = settled(items.join(names.select(*keys, "id"), keys).groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("names")))
+    out = settled(met.join(held.select("chunk", "codes"), "chunk"))
+    discard(met)
+    return out
 
 
 def exact(x: Column) -> Column:
@@ -193,7 +205,7 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
             if k > 1:
                 last, held = held, settled(pair_chunks(held, sieve(found)))
                 discard(last)
-            last, held = held, settled(named(held, keys, found))
+            last, held = held, named(held, keys, found)
             discard(last)
             items, keys = pair_counts(held), ["left", "right"]
         discard(found)
