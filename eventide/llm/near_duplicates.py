@@ -219,19 +219,26 @@ def group(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 8
     classes = made.where("size > 0").groupBy("d1", "d2", "size").agg(F.min("key").alias("id"), F.first("bands").alias("bands"))
     shared = materialize(shared_buckets(classes.select("id", "size", F.explode("bands").alias("bucket"))))
     texts = docs.withColumnRenamed("key", "id").join(shared.select("id").distinct(), "id", "left_semi")
-    if repeats(made, "key"):
+    repeated = repeats(made, "key")
+    if repeated:
         texts = texts.distinct()
     sets = materialize(shingle_sets(texts, width))
     tried = verified(candidates(shared), sets, percent)
-    copies = made.where("size > 0").join(classes.select("d1", "d2", "size", "id"), ["d1", "d2", "size"]).where("key <> id")
-    links = materialize(tried.unionByName(copies.select(F.col("id").alias("a"), F.col("key").alias("b"))).distinct())
+    if repeated:  # a key may stand in several classes, which it links: then keys are in the graph beside classes
+        copies = made.where("size > 0").join(classes.select("d1", "d2", "size", "id"), ["d1", "d2", "size"]).where("key <> id")
+        tried = tried.unionByName(copies.select(F.col("id").alias("a"), F.col("key").alias("b"))).distinct()
+    links = materialize(tried)
     found = components(links)
     more = materialize(verified(rest(shared, found, sets, percent), sets, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     for done in (shared, sets, links, more):
         discard(done)
-    out = made.select("key", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("id", "key"), "key", "left")
+    if repeated:
+        out = made.select("key", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("id", "key"), "key", "left")
+    else:  # only classes are in the graph, and their copies follow them
+        own = classes.join(found, "id", "left").select("d1", "d2", "size", F.coalesce("component", "id").alias("component"))
+        out = made.join(own, ["d1", "d2", "size"], "left").select("key", F.col("size").alias("n_shingles"), "component")
     own = F.coalesce("component", "key")
     known = out.select(F.col("key").alias(key), "n_shingles", own.alias("component"), (own == F.col("key")).alias("kept"))
     unknown = sketches(docs.where("key is null"), "key", "text", width).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.lit(None).cast(known.schema["component"].dataType).alias("component"), F.lit(True).alias("kept"))
