@@ -86,6 +86,15 @@ def flatness_db(x: np.ndarray, size: int = 512) -> float:
     return float(10 * np.log10(np.exp(np.log(p).mean()) / p.mean()))
 
 
+def mean_flatness_db(x: np.ndarray, size: int = 2048, hop: int = 512) -> float:
+    """Mean over frames of the ratio of geometric and arithmetic mean of the power spectrum, in dB."""
+    n = 1 + (len(x) - size) // hop
+    if n < 1:
+        return float("nan")
+    p = np.maximum(np.abs(np.fft.rfft(np.stack([x[i * hop : i * hop + size] for i in range(n)]) * np.hanning(size), axis=1)) ** 2, 1e-10)
+    return float((10 * np.log10(np.exp(np.log(p).mean(1)) / p.mean(1))).mean())
+
+
 def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     """Overlapping frames; the last one is padded with zeros."""
     n = max(1, -(-max(0, len(x) - size) // hop) + 1)
@@ -142,10 +151,10 @@ def mean_mel(x: np.ndarray, rate: int, n_mels: int = 64, size: int = 1024, hop:
     return (mel_bank(size // 2 + 1, rate, n_mels) @ (np.abs(np.fft.rfft(frames, axis=1)) ** 2).T).mean(1)
 
 
-def mel_bank(bins: int, rate: int, n_mels: int) -> np.ndarray:
-    """Triangular filters on the mel scale, a row each."""
+def mel_bank(bins: int, rate: int, n_mels: int, low: float = 0.0, high: float | None = None) -> np.ndarray:
+    """Triangular filters on the mel scale from low to high (half the rate), a row each."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
-    centres = 700 * (10 ** (np.linspace(0, mel(rate / 2), n_mels + 2) / 2595) - 1)
+    centres = 700 * (10 ** (np.linspace(mel(low), mel(rate / 2 if high is None else high), n_mels + 2) / 2595) - 1)
     f = np.linspace(0, rate / 2, bins)
     up = (f - centres[:-2, None]) / np.diff(centres)[:-1, None]
     down = (centres[2:, None] - f) / np.diff(centres)[1:, None]

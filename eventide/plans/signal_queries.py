@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from eventide.functions import columns as fn
 from eventide.functions import signal
-from eventide.operators import extraction, separation, templates, vectors
+from eventide.functions.signal import mel_bank
+from eventide.operators import extraction, separation, spectra, templates, vectors
 from eventide.plans.tables import collector, micros, table
 
 QUERIES, SQL, query = collector()
@@ -272,3 +273,62 @@ def template_detector(spark, d):
     chunks, supports = template_recordings(spark, d)
     found = templates.detect(chunks, supports, "label", 4, 160, 16, 6)
     return found.select("label", F.round("begin_s", 6).alias("begin_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query("sig06_long_envelopes", f"""WITH c AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk, list_transform(embedding::DOUBLE[], lambda x: x * CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.02::DOUBLE END) AS x FROM embeddings
+), z AS (SELECT label, list_concat(list_transform(range({len(RESPONSE) - 1}), lambda i: 0.0::DOUBLE), flatten(list(x ORDER BY chunk))) AS padded, 64 * count(*) AS n FROM c GROUP BY label
+), f AS (SELECT label, n, list_transform(range(n), lambda i: pow(list_dot_product(padded[i + 1 : i + {len(RESPONSE)}], {[float(v) for v in RESPONSE[::-1]]!r}::DOUBLE[]), 2)) AS p FROM z
+), g AS (SELECT label, n, list_concat(list_transform(range(5), lambda i: 0.0::DOUBLE), p, list_transform(range(5), lambda i: 0.0::DOUBLE)) AS p FROM f
+), e AS (SELECT label, unnest(list_transform(range(n + 5), lambda i: struct_pack(chunk := least(i, n - 1) // 64, v := sqrt(list_sum(p[i + 1 : i + 6]) / 6)))) AS u FROM g)
+SELECT label, u.chunk AS chunk, count(*) AS n, round(sum(u.v), 6) AS total FROM e GROUP BY label, u.chunk""")
+def long_envelopes(spark, d):
+    """The envelope of long recordings, high-pass included, chunk by chunk."""
+    raw, _ = long_recordings(spark, d)
+    found = spectra.envelopes(raw, ["label"], "samples", 64, CLIP_RATE)
+    return found.select("label", "chunk", F.size("envelope").cast("long").alias("n"), F.round(F.aggregate("envelope", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+MEL = mel_bank(17, 640, 6, 20.0, 300.0)
+
+
+@query("sig22_mel", f"""WITH r AS (SELECT label, flatten(list(embedding::DOUBLE[] ORDER BY vec_id)) AS x, 64 * count(*) AS n FROM embeddings GROUP BY label
+), p AS (SELECT label, n, list_concat(list_reverse(x[2 : 17]), x, list_reverse(x[n - 16 : n - 1])) AS x FROM r
+), f AS (SELECT label, unnest(range(n // 16 + 1)) AS frame, x FROM p
+), w AS (SELECT label, frame, list_transform(range(32), lambda i: x[frame * 16 + i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 32))) AS x FROM f
+), s AS (SELECT label, frame, list_transform(range(17), lambda k: pow(list_sum(list_transform(range(32), lambda i: x[i + 1] * cos(2 * pi() * k * i / 32))), 2) + pow(list_sum(list_transform(range(32), lambda i: x[i + 1] * sin(2 * pi() * k * i / 32))), 2)) AS p FROM w
+), m AS (SELECT label, frame, list_transform({[[float(v) for v in row] for row in MEL]!r}::DOUBLE[][], lambda b: 10 * log10(greatest(list_dot_product(b, p), 1e-10))) AS db FROM s
+), e AS (SELECT label, max(list_max(db)) AS most, min(list_min(db)) AS least FROM m GROUP BY label)
+SELECT label, frame, round(list_sum(list_transform(db, lambda v: (greatest(v, most - 80) + 79.6482) / (50.6842 + 79.6482) * 2 - 1)), 6) AS fixed,
+  round(list_sum(list_transform(db, lambda v: (greatest(v, most - 80) - greatest(least, most - 80)) / (most - greatest(least, most - 80)) * 2 - 1)), 6) AS own FROM m JOIN e USING (label)""")
+def mel(spark, d):
+    """Mel spectra of long recordings in chunks, scaled to the model's range and to the recording's own."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    chunks = clips(spark, d).select("label", nth.cast("long").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    frames = spectra.mel_frames(chunks, "label", "samples", 64, 640, 6, 32, 16, 20.0, 300.0)
+    add = lambda df, name: df.select("label", "frame", F.round(F.aggregate("mel", F.lit(0.0), lambda s, x: s + x), 6).alias(name))
+    return add(spectra.scaled(frames, "label"), "fixed").join(add(spectra.scaled(frames, "label", None), "own"), ["label", "frame"])
+
+
+@query("sig18_flatness", f"""WITH {FRAMED_SQL}, p AS (SELECT vec_id, t, greatest(re * re + im * im, 1e-10) AS p FROM s
+), d AS (SELECT vec_id, t, 10 * log10(exp(avg(ln(p))) / avg(p)) AS db FROM p GROUP BY vec_id, t)
+SELECT vec_id, round(avg(db), 6) AS db FROM d GROUP BY vec_id""")
+def flatness(spark, d):
+    made = signal.by_signal(clips(spark, d), ["vec_id"], "embedding", lambda x: signal.mean_flatness_db(x, 16, 8), "db")
+    return made.withColumn("db", F.round("db", 6))
+
+
+@query("sig16_distant_peaks", """WITH RECURSIVE p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings
+), n AS (SELECT *, lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS before, lead(x) OVER (PARTITION BY vec_id ORDER BY i) AS after FROM p
+), k AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS nth FROM n WHERE x > before AND x >= after AND x >= 0.05
+), g(vec_id, nth, kept) AS (SELECT DISTINCT vec_id, 0::BIGINT, []::BIGINT[] FROM k
+  UNION ALL SELECT g.vec_id, g.nth + 1, CASE WHEN len(list_filter(kept, lambda q: abs(q - k.i) < 5)) = 0 THEN list_append(kept, k.i) ELSE kept END FROM g JOIN k ON k.vec_id = g.vec_id AND k.nth = g.nth + 1
+), z AS (SELECT vec_id, arg_max(kept, nth) AS kept FROM g GROUP BY vec_id)
+SELECT vec_id, array_to_string(list_sort(coalesce(kept, [])), ',') AS places FROM (SELECT vec_id FROM embeddings) LEFT JOIN z USING (vec_id)""")
+def distant_peaks(spark, d):
+    """Local maxima of at least 0.05 that are five samples or more apart, the higher ones first."""
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame({"vec_id": part["vec_id"], "places": [",".join(map(str, signal.peaks(np.asarray(x, float), 0.05, 5))) for x in part["embedding"]]})
+
+    return clips(spark, d).select("vec_id", "embedding").mapInPandas(run, "vec_id long, places string")
