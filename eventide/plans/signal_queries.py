@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventide.functions import columns as fn
 from eventide.functions import signal
 from eventide.functions.signal import mel_bank
-from eventide.operators import extraction, separation, spectra, templates, vectors
+from eventide.operators import extraction, resampling, separation, spectra, templates, vectors
 from eventide.plans.tables import collector, micros, table
 
 QUERIES, SQL, query = collector()
@@ -332,3 +332,18 @@ def distant_peaks(spark, d):
             yield pd.DataFrame({"vec_id": part["vec_id"], "places": [",".join(map(str, signal.peaks(np.asarray(x, float), 0.05, 5))) for x in part["embedding"]]})
 
     return clips(spark, d).select("vec_id", "embedding").mapInPandas(run, "vec_id long, places string")
+
+
+PHASES = resampling.phases(2, 3)
+
+
+@query("sig12_resampled", f"""WITH r AS (SELECT label, flatten(list(embedding::DOUBLE[] ORDER BY vec_id)) AS x, 64 * count(*) AS n FROM embeddings GROUP BY label
+), p AS (SELECT label, n, list_concat(list_transform(range({PHASES.shape[1] // 2}), lambda i: 0.0::DOUBLE), x, list_transform(range({PHASES.shape[1] // 2}), lambda i: 0.0::DOUBLE)) AS x FROM r
+), y AS (SELECT label, unnest(list_transform(range((n * 2 + 2) // 3), lambda m: struct_pack(m := m, y := list_dot_product(x[m * 3 // 2 + 1 : m * 3 // 2 + {PHASES.shape[1]}], ({[[float(v) for v in row[::-1]] for row in PHASES]!r}::DOUBLE[][])[m * 3 % 2 + 1])))) AS u FROM p)
+SELECT label, u.m * 3 // 2 // 64 AS chunk, min(u.m) AS first, count(*) AS n, round(sum(abs(u.y)), 5) AS total FROM y GROUP BY label, u.m * 3 // 2 // 64""")
+def resampled(spark, d):
+    """Long recordings at two thirds of their rate, chunk by chunk."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    chunks = clips(spark, d).select("label", nth.cast("long").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    found = resampling.resampled(chunks, "label", "samples", 64, 96, 64)
+    return found.select("label", "chunk", "first", F.size("samples").cast("long").alias("n"), total(F.transform("samples", lambda x: F.abs(x))).alias("total"))
