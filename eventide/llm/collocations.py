@@ -15,10 +15,11 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import discard, table
+from eventide.llm.common import discard, shared_folder, table
 from eventide.llm.common import materialize as stored
 
 #: Occurrences that a phrase needs; words of the longest; the share of its occurrences, in hundredths, within one longer
@@ -28,6 +29,8 @@ LEAST, LONGEST, COVERED, BEST = 30, 4, 80, 2000
 CHUNK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
 #: Parts of a language that are ranked apart before the best of them are.
 SALTS = 64
+#: Parts of the pairs with one left side.
+PARTS = 16
 #: Flags that tell most pairs of a chunk that can't be frequent before any join, and what spreads pairs over them.
 SIEVE_BITS, _BUCKET, _LOW = 1 << 26, 1 << 15, 1 << 31
 _FACTORS = {"left": 1_000_003, "right": 69_069}
@@ -75,17 +78,19 @@ def paired(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def word_chunks(docs: DataFrame) -> DataFrame:
-    """chunk, lang, items (struct of word and n) and codes of docs (lang, text): the texts of one language in chunks. A task
-    gathers texts of each language up to CHUNK_BYTES, and of all languages up to HELD_BYTES."""
+    """Two rows for each chunk, the texts of one language, of docs (lang, text): chunk, lang and items (struct of word and
+    n), and chunk and codes. A task gathers texts of each language up to CHUNK_BYTES, and of all up to HELD_BYTES."""
 
-    def packed(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def packed(lang: str, texts: list[bytes], chunk: int) -> Iterator[pa.RecordBatch]:
         words, codes = coded(texts)
         if words:
             n = np.bincount(codes[codes >= 0], minlength=len(words))
             items = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], names=["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), items), pa.array([pressed(codes)], pa.binary())], names=["lang", "items", "codes"])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(words), len(words)], pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * 2), pa.array([lang, None]), lists, pa.array([None, pressed(codes)], pa.binary()), pa.array(["items", "codes"])], names=["chunk", "lang", "items", "codes", "kind"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = count(TaskContext.get().partitionId() << 33)
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
@@ -96,13 +101,25 @@ def word_chunks(docs: DataFrame) -> DataFrame:
                 while sizes and (sizes[lang] >= CHUNK_BYTES or sum(sizes.values()) >= HELD_BYTES):
                     full = max(sizes, key=sizes.get)
                     del sizes[full]
-                    yield from packed(full, held.pop(full))
+                    yield from packed(full, held.pop(full), next(number))
                     if lang not in sizes:
                         break
         for lang, texts in held.items():
-            yield from packed(lang, texts)
+            yield from packed(lang, texts, next(number))
 
-    return docs.select("lang", "text").mapInArrow(make, "lang string, items array<struct<word:string,n:long>>, codes binary").withColumn("chunk", F.monotonically_increasing_id())
+    return docs.select("lang", "text").mapInArrow(make, "chunk long, lang string, items array<struct<word:string,n:long>>, codes binary, kind string")
+
+
+def stored_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items and the codes of word_chunks(), written in one go to folders of their own."""
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession)
+    word_chunks(docs).write.partitionBy("kind").parquet(path)
+    out = []
+    for kind, schema in (("items", "chunk long, lang string, items array<struct<word:string,n:long>>"), ("codes", "chunk long, codes binary")):
+        found = spark.read.schema(schema + ", kind string").parquet(path).where(F.col("kind") == kind).drop("kind")
+        found.folder = f"{path}/kind={kind}"
+        out.append(found)
+    return out[0], out[1]
 
 
 def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) -> DataFrame:
@@ -124,9 +141,11 @@ def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) ->
 
 
 def pair_counts(named: DataFrame) -> DataFrame:
-    """left, right and n of the pairs of all chunks, each summed up there and in order: so they are small to shuffle, which
-    a sum over several chunks before that, out of order, is not."""
-    return pairs(named, "left long, right long, n long", lambda chunk, left, right, n, codes: pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"])).repartition("left", "right")
+    """left, part, right and n of the pairs of all chunks, each summed up there and in order. Pairs meet by their left side,
+    in PARTS parts by the right one: so rows that follow each other in a shuffle have most of their bytes in common, and a
+    very frequent left side is still many tasks' work."""
+    rows = pairs(named, "left long, right long, n long", lambda chunk, left, right, n, codes: pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"]))
+    return rows.select("left", F.pmod("right", F.lit(PARTS)).alias("part"), "right", "n").repartition("left", "part")
 
 
 def sieve(found: DataFrame) -> np.ndarray:
@@ -169,13 +188,17 @@ def frequent(items: DataFrame, keys: list[str], least: int) -> DataFrame:
     return items.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
 
 
-def named(held: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
+def named(held: DataFrame, codes: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
     """chunk, names (places of frequent items of the chunk with their ids; no more than its words) and codes of the chunks
-    that have any. Names are written before they meet the codes, so that the items' shuffle is gone by then."""
+    that have any. Names are written before they meet the codes, so that the items and their shuffle are gone by then;
+    then the codes go too."""
     items = held.select("chunk", *(k for k in keys if k == "lang"), F.posexplode("items").alias("place", "x")).select("chunk", "place", *(k if k == "lang" else F.col("x")[k].alias(k) for k in keys))
     met = settled(items.join(names.select(*keys, "id"), keys).groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("names")))
-    out = settled(met.join(held.select("chunk", "codes"), "chunk"))
+    if codes is not held:
+        discard(held)
+    out = settled(met.join(codes.select("chunk", "codes"), "chunk"))
     discard(met)
+    discard(codes)
     return out
 
 
@@ -187,7 +210,7 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
     """Frequent phrases of 1 to longest words, a table for each, and the words of each language. id, lang, phrase, last (its
     last word), f, left and right (ids of the phrases without its last and first word), before and after: how often
     its first 1, 2, ... words occur, and its last ones."""
-    held = settled(word_chunks(docs))
+    held, codes = stored_chunks(docs)
     items = held.select("lang", F.explode("items").alias("x")).select("lang", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
     totals = settled(items.groupBy("lang").agg(F.sum("n").alias("n")))
     none = F.array().cast("array<long>")
@@ -204,10 +227,10 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
         if k < longest:
             if k > 1:
                 last, held = held, settled(pair_chunks(held, sieve(found)))
+                codes = held
                 discard(last)
-            last, held = held, named(held, keys, found)
-            discard(last)
-            items, keys = pair_counts(held), ["left", "right"]
+            held = named(held, codes, [c for c in keys if c != "part"], found)
+            items, keys = pair_counts(held), ["left", "part", "right"]
         discard(found)
     discard(held)
     return out, totals
