@@ -43,6 +43,12 @@ def truncated(x: Column) -> Column:
     return x.cast("bigint")
 
 
+def log10(x: Column) -> Column:
+    """The decimal logarithm as floating-point numbers have it: of zero -Infinity, of what lies below NaN (Spark's own is null for both)."""
+    x = x.cast("double")
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log10(x))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

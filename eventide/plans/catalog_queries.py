@@ -517,7 +517,7 @@ def text(spark, d):
 @query("fn03_math", "SELECT event_id, round(log10(value), 9) AS a, round(sqrt(value), 9) AS b, trunc(-value)::BIGINT AS c, ceil(value)::BIGINT AS d, floor(value)::BIGINT AS e, round(pow(value, 1.5), 6) AS f FROM events")
 def math_(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").select("event_id", F.round(F.log10(v), 9).alias("a"), F.round(F.sqrt(v), 9).alias("b"), fn.truncated(-v).alias("c"), F.ceil(v).alias("d"), F.floor(v).alias("e"), F.round(F.pow(v, F.lit(1.5)), 6).alias("f"))
+    return table(spark, d, "events").select("event_id", F.round(fn.log10(v), 9).alias("a"), F.round(F.sqrt(v), 9).alias("b"), fn.truncated(-v).alias("c"), F.ceil(v).alias("d"), F.floor(v).alias("e"), F.round(F.pow(v, F.lit(1.5)), 6).alias("f"))
 
 
 @query("fn04_kernels", "SELECT event_id, round(exp(-0.5 * pow((value - 50) / 20, 2)), 9) AS near, round(1 / (1 + exp(-value / 100)), 9) AS p FROM events")

@@ -19,6 +19,19 @@ def test_paths(spark):
     assert one(spark, fn.suffix(p)) == ".wav"
 
 
+def test_logarithms_of_zero_and_below(spark, tmp_path):
+    """As in SQL, where the logarithm of zero is -Infinity and not null."""
+    from eventide.plans.catalog_queries import QUERIES, SQL
+
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, 0.0), (2, -1.5), (3, 100.0), (4, None)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    ours = {r["event_id"]: repr(r["a"]) for r in QUERIES["fn03_math"](spark, str(tmp_path)).collect()}
+    assert ours == {1: "-inf", 2: "nan", 3: "2.0", 4: "None"}
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert {r[0]: repr(r[1]) for r in con.sql(SQL["fn03_math"]).fetchall()} == ours
+
+
 def test_padding(spark):
     a = F.array(*(F.lit(float(i)) for i in range(3)))
     assert one(spark, fn.wrapped(a, 5)) == [0, 1, 2, 0, 1]
