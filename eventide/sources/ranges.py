@@ -24,6 +24,8 @@ from eventide.sources.audio import CHUNK_SECONDS
 
 #: Bytes of a file that one task reads; bytes that are looked at for a header at once; bytes of a block of matrix rows.
 RANGE_BYTES, HEAD_BYTES, BLOCK_BYTES = 64 << 20, 1 << 16, 4 << 20
+#: Tasks, about, beyond which ranges are longer than asked for: all files are read, but not in ever more small tasks.
+TASKS = 1000
 #: Tags of WAV sample formats.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
@@ -163,13 +165,13 @@ class RangeReader(DataSourceReader):
         return sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and (x.path.endswith(self.suffix) or x.path == path))
 
     def partitions(self) -> list[Ranges]:
+        files = [(p, n) for p, n in self.listed() if self.bounds.paths is None or p in self.bounds.paths]
+        whole = max(self.size, -(-sum(n for _, n in files) // TASKS))
         out, held, size = [], [], 0
-        for path, n in self.listed():
-            if self.bounds.paths is not None and path not in self.bounds.paths:
-                continue
-            for at in range(0, max(n, 1), self.size):
-                part = (path, at, min(at + self.size, max(n, 1)))
-                if held and size + part[2] - at > self.size:
+        for path, n in files:
+            for at in range(0, max(n, 1), whole):
+                part = (path, at, min(at + whole, max(n, 1)))
+                if held and size + part[2] - at > whole:
                     out.append(Ranges(held))
                     held, size = [], 0
                 held.append(part)
@@ -323,7 +325,7 @@ def excerpts(chunks: DataFrame, begin_s: float, end_s: float, seconds: float, by
 
 def write_wav(chunks: DataFrame, by: str, samples: str, folder: str, rate: int) -> DataFrame:
     """Write each recording of chunks (by, chunk, samples) as a WAV file <by>.wav of 16 bits, an RF64 file beyond 4 GB, and
-    return by and bytes. A file is one stream, and so one task's; the task holds a chunk at a time. Files go to a new name
+    return by and bytes. A file is one stream, and so one task's; the task holds a batch of chunks at a time. Files go to a new name
     and are renamed when they are complete, so a task that is run again does no harm."""
     sizes = chunks.groupBy(by).agg((2 * F.sum(F.size(samples))).alias("_bytes"))
     kind = chunks.schema[by].dataType.simpleString()
@@ -331,32 +333,28 @@ def write_wav(chunks: DataFrame, by: str, samples: str, folder: str, rate: int)
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
         system.create_dir(path, recursive=True)
-        known, out, temporary = None, None, ""
-
-        def done() -> None:
-            if out is not None:
-                out.close()
-                system.move(temporary, f"{path}/{known}.wav")
-
+        out, size = None, 0
         for batch in batches:
-            names, n = [], []
-            for i in range(batch.num_rows):
-                name, size = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                if name != known or out is None:
-                    done()
-                    known, temporary = name, f"{path}/.{name}.{np.random.default_rng().integers(1 << 62)}"
-                    out = system.open_output_stream(temporary, compression=None)
-                    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, PCM, 1, rate, 2 * rate, 2, 16)
-                    if size + 36 < 1 << 32:
-                        out.write(struct.pack("<4sI4s", b"RIFF", size + 36, b"WAVE") + form + struct.pack("<4sI", b"data", size))
-                    else:
-                        out.write(struct.pack("<4sI4s4sIQQQI", b"RF64", 0xFFFFFFFF, b"WAVE", b"ds64", 28, size + 72, size, size // 2, 0) + form + struct.pack("<4sI", b"data", 0xFFFFFFFF))
-                    names.append(name)
-                    n.append(size)
-                x = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+            if out is None and batch.num_rows:
+                name, size = batch.column(0)[0].as_py(), batch.column(2)[0].as_py()
+                temporary, first = f"{path}/.{name}.{np.random.default_rng().integers(1 << 62)}", batch.slice(0, 1)
+                out, left = system.open_output_stream(temporary, compression=None), size
+                form = struct.pack("<4sIHHIIHH", b"fmt ", 16, PCM, 1, rate, 2 * rate, 2, 16)
+                if size + 36 < 1 << 32:
+                    out.write(struct.pack("<4sI4s", b"RIFF", size + 36, b"WAVE") + form + struct.pack("<4sI", b"data", size))
+                else:
+                    out.write(struct.pack("<4sI4s4sIQQQI", b"RF64", 0xFFFFFFFF, b"WAVE", b"ds64", 28, size + 72, size, size // 2, 0) + form + struct.pack("<4sI", b"data", 0xFFFFFFFF))
+            for chunk in batch.column(1):
+                x = chunk.values.to_numpy(zero_copy_only=False)
                 out.write((np.clip(x, -1, 1 - 2**-15) * 2**15).round().astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(n, pa.int64())], names=[by, "bytes"])
-        done()
-
+                left -= 2 * len(x)
+        if out is not None:
+            out.close()
+            if left:
+                raise ValueError(f"{name}: {size - left} bytes of samples instead of {size}")
+            system.move(temporary, f"{path}/{name}.wav")
+            yield pa.RecordBatch.from_arrays([first.column(0), first.column(2)], names=[by, "bytes"])
+
+    # Grouped, and not only repartitioned: the plan may pass over a repartition, but not over what a group needs.
     ready = chunks.join(sizes, by).repartition(by).sortWithinPartitions(by, "chunk").select(by, F.col(samples).cast("array<double>"), "_bytes")
-    return ready.mapInArrow(save, f"{by} {kind}, bytes long")
+    return ready.groupBy(by).applyInArrow(save, f"{by} {kind}, bytes long")

@@ -92,29 +92,25 @@ def matrices(rows: DataFrame, by: str, order: str, vector: str, folder: str) ->
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)
         system.create_dir(path, recursive=True)
-        known, out, temporary = None, None, ""
-
-        def done() -> None:
-            if out is not None:
-                out.close()
-                system.move(temporary, f"{path}/{known}.npy")
-
+        out, said = None, 0
         for batch in batches:
-            names, counts = [], []
-            for i in range(batch.num_rows):
-                name, x, n, width = (batch.column(c)[i] for c in range(4))
-                if name.as_py() != known or out is None:
-                    done()
-                    known, temporary = name.as_py(), f"{path}/.{name.as_py()}.{uuid.uuid4().hex}"
-                    out = system.open_output_stream(temporary, compression=None)
-                    head = repr({"descr": "<f4", "fortran_order": False, "shape": (n.as_py(), width.as_py())}).encode()
-                    head += b" " * (-(len(head) + 11) % 64) + b"\n"
-                    out.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
-                    names.append(known)
-                    counts.append(n.as_py())
-                out.write(x.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(0).type), pa.array(counts, pa.int64())], names=[by, "n"])
-        done()
-
+            if out is None and batch.num_rows:
+                name, said, width = (batch.column(c)[0].as_py() for c in (0, 2, 3))
+                temporary, first = f"{path}/.{name}.{uuid.uuid4().hex}", batch.slice(0, 1)
+                out, left = system.open_output_stream(temporary, compression=None), said * width
+                head = repr({"descr": "<f4", "fortran_order": False, "shape": (said, width)}).encode()
+                head += b" " * (-(len(head) + 11) % 64) + b"\n"
+                out.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            out.write(x.tobytes())
+            left -= len(x)
+        if out is not None:
+            out.close()
+            if left:
+                raise ValueError(f"{name}: {said * width - left} numbers instead of {said} rows of {width}")
+            system.move(temporary, f"{path}/{name}.npy")
+            yield pa.RecordBatch.from_arrays([first.column(0), first.column(2)], names=[by, "n"])
+
+    # Grouped, and not only repartitioned: the plan may pass over a repartition, but not over what a group needs.
     ready = rows.join(sizes, by).repartition(by).sortWithinPartitions(by, order).select(by, vector, "_n", "_width")
-    return ready.mapInArrow(save, f"{by} {rows.schema[by].dataType.simpleString()}, n long")
+    return ready.groupBy(by).applyInArrow(save, f"{by} {rows.schema[by].dataType.simpleString()}, n long")

@@ -145,3 +145,34 @@ def test_matrices_written(spark, tmp_path):
     assert sorted(writers.matrices(rows, "f", "n", "v", str(tmp_path)).collect()) == [(0, 17), (1, 17), (2, 16)]
     x = np.load(io.BytesIO((tmp_path / "1.npy").read_bytes()))
     assert x.dtype == np.float32 and x[:, 0].tolist() == list(range(1, 50, 3))
+
+
+@pytest.fixture
+def joins_turned(spark):
+    """Joins are planned by sorting and turn into broadcasts when sizes are known, as they do on larger tables."""
+    how = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    yield
+    for k in how:
+        spark.conf.unset(k)
+
+
+def test_files_are_whole_whatever_the_join(spark, tmp_path, joins_turned):
+    rows = spark.range(0, 4000, 1, 8).select(F.col("id"), (F.col("id") % 4).alias("file"), F.floor(F.col("id") / 4).alias("chunk"))
+    vector = F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))
+    written = writers.matrices(rows.withColumn("x", vector), "file", "id", "x", str(tmp_path / "npy")).collect()
+    assert sorted(map(tuple, written)) == [(i, 1000) for i in range(4)]
+    read = ranges.npy(spark, str(tmp_path / "npy")).collect()
+    assert sorted(r["values"][0] for r in read) == list(range(4000))
+    ranges.write_wav(rows.withColumn("x", F.array(F.col("id") / 8192)), "file", "x", str(tmp_path / "wav"), 10).collect()
+    wavs = ranges.wav(spark, str(tmp_path / "wav"), seconds=10).orderBy("path", "chunk").collect()
+    assert [x * 8192 for r in wavs for x in r["samples"]] == [i + 4 * k for i in range(4) for k in range(1000)]
+
+
+def test_many_ranges_are_few_tasks(tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(60000.0))
+    reader = ranges.NpyReader({"path": str(tmp_path), "rangebytes": "64"})
+    parts = [p for task in reader.partitions() for p in task.parts]
+    assert len(reader.partitions()) <= ranges.TASKS + 1
+    assert [a for _, a, _ in parts[1:]] == [e for _, _, e in parts[:-1]] and parts[-1][2] == (tmp_path / "a.npy").stat().st_size
