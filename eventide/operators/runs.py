@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators.scans import before, islands, sliced
+from eventide.operators.scans import islands, sliced
+from eventide.shared import materialize
 
 
 def runs(frames: DataFrame, by: str, frame: str, on: Column) -> DataFrame:
@@ -72,6 +75,99 @@ THRESHOLDS = [1 / (1 + math.exp(-t)) for t in LOGITS]
 FRAME_RATE = 25
 
 
+#: What a slice of a group tells of each grid point: how many islands of runs it has, the first and the last of them, and
+#: whether the slice begins and ends within one; of those between, how many are long enough, and what their fits add up to.
+PART = "islands array<long>, first_begin array<long>, first_end array<long>, last_begin array<long>, last_end array<long>, starts array<boolean>, open array<boolean>, kept array<long>, fit array<double>"
+
+
+def fits(begin: np.ndarray, end: np.ndarray, n: int, mean: float, std: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which islands count (long enough, and not at an end of the group), and how well the length of each fits."""
+    counted = (end - begin >= least) & (begin > 0) & (end < n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return counted, np.exp(-0.5 * (((end - begin) / FRAME_RATE - mean) / std) ** 2)
+
+
+def best_point(kept: np.ndarray, fit: np.ndarray) -> tuple[float | None, float]:
+    """The best score above 0.1, the first of equal ones, and its logit; else null and 0. NaN is more than any number."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = fit / kept * np.exp(-0.5 * np.square(LOGITS))
+    score = np.where(kept > 0, np.where(np.isnan(score), np.inf, score), -np.inf)
+    at = int(np.argmax(score))
+    return (float(score[at]) if np.isfinite(score[at]) else math.nan, LOGITS[at]) if score[at] > 0.1 else (None, 0.0)
+
+
+def slice_islands(frame: np.ndarray, level: np.ndarray, hole: float) -> tuple[np.ndarray, ...]:
+    """point, begin and end of the islands of runs of all grid points, in this order, of frames in order with the number of
+    grid points that each reaches; an island that is still open ends behind the last frame."""
+    on = np.zeros((len(LOGITS), len(frame) + 2), bool)
+    on[:, 1:-1] = np.arange(len(LOGITS))[:, None] < level
+    point, first = np.nonzero(on[:, 1:] & ~on[:, :-1])
+    _, last = np.nonzero(~on[:, 1:] & on[:, :-1])
+    ends = np.append(frame, frame[-1] + 1)
+    begin, end = ends[first], ends[last]
+    apart = np.ones(len(begin) + 1, bool)
+    apart[1:-1] = (point[1:] != point[:-1]) | (begin[1:] - end[:-1] > hole - 1)
+    return point[apart[:-1]], begin[apart[:-1]], end[apart[1:]]
+
+
+def told(table: pa.Table) -> dict:
+    """The columns of one row of a group that all its rows have alike."""
+    return {c: table.column(c)[0].as_py() for c in ("n", "rows", "mean_s", "std_s", "hole", "least")}
+
+
+def slice_scores(table: pa.Table) -> dict:
+    """Of a whole group score and logit, of a slice of a longer one PART (as a row)."""
+    x, points = told(table), len(LOGITS)
+    frame, p = table.column("frame").to_numpy(), table.column("p").fill_null(-math.inf).to_numpy()
+    order = np.argsort(frame, kind="stable")
+    frame, level = frame[order], np.searchsorted(THRESHOLDS, p[order], "right")
+    point, begin, end = slice_islands(frame, level, x["hole"])
+    if x["rows"] == len(frame):
+        counted, fit = fits(begin, end, x["n"], x["mean_s"], x["std_s"], x["least"])
+        score, logit = best_point(np.bincount(point[counted], minlength=points), np.bincount(point[counted], fit[counted], points))
+        return {"score": score, "logit": logit}
+    number = np.bincount(point, minlength=points)
+    low = np.cumsum(number) - number
+    inner = np.ones(len(point), bool)
+    inner[low[number > 0]] = inner[(low + number - 1)[number > 0]] = False
+    counted, fit = fits(begin, end, x["n"], x["mean_s"], x["std_s"], x["least"])
+    counted &= inner
+    pick = lambda v, at: np.append(v, 0)[np.where(number > 0, at, len(v))]
+    out = {"islands": number, "first_begin": pick(begin, low), "first_end": pick(end, low), "last_begin": pick(begin, low + number - 1), "last_end": pick(end, low + number - 1)}
+    reached = np.arange(points)
+    out |= {"starts": reached < level[0], "open": reached < level[-1], "kept": np.bincount(point[counted], minlength=points), "fit": np.bincount(point[counted], fit[counted], points)}
+    return {"first": int(frame[0]), **{k: v.tolist() for k, v in out.items()}}
+
+
+def joined_scores(table: pa.Table) -> tuple[float | None, float]:
+    """Score and logit of a group from its slices in order: the last island of each may go on in the next."""
+    x, rows = told(table), sorted(table.select(["_slice", "first", *(c.split()[0] for c in PART.split(", "))]).to_pylist(), key=lambda r: r["_slice"])
+    points = len(LOGITS)
+    kept, total = np.zeros(points, np.int64), np.zeros(points)
+    held, is_open, begin, end = np.zeros(points, bool), np.zeros(points, bool), np.zeros(points, np.int64), np.zeros(points, np.int64)
+
+    def settle(at: np.ndarray, b: np.ndarray, e: np.ndarray) -> None:
+        counted, fit = fits(b, e, x["n"], x["mean_s"], x["std_s"], x["least"])
+        counted &= at
+        kept[counted] += 1
+        total[counted] += fit[counted]
+
+    for row in rows:
+        r = {k: np.array(v) for k, v in row.items() if isinstance(v, list)}
+        end = np.where(held & is_open & ~r["starts"], row["first"], end)
+        is_open = is_open & r["starts"]
+        some, one = r["islands"] > 0, r["islands"] == 1
+        joined = held & some & (is_open | (r["first_begin"] - end <= x["hole"] - 1))
+        settle(held & some & ~joined, begin, end)
+        settle(some & ~one, np.where(joined, begin, r["first_begin"]), r["first_end"])
+        kept += r["kept"]
+        total += r["fit"]
+        begin = np.where(some, np.where(joined & one, begin, r["last_begin"]), begin)
+        end, is_open, held = np.where(some, r["last_end"], end), np.where(some, r["open"], is_open), held | some
+    settle(held, begin, np.where(is_open, x["n"], end))
+    return best_point(kept, total)
+
+
 def adaptive_threshold(frames: DataFrame, support: DataFrame, by: str) -> DataFrame:
     """by, score and logit: the grid point whose runs last most as the support events do.
 
@@ -79,24 +175,29 @@ def adaptive_threshold(frames: DataFrame, support: DataFrame, by: str) -> DataFr
     its runs' durations (after holes are closed and short runs dropped) times a normal prior on the logit. The first of
     the best wins; if none is above 0.1, or std_s is null, logit 0 does.
 
-    Frames are not multiplied by the grid: each gives a row for a grid point only where its score and the one before lie
-    on different sides of it, that is, where a run begins or ends.
+    Only frames are shuffled, never frames by grid points: a group, or a slice of a long one, goes over the whole grid at
+    once, and a slice leaves a row.
     """
-    level = F.size(F.filter(F.lit(THRESHOLDS), lambda t: F.col("p") >= t))
-    sizes = frames.groupBy(by).agg((F.max("frame") + 1).alias("n"))
-    cut = sliced(frames.select(by, "frame", level.alias("level")), [by], "frame")
-    steps = before(cut, ["frame"], "_one", F.struct("frame", "level")).withColumn("before", F.coalesce("_one.level", F.lit(0))).where("level <> before")
-    points = F.explode(F.sequence(F.least("level", "before"), F.greatest("level", "before") - 1))
-    edges = steps.select(by, "_by", "_slice", "frame", (F.col("level") > F.col("before")).alias("up"), points.alias("point"))
-    # Runs rise and end by turns: each end belongs to the edge before it, and a rise without an end lasts to the last frame.
-    closed = before(edges, ["frame"], "_rise", F.when(F.col("up"), F.col("frame")), ["point"]).where(~F.col("up")).select(by, "point", F.col("_rise").alias("run_begin"), F.col("frame").alias("run_end"))
-    last = edges.groupBy(by, "point").agg(F.max_by(F.struct("frame", "up"), "frame").alias("e")).where("e.up")
-    open_ = last.join(sizes, by).select(by, "point", F.col("e.frame").alias("run_begin"), F.col("n").alias("run_end"))
-    found = closed.unionByName(open_).join(sizes, by).select(by, "point", "run_begin", "run_end", "n")
-    rules = support.select(by, "mean_s", "std_s", F.floor(FRAME_RATE * F.least(F.greatest(0.5 * F.col("min_s"), F.lit(0.0)), F.lit(1.0))).alias("hole"), F.floor(FRAME_RATE * F.least(F.lit(0.5), 0.5 * F.col("min_s"))).alias("least"))
-    kept = long_enough(filled(found.join(rules, by), [by, "point"], F.col("hole") - 1), F.col("least"))
-    logit = F.element_at(F.lit(LOGITS), F.col("point") + 1)
-    fit = F.exp(-0.5 * F.pow(((F.col("run_end") - F.col("run_begin")) / FRAME_RATE - F.col("mean_s")) / F.col("std_s"), 2))
-    scores = kept.groupBy(by, "point").agg(F.avg(fit).alias("fit")).select(by, "point", logit.alias("logit"), (F.col("fit") * F.exp(-0.5 * logit * logit)).alias("score")).where("score > 0.1")
-    best = scores.groupBy(by).agg(F.max(F.struct("score", -F.col("point"), "logit")).alias("b")).select(by, "b.score", "b.logit")
+    rules = support.select(by, "mean_s", "std_s", F.floor(FRAME_RATE * F.least(F.greatest(0.5 * F.col("min_s"), F.lit(0.0)), F.lit(1.0))).cast("double").alias("hole"), F.floor(FRAME_RATE * F.least(F.lit(0.5), 0.5 * F.col("min_s"))).cast("double").alias("least"))
+    sizes = frames.groupBy(by).agg((F.max("frame") + 1).alias("n"), F.count("*").alias("rows"))
+    known = rules.dropna().join(sizes, by)
+    cut = sliced(frames.select(by, F.col("frame").cast("long").alias("frame"), F.col("p").cast("double").alias("p")), [by], "frame").join(known, by)
+    names = ["n", "rows", "mean_s", "std_s", "hole", "least"]
+    kind = frames.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, _slice int, n long, rows long, mean_s double, std_s double, hole double, least double, score double, logit double, first long, {PART}"
+    fields = pa.schema([(c.split()[0], {"array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}[c.split()[1]]) for c in PART.split(", ")])
+
+    def slices(table: pa.Table) -> pa.Table:
+        found = slice_scores(table)
+        own = [table.column(c).slice(0, 1).combine_chunks() for c in (by, "_slice", *names)]
+        own += [pa.array([found.get(c)], t) for c, t in (("score", pa.float64()), ("logit", pa.float64()), ("first", pa.int64()))]
+        return pa.Table.from_arrays(own + [pa.array([found.get(f.name)], f.type) for f in fields], names=[by, "_slice", *names, "score", "logit", "first", *fields.names])
+
+    def together(table: pa.Table) -> pa.Table:
+        score, logit = joined_scores(table)
+        return pa.Table.from_arrays([table.column(by).slice(0, 1).combine_chunks(), pa.array([score], pa.float64()), pa.array([logit])], names=[by, "score", "logit"])
+
+    parts = materialize(cut.select(by, "_by", "_slice", "frame", "p", *names).groupBy("_by", "_slice").applyInArrow(slices, schema))
+    best = parts.where("logit is not null").select(by, "score", "logit")
+    best = best.unionByName(parts.where("logit is null").groupBy(by).applyInArrow(together, f"{by} {kind}, score double, logit double"))
     return support.select(by).join(best, by, "left").select(by, "score", F.coalesce("logit", F.lit(0.0)).alias("logit"))

@@ -86,3 +86,13 @@ def test_one_recording_of_all_events(spark, sf_dir, short):
     assert len(sizes) == 9 and max(sizes) < 2 * min(sizes)
     rows = [(r["b"], r["e"]) for r in df.collect()]
     assert sorted((r["b"], r["e"]) for r in intervals.merged(df, ["f"], "b", "e").collect()) == plain_islands(rows)
+
+
+def test_adaptive_thresholds_shuffle_frames_only(spark, monkeypatch):
+    """No row for a frame and a grid point: those were tens of times the frames."""
+    plans = []
+    monkeypatch.setattr(runs, "materialize", lambda df: plans.append(df) or df, raising=False)
+    frames = spark.range(200).selectExpr("id % 2 as f", "id div 2 as frame", "(id * 37 % 100) / 100.0 as p")
+    support = spark.createDataFrame([(0, 0.2, 0.1, 0.1), (1, 0.3, 0.1, 0.2)], "f long, mean_s double, std_s double, min_s double")
+    plans.append(runs.adaptive_threshold(frames, support, "f"))
+    assert all("Generate" not in p._jdf.queryExecution().toString() for p in plans)
