@@ -48,7 +48,7 @@ def selection_tables(spark, d):
     """A folder of selection tables for each recording, read at once; the folder tells the recording."""
     path = writers.new_folder(spark)
     rows = events(spark, d).select(F.col("user_id").alias("file_id"), F.col("value").alias("begin_s"), (F.col("value") + 1).alias("end_s"), F.col("event_type").alias("annotation"))
-    writers.selection_tables(rows.repartition("file_id"), path)
+    writers.selection_tables(rows, path)
     return readers.selection_table(spark, path, default_channel=1).select(F.col("file_id").cast("long").alias("file_id"), "begin_s", "end_s", "annotation", "channel")
 
 
@@ -181,7 +181,7 @@ def tables_of_manifest(spark, d):
     """One long table as a selection table for each recording that a manifest names."""
     path = writers.new_folder(spark)
     rows = events(spark, d).select(F.concat(F.lit("r"), F.col("user_id") % 20).alias("recording"), F.col("value").alias("begin_s"), F.col("event_type").alias("annotation"))
-    writers.selection_tables(rows.repartition("recording"), path, by="recording")
+    writers.selection_tables(rows, path, by="recording")
     return readers.selection_table(spark, path).groupBy("recording", "annotation").agg(F.count("*").alias("n"))
 
 

@@ -34,9 +34,30 @@ def predictions(spark: SparkSession, path) -> DataFrame:
     return raw.select(F.col("Audiofilename").alias("file_id"), F.col("Starttime").cast("double").alias("begin_s"), F.col("Endtime").cast("double").alias("end_s"))
 
 
+def first_file(spark: SparkSession, path) -> str | None:
+    """A file below a folder, by one listing for each level; None if path is no single folder or has none. With its header
+    as the schema, Spark needn't list all files a second time to find one."""
+    if not isinstance(path, str):
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    while system.exists(at) and system.getFileStatus(at).isDirectory():
+        found, following = system.listStatusIterator(at), None
+        while following is None and found.hasNext():
+            entry = found.next()
+            if entry.getPath().getName()[0] not in "._" and (entry.isDirectory() or entry.getLen()):
+                following = entry.getPath()
+        if following is None:
+            return None
+        at = following
+    return at.toString() if system.exists(at) else None
+
+
 def selection_table(spark: SparkSession, path, default_channel: int | None = None) -> DataFrame:
     """A tab-separated selection table with short names; the path it came from is file_path."""
-    raw = as_text(spark, path, sep="\t")
+    first = first_file(spark, path)
+    names = None if first is None else as_text(spark, first, sep="\t").schema
+    raw = as_text(spark, path, sep="\t") if names is None else spark.read.csv(path, schema=names, sep="\t", header=True)
     named = raw.select(*(F.col(f"`{c}`").alias(SELECTION_NAMES.get(c, c)) for c in raw.columns), F.col("_metadata.file_path").alias("file_path"))
     for column, kind in SELECTION_TYPES.items():
         if column in named.columns:

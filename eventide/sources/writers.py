@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.shared import new_folder  # noqa: F401
+from eventide.shared import delete, new_folder  # noqa: F401
 from eventide.sources.readers import SELECTION_NAMES
 
 
@@ -19,9 +21,69 @@ def table(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: s
     df.write.csv(path, header=header, sep=sep, mode=mode)
 
 
+#: What Spark escapes in the names of folders.
+UNSAFE = re.compile(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
+def folder_of(by: str, value: str | None) -> str:
+    """by=value as Spark names and reads the folders of a partitioned table."""
+    said = "__HIVE_DEFAULT_PARTITION__" if value in (None, "") else UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)
+    return f"{by}={said}"
+
+
+def small_files(lines: DataFrame, by: str, line: str, path: str, mode: str, suffix: str, head: str = "") -> None:
+    """The lines of each value of `by` as a file in a folder of its own. Many small files take their time for being opened,
+    not for their bytes: so they are dealt to as many tasks as the session shuffles to, and written straight to the end of
+    a short name of their own, without Spark's moves by task and job. A file that is there is complete; a task that is run
+    again writes the same names."""
+    from eventide.sources.ranges import opened
+
+    spark = lines.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(root)
+    if there and mode in ("error", "errorifexists"):
+        raise FileExistsError(path)
+    if there and mode == "ignore":
+        return
+    if there and mode == "overwrite":
+        delete(spark, path)
+    run = uuid.uuid4().hex[:8]
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = opened(path)
+        part = TaskContext.get().partitionId()
+        out, temporary, final, known, n = None, "", "", None, 0
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                system.move(temporary, final)
+
+        for batch in batches:
+            for value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None or value != known:
+                    done()
+                    known, folder = value, f"{at}/{folder_of(by, value)}"
+                    system.create_dir(folder, recursive=True)
+                    temporary, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/part-{part:05d}-{run}{suffix}"
+                    out = system.open_output_stream(temporary, compression=None)
+                    out.write(head.encode())
+                    n += 1
+                out.write(((text or "") + "\n").encode())
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select(F.col(by).cast("string").alias("by"), F.col(line).alias("line")).repartition(tasks, "by").sortWithinPartitions("by")
+    dealt.mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    system, at = opened(path)
+    system.create_dir(at, recursive=True)
+    system.open_output_stream(f"{at}/_SUCCESS").close()
+
+
 def documents(df: DataFrame, name: str, text: str, path: str, mode: str = "error") -> None:
     """A folder of its own for the text of each row, name=<its name>: for JSON documents that are read whole."""
-    df.select(name, F.col(text).cast("string").alias("value")).write.mode(mode).partitionBy(name).text(path)
+    small_files(df.select(name, F.col(text).cast("string").alias("value")), name, "value", path, mode, ".txt")
 
 
 def resumable(rows: DataFrame, key: str, path: str, shares: int, make: Callable[[DataFrame], DataFrame]) -> int:
@@ -46,7 +108,9 @@ def excerpt_table(events: DataFrame, begin: str, end: str, start, length) -> Dat
 def selection_tables(events: DataFrame, path: str, by: str = "file_id", mode: str = "error") -> None:
     """A folder of tab-separated selection tables for each value of `by`."""
     long = {v: k for k, v in SELECTION_NAMES.items()}
-    events.select(by, *(F.col(c).alias(long.get(c, c)) for c in events.columns if c != by)).write.partitionBy(by).csv(path, header=True, sep="\t", mode=mode)
+    named = [F.col(c).alias(long.get(c, c)) for c in events.columns if c != by]
+    head = "\t".join(long.get(c, c) for c in events.columns if c != by) + "\n"
+    small_files(events.select(by, F.to_csv(F.struct(*named), {"sep": "\t"}).alias("_line")), by, "_line", path, mode, ".csv", head)
 
 
 def text_list(df: DataFrame, column: str, path: str, mode: str = "error") -> None:
