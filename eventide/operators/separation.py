@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.shared import materialize
+
 #: Permutations that one task composes one after another.
 SLICE = 1024
 
@@ -87,8 +89,9 @@ def composed(orders: DataFrame, by: list[str], at: str = "block", order: str = "
 
     schema, slice_ = orders.select(*by, at, order).schema, f"{at}_"  # a name that no level before has
     number = F.floor(F.col(at) / size).alias(slice_)
-    last = orders.agg(F.max(at)).first()[0]
-    within = orders.select(*by, at, order).groupBy(*by, number).applyInPandas(lambda _, part: run(part), schema)
+    # Written, as it is read twice, at each level: else all that it comes from would be worked out twice as often each time.
+    within = materialize(orders.select(*by, at, order).groupBy(*by, number).applyInPandas(lambda _, part: run(part), schema))
+    last = within.agg(F.max(at)).first()[0]
     if last is None or last < size:
         return within
     ends = within.groupBy(*by, number).agg(F.max_by(order, at).alias(order))

@@ -58,3 +58,17 @@ def test_sources_come_back(spark):
 def test_no_blocks(spark):
     df = spark.createDataFrame([], "k string, block long, sources array<array<double>>")
     assert separation.resolved(df, ["k"], "sources").count() == 0
+
+
+def test_orders_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    orders = spark.range(20).selectExpr("1 as r", "id as block", "array(1L, 0L) as order").mapInPandas(count, "r int, block long, order array<long>")
+    got = separation.composed(orders, ["r"], size=3).orderBy("block").collect()
+    assert [list(r["order"]) for r in got] == [[1, 0] if r["block"] % 2 == 0 else [0, 1] for r in got] and len(got) == 20
+    assert seen.value == 20
