@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from eventide.functions.signal import painted_segments
 from eventide.operators.scans import islands, sliced
+from eventide.shared import materialize
 
 #: Bins by which a template may be moved up and down; it lacks as many at each end.
 SHIFT = 2
+#: Frames, about, that are searched at once: shorter chunks are put together first.
+TOGETHER = 1024
 
 
 def moved_correlation(frames: np.ndarray, template: np.ndarray, most: int) -> np.ndarray:
@@ -85,6 +88,10 @@ def with_following(chunks: DataFrame, by: str, size: int, frames: int, before: i
 def candidates(chunks: DataFrame, templates: DataFrame, limits: DataFrame, by: str, size: int, longest: int, shift: int) -> DataFrame:
     """by, event, frame, score and length of the local maxima of each template's correlation with its recording from frame
     `start` on (a column of limits, beside threshold), as high as the threshold."""
+    many = max(1, TOGETHER // size)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "frames"))), lambda c: c["frames"]))
+    chunks = chunks.select(by, F.floor(F.col("chunk") / many).alias("block"), "chunk", "frames").groupBy(by, "block").agg(whole.alias("frames")).withColumnRenamed("block", "chunk")
+    size *= many
     wide = with_following(chunks, by, size, longest)
     meet = wide.join(limits, by).join(templates.withColumnRenamed("frames", "template"), by)
 
@@ -138,6 +145,7 @@ def detect(chunks: DataFrame, supports: DataFrame, by: str, size: int, rate: int
     inner = F.transform("frames", lambda x: F.slice(x, shift + 1, F.size(x) - 2 * shift))
     own = cut(chunks, supports, by, ["event"], "first", "end", size).withColumn("frames", inner)
     limits = thresholds(own, by).join(supports.groupBy(by).agg(F.max("end").alias("start")), by)
-    found = candidates(chunks, own, limits, by, size, longest, shift)
-    kept = suppressed(found, [by, "event"], F.col("length"))
+    # Peaks are written: islands read their rows several times, and would search the recordings as often.
+    found = materialize(candidates(chunks, own, limits, by, size, longest, shift))
+    kept = materialize(suppressed(found, [by, "event"], F.col("length")))
     return painted_segments(kept.withColumnRenamed("length", "frames"), by, rate, hop)
