@@ -1,9 +1,11 @@
 """Collocations of words, by hierarchical naming of pairs.
 
-Frequent words get numbers. A frequent phrase of k words is a pair of frequent phrases of k - 1 words that start one word
-apart, and gets a number of its own: the global table of pairs names it, and points to the two that it is made of. Texts
-are held as chunks of numbers. At each level chunks count their pairs, the counts meet by pair, and the numbers of the
-pairs that are frequent come back to the chunks that have them, which put them in place of the old. The pointers lead from a phrase to its parts, for cuts, and to what it covers, for subsumption.
+Frequent words get numbers, which come back to the chunks of numbers that texts are held as. The name of a pair of words is
+made of their two numbers, so that every chunk knows it and none has to come back. A phrase of three words is a pair of such
+names one word apart, a phrase of four a pair two words apart. At each level chunks count their pairs and the counts meet by
+pair in a global table; a sieve of the frequent ones tells chunks which pairs can be part of longer phrases. Above four words
+names are numbers again that come back, at every second level. Pointers lead from a phrase to the two that are a word
+shorter, for cuts and for subsumption.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,12 @@ SALTS = 64
 #: Parts of the pairs with one left side.
 PARTS = 16
 #: Flags that tell most pairs of a chunk that can't be frequent before any join, and what spreads pairs over them.
-SIEVE_BITS, _BUCKET, _LOW = 1 << 26, 1 << 15, 1 << 31
+SIEVE_BITS, _BUCKET = 1 << 26, 1 << 15
+#: Bits of a word's number within the name of a pair of words, and how many words may be frequent for that: with more, names
+#: of pairs are numbers that come back to the chunks.
+HALF, MOST_WORDS = 32, 1 << 31
+#: Bits of a row's number below that of its part in ids that Spark gives.
+_ROWS = 33
 _FACTORS = {"left": 1_000_003, "right": 69_069}
 UNKNOWN = "und"
 _BREAKS, _SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -122,9 +129,20 @@ def stored_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) -> DataFrame:
-    """What emit makes of each chunk of named (chunk, names: struct of place and id, codes): it gets the chunk as an array,
-    the ids of both sides of each pair of neighbours that have names, how often the pair occurs, and the new codes."""
+def thinned(codes: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray:
+    """codes (numbers below size) by their places in kept, -1 for others, with one -1 between two others."""
+    new = np.full(size + 1, -1, np.int32)  # the last is for -1
+    new[kept] = np.arange(len(kept))
+    codes = new[codes]
+    return codes[np.append(True, (codes[1:] >= 0) | (codes[:-1] >= 0))] if len(codes) else codes
+
+
+def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch], sieves: list[Broadcast], packed: bool) -> DataFrame:
+    """What emit makes of each chunk of named (chunk, names: struct of place and id, codes). There is a level for each of
+    sieves, at which only pairs are kept that pass it, and one more, at which all are; the items of one level make the pairs
+    of the next. emit gets the chunk as an array and of the pairs of the last level left and right (names of the phrases
+    that they begin and end with), mid (the name one before right), how often each occurs, and the new codes. Names are ids,
+    or with packed (ids of words) those that the pairs of the first level make."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,26 +150,39 @@ def pairs(named: DataFrame, schema: str, emit: Callable[..., pa.RecordBatch]) ->
                 names = batch.column(1)[i].values
                 places, ids = names.field(0).to_numpy(), names.field(1).to_numpy()
                 codes = opened(batch.column(2)[i].as_py())
-                new = np.full(max(codes.max(initial=-1), places.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
-                new[places] = np.arange(len(places))
-                left, right, n, out = paired(new[codes], len(places))
-                yield emit(batch.column(0).slice(i, 1), ids[left], ids[right], n, out)
+                codes = thinned(codes, places, max(codes.max(initial=-1), places.max(initial=-1)) + 1)
+                first = last = ids
+                for level, shared in enumerate([*sieves, None]):
+                    left, right, n, codes = paired(codes, len(first))
+                    first, mid, last = first[left], last[left], last[right]
+                    if shared is not None:
+                        kept = np.flatnonzero(sieved(shared.value, first, last))
+                        codes = thinned(codes, kept, len(first))
+                        first, last = first[kept], last[kept]
+                        if packed and level == 0:
+                            first = last = first << HALF | last
+                yield emit(batch.column(0).slice(i, 1), first, last, mid, n, codes)
 
     return named.select("chunk", "names", "codes").mapInArrow(make, schema)
 
 
-def pair_counts(named: DataFrame) -> DataFrame:
-    """left, part, right and n of the pairs of all chunks, each summed up there and in order. Pairs meet by their left side,
-    in PARTS parts by the right one: so rows that follow each other in a shuffle have most of their bytes in common, and a
-    very frequent left side is still many tasks' work."""
-    rows = pairs(named, "left long, right long, n long", lambda chunk, left, right, n, codes: pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"]))
-    return rows.select("left", F.pmod("right", F.lit(PARTS)).alias("part"), "right", "n").repartition("left", "part")
+def pair_counts(named: DataFrame, sieves: list[Broadcast], packed: bool) -> DataFrame:
+    """left, part, right, mid and n of the pairs of all chunks, each summed up there and in order. mid follows from left and
+    right, and is null where it is left. Pairs meet by their left side, in PARTS parts by the right one: so rows that follow
+    each other in a shuffle have most of their bytes in common, and a very frequent left side is still many tasks' work."""
+    apart = len(sieves) > int(packed)
+
+    def emit(chunk: pa.Array, left: np.ndarray, right: np.ndarray, mid: np.ndarray, n: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(mid) if apart else pa.nulls(len(mid), pa.int64()), pa.array(n)], names=["left", "right", "mid", "n"])
+
+    rows = pairs(named, "left long, right long, mid long, n long", emit, sieves, packed)
+    return rows.select("left", F.pmod("right", F.lit(PARTS)).alias("part"), "right", "mid", "n").repartition("left", "part")
 
 
 def sieve(found: DataFrame) -> np.ndarray:
     """SIEVE_BITS flags, set where a pair of found falls: of fixed size, whatever there is. A pair whose flag is not set is
     not in found; the others are told by a join."""
-    mark = lambda c: F.pmod(F.col(c), F.lit(_LOW)) * F.lit(_FACTORS[c]) + F.shiftright(c, 33) * F.lit(_FACTORS[c] + 1)
+    mark = lambda c: F.pmod(F.col(c), F.lit(1 << HALF)) * F.lit(_FACTORS[c]) + F.shiftright(c, HALF) * F.lit(_FACTORS[c] + 1)
     bit = F.pmod(mark("left") + mark("right"), F.lit(SIEVE_BITS)) + 1  # Spark's bitmaps count bits and buckets of 4096 bytes from 1
     rows = found.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(SIEVE_BITS, bool)
@@ -163,24 +194,21 @@ def sieve(found: DataFrame) -> np.ndarray:
 
 def sieved(flags: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether the flags of pairs are set."""
-    bit = sum((x % _LOW) * _FACTORS[c] + (x >> 33) * (_FACTORS[c] + 1) for c, x in (("left", left), ("right", right))) % SIEVE_BITS
+    bit = sum((x % (1 << HALF)) * _FACTORS[c] + (x >> HALF) * (_FACTORS[c] + 1) for c, x in (("left", left), ("right", right))) % SIEVE_BITS
     return (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def pair_chunks(named: DataFrame, flags: np.ndarray) -> DataFrame:
-    """chunk, items (struct of left and right) and codes of named: the pairs that may be frequent, by the sieve."""
-    shared = named.sparkSession.sparkContext.broadcast(flags)
+def pair_chunks(named: DataFrame, sieves: list[Broadcast], packed: bool) -> DataFrame:
+    """chunk, items (struct of left and right) and codes of named: the pairs that may be frequent, by the last of sieves."""
+    *below, shared = sieves
 
-    def emit(chunk: pa.Array, left: np.ndarray, right: np.ndarray, n: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    def emit(chunk: pa.Array, left: np.ndarray, right: np.ndarray, mid: np.ndarray, n: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         kept = np.flatnonzero(sieved(shared.value, left, right))
-        new = np.full(len(left) + 1, -1, np.int32)
-        new[kept] = np.arange(len(kept))
-        codes = new[codes]
-        codes = codes[np.append(True, (codes[1:] >= 0) | (codes[:-1] >= 0))] if len(codes) else codes
+        codes = thinned(codes, kept, len(left))
         items = pa.StructArray.from_arrays([pa.array(left[kept]), pa.array(right[kept])], names=["left", "right"])
         return pa.RecordBatch.from_arrays([chunk, pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), items), pa.array([pressed(codes)], pa.binary())], names=["chunk", "items", "codes"])
 
-    return pairs(named, "chunk long, items array<struct<left:long,right:long>>, codes binary", emit)
+    return pairs(named, "chunk long, items array<struct<left:long,right:long>>, codes binary", emit, below, packed)
 
 
 def frequent(items: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -188,6 +216,13 @@ def frequent(items: DataFrame, keys: list[str], least: int) -> DataFrame:
     return items.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """found, as written by frequent(), with ids from 0 on without gaps. The sizes of its parts are few rows."""
+    part, row = F.shiftright("id", _ROWS), F.col("id").bitwiseAND(F.lit((1 << _ROWS) - 1))
+    starts = found.groupBy(part.alias("of")).count().select("of", (F.sum("count").over(Window.orderBy("of")) - F.col("count")).alias("start"))
+    return found.withColumn("of", part).join(F.broadcast(starts), "of").withColumn("id", F.col("start") + row).drop("of", "start")
+
+
 def named(held: DataFrame, codes: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
     """chunk, names (places of frequent items of the chunk with their ids; no more than its words) and codes of the chunks
     that have any. Names are written before they meet the codes, so that the items and their shuffle are gone by then;
@@ -214,23 +249,34 @@ def phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
     items = held.select("lang", F.explode("items").alias("x")).select("lang", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
     totals = settled(items.groupBy("lang").agg(F.sum("n").alias("n")))
     none = F.array().cast("array<long>")
-    keys, out = ["lang", "word"], []
-    for k in range(1, longest + 1):
-        found = settled(frequent(items, keys, least))
-        if k == 1:
-            whole = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("before"), none.alias("after"))
+    raw = settled(frequent(items, ["lang", "word"], least))
+    found = settled(numbered(raw))
+    discard(raw)
+    packed = found.count() <= MOST_WORDS
+    out = [settled(found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("before"), none.alias("after")))]
+    held = named(held, codes, ["lang", "word"], found)
+    discard(found)
+    sieves: list[Broadcast] = []
+    for k in range(2, longest + 1):
+        found = settled(frequent(pair_counts(held, sieves, packed), ["left", "part", "right", "mid"], least))
+        whole = found.withColumn("id", F.shiftleft("left", HALF).bitwiseOR(F.col("right"))) if k == 2 and packed else found
+        shorter = out[-1]
+        one, two = shorter.select(F.col("id").alias("one"), "lang", "phrase", F.col("f").alias("fl"), "before"), shorter.select(F.col("id").alias("two"), "last", F.col("f").alias("fr"), "after")
+        if k > 2 and k % 2 == 0:
+            # left and right are two words apart: the phrases between are pairs of one of them and mid.
+            to_one, to_two = shorter.select(F.col("id").alias("one"), "left", F.col("right").alias("mid")), shorter.select(F.col("id").alias("two"), F.col("left").alias("mid"), "right")
+            whole = whole.join(to_one, ["left", "mid"]).join(to_two, ["mid", "right"]).drop("left", "right")
         else:
-            one, two = out[-1].select(F.col("id").alias("left"), "lang", "phrase", F.col("f").alias("fl"), "before"), out[-1].select(F.col("id").alias("right"), "last", F.col("f").alias("fr"), "after")
-            both = found.join(one, "left").join(two, "right")
-            whole = both.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "left", "right", F.concat("before", F.array("fl")).alias("before"), F.concat("after", F.array("fr")).alias("after"))
-        out.append(settled(whole))
+            whole = whole.withColumnsRenamed({"left": "one", "right": "two"})
+        both = whole.join(one, "one").join(two, "two")
+        out.append(settled(both.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.col("one").alias("left"), F.col("two").alias("right"), F.concat("before", F.array("fl")).alias("before"), F.concat("after", F.array("fr")).alias("after"))))
         if k < longest:
-            if k > 1:
-                last, held = held, settled(pair_chunks(held, sieve(found)))
-                codes = held
+            sieves.append(found.sparkSession.sparkContext.broadcast(sieve(found)))
+            if k % 2 == 0 and not (k == 2 and packed):
+                last, held = held, settled(pair_chunks(held, sieves, packed))
                 discard(last)
-            held = named(held, codes, [c for c in keys if c != "part"], found)
-            items, keys = pair_counts(held), ["left", "part", "right"]
+                held = named(held, held, ["left", "right"], found)
+                sieves, packed = [], False
         discard(found)
     discard(held)
     return out, totals

@@ -158,6 +158,22 @@ def test_phrases_against_all_counts(spark, monkeypatch):
     assert sorted(collocations.mine(docs, "t", "l", 3, best=7).collect()) == [r for r in whole if r["rank"] <= 7]
 
 
+def test_names_of_pairs_do_not_come_back(spark, monkeypatch):
+    """Only words meet their names in a join; with too many words for that, pairs do too, with the same result."""
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([("en" if i % 2 else "de", " ".join(f"w{j}" for j in rng.zipf(1.5, 80) if j < 50)) for i in range(90)], "lang string, text string").repartition(5)
+    joins, own = [], collocations.named
+    monkeypatch.setattr(collocations, "named", lambda held, codes, keys, names: joins.append(keys) or own(held, codes, keys, names))
+    found = sorted(collocations.mine(docs, "text", "lang", 5).collect())
+    assert joins == [["lang", "word"]] and {r["phrase"].count(" ") for r in found} == {1, 2, 3}
+    monkeypatch.setattr(collocations, "MOST_WORDS", 3)
+    joins.clear()
+    assert sorted(collocations.mine(docs, "text", "lang", 5).collect()) == found and joins == [["lang", "word"], ["left", "right"]]
+    texts = [(r["lang"], r["text"]) for r in docs.collect()]
+    for longest in (6, 7):
+        assert {tuple(r) for r in collocations.mine(docs, "text", "lang", 4, longest, 80, None).collect()} == plain_phrases(texts, 4, longest, 80)
+
+
 def test_phrases_cross_no_chunk(spark):
     """The result does not depend on how texts are put into chunks."""
     docs = spark.createDataFrame([("en", f"one two three four {i % 4}. one two") for i in range(90)], "lang string, text string")
